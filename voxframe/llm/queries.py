@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.timeexpr import to_ms
 from voxframe.llm.nearest_time import nearest_in_time
+from voxframe.llm.runs import collapse_runs, folded_label
 from voxframe.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "aligned").select("session_id", "turn_id", to_ms("start").alias("s"), to_ms("end").alias("e"), folded_label("speaker").alias("label"))
+    runs = collapse_runs(turns, "session_id", "s", "e", "turn_id", "label").filter("n_rows >= 2")
+    return runs.select("session_id", F.col("first_key").cast("int").alias("first_turn_id"), F.col("last_key").cast("int").alias("last_turn_id"), F.col("n_rows").alias("n_turns"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times are half milliseconds: twice the start of a turn, start plus end of a word."""
     turns = table(spark, sf_dir, "diar_turns").select("session_id", "id", (to_ms("start") * 2).alias("tick"))
@@ -20,7 +27,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(hit, ["session_id", "tick"]).select("session_id", "id", "seq", "pos").distinct()
 
 
-QUERIES = {"p5_found": p5_found}
+P3_SQL = """
+WITH t AS (
+  SELECT DISTINCT session_id, turn_id, CAST(round(start * 1000) AS BIGINT) AS s, CAST(round("end" * 1000) AS BIGINT) AS e,
+    regexp_replace(lower(strip_accents(speaker)), '[^\\p{L}\\p{N}]+', '', 'g') AS label
+  FROM aligned WHERE speaker IS NOT NULL AND start IS NOT NULL
+), u AS (SELECT * FROM t WHERE label <> ''), l AS (
+  SELECT *, CASE WHEN lag(label) OVER w = label THEN 0 ELSE 1 END AS change FROM u WINDOW w AS (PARTITION BY session_id ORDER BY s, turn_id)
+), b AS (SELECT *, sum(change) OVER (PARTITION BY session_id ORDER BY s, turn_id) AS block FROM l), m AS (
+  SELECT *, max(e) OVER (PARTITION BY session_id, block ORDER BY s, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS le FROM b
+), r AS (
+  SELECT *, sum(CASE WHEN le IS NULL OR s > le + 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, block ORDER BY s, turn_id) AS run FROM m
+)
+SELECT session_id, arg_min(turn_id, (s, turn_id)) AS first_turn_id, arg_max(turn_id, (s, turn_id)) AS last_turn_id, count(*) AS n_turns,
+  max(e) - min(s) AS duration_ms FROM r GROUP BY session_id, block, run HAVING count(*) >= 2
+"""
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
 
 P5_SQL = """
 WITH t AS (SELECT DISTINCT session_id, id, CAST(round(start * 1000) AS BIGINT) * 2 AS q FROM diar_turns WHERE start IS NOT NULL),
@@ -35,4 +58,4 @@ c AS (
 SELECT session_id, id, r[1] AS seq, r[2] AS pos FROM b WHERE n = 1
 """
 
-ORACLES = {"p5_found": P5_SQL}
+ORACLES = {"p3_found": P3_SQL, "p5_found": P5_SQL}
