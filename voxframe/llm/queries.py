@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.timeexpr import to_ms
 from voxframe.llm.nearest_time import nearest_in_time
+from voxframe.llm.packing import pack
 from voxframe.llm.runs import collapse_runs, folded_label
+from voxframe.llm.tokens import encode_corpus, token_counts
 from voxframe.session import table
 
 
@@ -27,6 +29,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(hit, ["session_id", "tick"]).select("session_id", "id", "seq", "pos").distinct()
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
+
+
 P3_SQL = """
 WITH t AS (
   SELECT DISTINCT session_id, turn_id, CAST(round(start * 1000) AS BIGINT) AS s, CAST(round("end" * 1000) AS BIGINT) AS e,
@@ -43,7 +53,7 @@ SELECT session_id, arg_min(turn_id, (s, turn_id)) AS first_turn_id, arg_max(turn
   max(e) - min(s) AS duration_ms FROM r GROUP BY session_id, block, run HAVING count(*) >= 2
 """
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 P5_SQL = """
 WITH t AS (SELECT DISTINCT session_id, id, CAST(round(start * 1000) AS BIGINT) * 2 AS q FROM diar_turns WHERE start IS NOT NULL),
