@@ -6,19 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions.timeexpr import to_ms
+from voxframe.llm.clusters import similarity_clusters
 from voxframe.llm.nearest_time import nearest_in_time
+from voxframe.llm.neighbours import similar_vectors
 from voxframe.llm.packing import pack
 from voxframe.llm.runs import collapse_runs, folded_label
 from voxframe.llm.tokens import encode_corpus, token_counts
 from voxframe.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, typical = similarity_clusters(table(spark, sf_dir, "profiles"), "ord", "centroid")
+    rows = members.filter("n >= 2").select("root", "id", F.lit("member").alias("role"))
+    both = rows.unionByName(typical.select("root", "id", F.lit("typical").alias("role")))
+    return both.select(F.col("root").cast("int").alias("cluster_ord"), F.col("id").cast("int").alias("ord"), "role")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "aligned").select("session_id", "turn_id", to_ms("start").alias("s"), to_ms("end").alias("e"), folded_label("speaker").alias("label"))
     runs = collapse_runs(turns, "session_id", "s", "e", "turn_id", "label").filter("n_rows >= 2")
     return runs.select("session_id", F.col("first_key").cast("int").alias("first_turn_id"), F.col("last_key").cast("int").alias("last_turn_id"), F.col("n_rows").alias("n_turns"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar_vectors(table(spark, sf_dir, "profiles"), "ord", "centroid")
+    return near.select(F.least("id", "other").cast("int").alias("ord_a"), F.greatest("id", "other").cast("int").alias("ord_b")).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times are half milliseconds: twice the start of a turn, start plus end of a word."""
     turns = table(spark, sf_dir, "diar_turns").select("session_id", "id", (to_ms("start") * 2).alias("tick"))
@@ -53,7 +67,7 @@ SELECT session_id, arg_min(turn_id, (s, turn_id)) AS first_turn_id, arg_max(turn
   max(e) - min(s) AS duration_ms FROM r GROUP BY session_id, block, run HAVING count(*) >= 2
 """
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 P5_SQL = """
 WITH t AS (SELECT DISTINCT session_id, id, CAST(round(start * 1000) AS BIGINT) * 2 AS q FROM diar_turns WHERE start IS NOT NULL),
