@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.timeexpr import to_ms
 from voxframe.llm.clusters import similarity_clusters
+from voxframe.llm.names import link_names
 from voxframe.llm.nearest_time import nearest_in_time
 from voxframe.llm.neighbours import similar_vectors
 from voxframe.llm.packing import pack
@@ -43,6 +44,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(hit, ["session_id", "tick"]).select("session_id", "id", "seq", "pos").distinct()
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = table(spark, sf_dir, "entities").select(F.col("campaign_id").alias("campaign"), "name", F.col("ord").alias("entity_ord"))
+    people = table(spark, sf_dir, "roster").select(F.col("campaign_id").alias("campaign"), F.col("ord").cast("long").alias("person"), F.col("discord_username").alias("username"), F.col("character_name").alias("character"), "nicknames", "is_dm")
+    links = link_names(typed, people)
+    return typed.join(links, ["campaign", "name"]).select(F.col("person").cast("int").alias("roster_ord"), "entity_ord").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -67,7 +75,7 @@ SELECT session_id, arg_min(turn_id, (s, turn_id)) AS first_turn_id, arg_max(turn
   max(e) - min(s) AS duration_ms FROM r GROUP BY session_id, block, run HAVING count(*) >= 2
 """
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 P5_SQL = """
 WITH t AS (SELECT DISTINCT session_id, id, CAST(round(start * 1000) AS BIGINT) * 2 AS q FROM diar_turns WHERE start IS NOT NULL),
