@@ -13,6 +13,7 @@ from voxframe.llm.neighbours import similar_vectors
 from voxframe.llm.packing import pack
 from voxframe.llm.runs import collapse_runs, folded_label
 from voxframe.llm.tokens import encode_corpus, token_counts
+from voxframe.llm.transcripts import clean_turns
 from voxframe.session import table
 
 
@@ -44,6 +45,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(hit, ["session_id", "tick"]).select("session_id", "id", "seq", "pos").distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "aligned").select(F.col("session_id").alias("session"), F.col("campaign_id").alias("campaign"), "turn_id", to_ms("start").alias("s"), to_ms("end").alias("e"), "speaker", F.col("cluster_id").alias("cluster"), "text")
+    people = table(spark, sf_dir, "roster").select(F.col("campaign_id").alias("campaign"), F.col("discord_username").alias("username"), F.col("character_name").alias("character"), "nicknames", "is_dm")
+    clean = clean_turns(turns, people)
+    return clean.select(F.col("session").alias("session_id"), F.col("turn_id").cast("int").alias("turn_id"), F.col("person").alias("speaker"), "n_words")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = table(spark, sf_dir, "entities").select(F.col("campaign_id").alias("campaign"), "name", F.col("ord").alias("entity_ord"))
     people = table(spark, sf_dir, "roster").select(F.col("campaign_id").alias("campaign"), F.col("ord").cast("long").alias("person"), F.col("discord_username").alias("username"), F.col("character_name").alias("character"), "nicknames", "is_dm")
@@ -75,7 +83,7 @@ SELECT session_id, arg_min(turn_id, (s, turn_id)) AS first_turn_id, arg_max(turn
   max(e) - min(s) AS duration_ms FROM r GROUP BY session_id, block, run HAVING count(*) >= 2
 """
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 P5_SQL = """
 WITH t AS (SELECT DISTINCT session_id, id, CAST(round(start * 1000) AS BIGINT) * 2 AS q FROM diar_turns WHERE start IS NOT NULL),
