@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.timeexpr import to_ms
 from voxframe.llm.clusters import similarity_clusters
+from voxframe.llm.langid import identify_languages, label_code
 from voxframe.llm.names import link_names
 from voxframe.llm.nearest_time import nearest_in_time
 from voxframe.llm.neighbours import similar_vectors
@@ -67,6 +68,16 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = sorted(r[0] for r in table(spark, sf_dir, "lang_codes").select("code").distinct().collect())  # the fixed list of languages
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
+    segments, whole = identify_languages(docs, codes)
+    wrong = docs.select("key", label_code(F.col("label")).alias("code")).join(whole, "key").filter(~F.col("code").eqNullSafe(F.col("lang")))
+    mixed = segments.join(whole.filter("n_langs > 1").select("key"), "key")
+    main = wrong.select(F.col("key").alias("doc_id"), F.lit(0).alias("segment_no"), "lang")
+    return main.unionByName(mixed.select(F.col("key").alias("doc_id"), "segment_no", "lang")).distinct()
+
+
 P3_SQL = """
 WITH t AS (
   SELECT DISTINCT session_id, turn_id, CAST(round(start * 1000) AS BIGINT) AS s, CAST(round("end" * 1000) AS BIGINT) AS e,
@@ -83,7 +94,7 @@ SELECT session_id, arg_min(turn_id, (s, turn_id)) AS first_turn_id, arg_max(turn
   max(e) - min(s) AS duration_ms FROM r GROUP BY session_id, block, run HAVING count(*) >= 2
 """
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 P5_SQL = """
 WITH t AS (SELECT DISTINCT session_id, id, CAST(round(start * 1000) AS BIGINT) * 2 AS q FROM diar_turns WHERE start IS NOT NULL),
