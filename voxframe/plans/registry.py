@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.plans import problems
+from voxframe.plans import problems, turn_queries
 
-_MODULES = (problems,)
+_MODULES = (problems, turn_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,5 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p1_found(spark, sf_dir)
+    """Rendered transcripts of debounced speaker turns."""
+    return turn_queries.q_render(spark, sf_dir)
