@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from voxframe.llm.names import MASTER_NAMES, name_score, name_tokens, sounded
 from voxframe.llm.runs import collapse_runs, folded_label
+from voxframe.session import cut
 
 #: A clock time, an offset like 12m05s (fixed patterns).
 CLOCK = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
@@ -167,13 +168,13 @@ def clean_turns(turns: DataFrame, people: DataFrame, max_gap: int = 2000) -> Dat
     starting at most ``max_gap`` after the latest end so far, are one turn. Null starts, sessions and turn ids are left
     out, a null text has no words, repeated rows count once, ties are ordered by turn_id, an empty table gives no rows.
     """
-    resolved = resolve_labels(turns.select("campaign", F.col("speaker").alias("label")), people)
+    resolved = cut(resolve_labels(turns.select("campaign", F.col("speaker").alias("label")), people))
     unique = resolved.withColumn("named", F.when(F.size("persons") == 1, F.get("persons", 0)))
     rows = turns.join(unique.withColumnRenamed("label", "speaker"), ["campaign", "speaker"], "left")
     votes = rows.filter("cluster is not null and persons is not null").select("session", "cluster", F.explode("persons").alias("person"), (1 / F.size("persons")).alias("votes"))
     votes = votes.groupBy("session", "cluster", "person").agg(F.sum("votes").alias("votes"))
     # one row per cluster and person of a session, however many turns it has
-    assigned = votes.groupBy("session").applyInPandas(_assigned, "session string, cluster string, cluster_person string")
+    assigned = cut(votes.groupBy("session").applyInPandas(_assigned, "session string, cluster string, cluster_person string"))
     owned = rows.join(assigned, ["session", "cluster"], "left").withColumn("person", F.coalesce("named", "cluster_person"))
     names = person_keys(people).select("campaign", F.col("key").alias("before")).distinct()
     text = without_dash(without_time_marks(without_time_marks(F.coalesce("text", F.lit("")))))
