@@ -255,7 +255,7 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, least: float = 0.8
     exactly, and components join the cells. A link is lost only if its ends share none of their cells and no other
     chain joins them (README has the measured figures). Exact copies enter as one vector and count as many.
     """
-    rows = vector_rows(df, key, vector)
+    rows = vector_rows(df, key, vector, size)
     copies = exact_copies(rows)
     any_copies = not copies.isEmpty()
     units = cut((without_copies(rows, copies) if any_copies else rows).mapInArrow(_units(size), "id long, unit binary"))

@@ -149,7 +149,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, least: flo
     compared exactly. The hashing loses some pairs (README has the measured recall). Exact copies are found by their
     hash and enter as one vector. A bucket above ``bucket_rows`` is cut into slices, each pair of slices being a task.
     """
-    rows = vector_rows(df, key, vector)
+    rows = vector_rows(df, key, vector, size)
     copies = exact_copies(rows)
     any_copies = not copies.isEmpty()
     distinct = without_copies(rows, copies) if any_copies else rows

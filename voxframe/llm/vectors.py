@@ -49,9 +49,10 @@ def usable(batch: pa.RecordBatch, size: int) -> tuple[pa.Array, np.ndarray]:
     return batch.column("id").filter(pa.array(good)), flat[good] / norm[good, None]
 
 
-def vector_rows(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, vector`` of the rows with both."""
-    return df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
+def vector_rows(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """``id, vector`` of the rows with an id and ``size`` values that aren't all zero."""
+    v = F.col(vector)
+    return df.filter(F.col(key).isNotNull() & (F.size(v) == size) & ((F.array_max(v) != 0) | (F.array_min(v) != 0))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
 
 
 def exact_copies(rows: DataFrame) -> DataFrame:
