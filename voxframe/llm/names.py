@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.session import cut
+
 #: Shortest token suffix in the index.
 SUFFIX_CHARS = 3
 #: A suffix of more people of a campaign than this is refined by the first letter of its token.
@@ -177,7 +179,7 @@ def link_names(names: DataFrame, people: DataFrame) -> DataFrame:
 
     pairs = refined(asked).join(refined(index), ["campaign", "block"]).select("campaign", "name", "person").distinct()
     wide = pairs.join(roster.select("campaign", "person", "username", "character", "nicknames", "is_dm"), ["campaign", "person"])
-    scored = wide.mapInPandas(_scores, "campaign string, name string, person long, score double")
+    scored = cut(wide.mapInPandas(_scores, "campaign string, name string, person long, score double"))
     best = scored.groupBy("campaign", "name").agg(F.max(F.struct("score", "person")).alias("top"), F.max("score").alias("score"))
     rivals = scored.join(best, ["campaign", "name", "score"]).groupBy("campaign", "name").agg(F.count_distinct("person").alias("n"), F.max("top.person").alias("person"))
     return rivals.filter("n = 1").select("campaign", "name", "person")
