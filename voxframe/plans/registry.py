@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.plans import problems, turn_queries
+from voxframe.plans import library_queries, problems, turn_queries
 
-_MODULES = (problems, turn_queries)
+_MODULES = (problems, turn_queries, library_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
