@@ -47,7 +47,11 @@ def extract_entities(notes: DataFrame, stop_words: Sequence[str] = ()) -> DataFr
     block = F.regexp_extract(text, r"(?m)^aliases:[ \t]*\n((?:[ \t]*-[ \t]+.*(?:\n|$))+)", 1)
     items = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+(.*)$"), F.lit(1)), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
     heads = F.regexp_extract_all(text, F.lit(r"(?m)^##[ \t]+([^#\n]+)"), F.lit(1))
-    parts = [F.transform(a, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("name"))) for k, a in (("wikilink", shown), ("alias", items), ("heading", heads))]
+
+    def of_kind(kind: str, names: Column) -> Column:
+        return F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+
+    parts = [of_kind("wikilink", shown), of_kind("alias", items), of_kind("heading", heads)]
     rows = notes.filter("text is not null").select("doc_id", F.posexplode(F.concat(*parts)).alias("pos", "e")).select("doc_id", "e.kind", "pos", clean_name(F.col("e.name")).alias("name"))
     media = F.lower("name").rlike(r"\.(" + "|".join(MEDIA) + r")$")
     kept = rows.filter((F.col("name") != "") & ~media)
