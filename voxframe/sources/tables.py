@@ -57,7 +57,7 @@ def track_files(files: DataFrame) -> DataFrame:
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """``path, text`` of all Markdown files below a folder; bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.decode("content", "UTF-8").alias("text"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
