@@ -104,7 +104,7 @@ def _pieces(path: str):
 def decode_corpus(encoded: DataFrame, key: str, ids: str, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """``key, text`` of token ids, by a join with the table of the vocabulary's pieces (as many rows as ids, so it is broadcast).
 
-    An empty or null list gives the empty text.
+    An empty or null list gives the empty text; ids that make no UTF-8 give replacement characters.
     """
     spark = encoded.sparkSession
     lines = spark.read.text(f"file://{tokenizer_dir}/{TOKENIZER_FILE.replace('.json', '.tiktoken')}").filter("value <> ''")
@@ -112,4 +112,4 @@ def decode_corpus(encoded: DataFrame, key: str, ids: str, tokenizer_dir: str = T
     rows = encoded.select(F.col(key).alias("__key"), F.posexplode_outer(ids).alias("pos", "id")).join(F.broadcast(pieces), "id", "left")
     piece = F.when(F.col("pos").isNotNull(), F.struct("pos", F.hex("piece").alias("piece")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["piece"]), "")
-    return rows.groupBy("__key").agg(F.decode(F.unhex(joined), "UTF-8").alias("text")).withColumnRenamed("__key", key)
+    return rows.groupBy("__key").agg(F.make_valid_utf8(F.unhex(joined).cast("string")).alias("text")).withColumnRenamed("__key", key)
