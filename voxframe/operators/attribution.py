@@ -66,3 +66,15 @@ def review_clusters(stats: DataFrame, names: DataFrame, min_turns: int = 0, min_
     joined = stats.join(names.select("session_id", "cluster_id", "name"), ["session_id", "cluster_id"], "left")
     kept = joined.filter((F.col("n_turns") >= min_turns) & (F.col("total_ms") >= min_ms))
     return kept.filter(is_unassigned(F.col("name"))) if only_unassigned else kept
+
+
+def auto_assign(names: DataFrame, matches: DataFrame, prefix: str = PLACEHOLDER) -> DataFrame:
+    """Names of clusters with the matches of those that have none or a placeholder; real names stay.
+
+    ``matches`` has ``session_id, cluster_id, name``.
+    """
+    found = matches.select("session_id", "cluster_id", F.col("name").alias("__match"))
+    joined = names.join(found, ["session_id", "cluster_id"], "full")
+    taken = is_unassigned(F.col("name"), prefix) & F.col("__match").isNotNull()
+    source = F.when(taken, F.lit("profile_match")).otherwise(F.col("source"))
+    return joined.select("session_id", "cluster_id", F.when(taken, F.col("__match")).otherwise(F.col("name")).alias("name"), source.alias("source"))

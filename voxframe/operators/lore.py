@@ -130,3 +130,23 @@ def pack_reference(terms: DataFrame, keys: Sequence[str], limit: int = 4000) ->
 
     folded = F.aggregate("t", start, step)
     return lists.select(*keys, folded.alias("f")).select(*keys, F.col("f.picked").alias("terms"), F.col("f.n").alias("n_chars"))
+
+
+#: What may be elided before a French word (fixed values).
+ELIDED = "c d j l m n s t qu jusqu lorsqu puisqu".split()
+
+
+def without_known_elisions(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Terms but those of an elided particle and a word of ``lexicon(term)``, like ``l'eau``."""
+    parts = F.split(F.regexp_replace("term", "’", "'"), "'")
+    elided = F.when((F.size(parts) == 2) & F.get(parts, 0).isin(ELIDED), F.get(parts, 1))
+    known = lexicon.select(F.col("term").alias("__suffix")).distinct()
+    return terms.withColumn("__suffix", elided).join(known.withColumn("__known", F.lit(True)), "__suffix", "left").filter("__known is null").drop("__suffix", "__known")
+
+
+def speaker_prompt_entities(roster: DataFrame, entities: DataFrame) -> DataFrame:
+    """``campaign_id, ord, name, kind`` for a prompt of a recording with several tracks: characters and nicknames first, then the lore; user names are left out."""
+    people = roster.select("campaign_id", F.col("ord"), F.inline(F.concat(F.array(F.struct(F.col("character_name").alias("name"), F.lit("character").alias("kind"))), F.transform(F.coalesce("nicknames", F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), F.lit("nickname").alias("kind"))))))
+    users = roster.select("campaign_id", F.col("discord_username").alias("name")).distinct()
+    lore = entities.select("campaign_id", (F.col("ord") + 1_000_000).alias("ord"), "name", "kind").join(users, ["campaign_id", "name"], "left_anti")
+    return people.filter("name is not null").unionByName(lore.filter("name is not null")).distinct()

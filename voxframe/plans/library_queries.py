@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions.dice import dice_notation
-from voxframe.operators import lore, provenance, refine, vectors
+from voxframe.operators import attribution, lore, provenance, refine, vectors
 from voxframe.plans.turn_queries import AL, DI, aligned, diar
 from voxframe.session import cut, table
 from voxframe.sources import tables
@@ -222,6 +222,39 @@ def q_tracks(s, d):
     return tables.track_files(names)
 
 
+def q_auto_assign(s, d):
+    al = aligned(s, d).filter("cluster_id is not null")
+    names = al.filter("seq % 4 > 0").groupBy("session_id", "cluster_id").agg(F.min("speaker").alias("name"), F.lit("manual").alias("source"))
+    return attribution.auto_assign(names, al.filter("speaker is not null").groupBy("session_id", "cluster_id").agg(F.max("speaker").alias("name")))
+
+
+def q_truncated(s, d):
+    return table(s, d, "segments").groupBy("session_id").agg(F.bool_or("is_truncated").alias("truncated"))
+
+
+def q_elisions(s, d):
+    spoken = table(s, d, "segments").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(lore.WORD), F.lit(0))).alias("term"))
+    words = table(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(lore.WORD), F.lit(0))).alias("term")).distinct()
+    return lore.without_known_elisions(words, spoken)
+
+
+def q_speaker_prompt(s, d):
+    entities = lore.speaker_prompt_entities(table(s, d, "roster").dropDuplicates(["ord"]), table(s, d, "entities").dropDuplicates(["ord"]))
+    return lore.biasing_prompt(entities, 60)
+
+
+def q_reconstruction(s, d):
+    rows = _md_turns(s, d).select("doc_id", "turn_no", "body")
+    edited = F.when(F.col("turn_no") % 3 == 0, F.upper("body")).when(F.col("turn_no") % 3 == 1, F.concat("body", F.lit(" a b c d e f"))).otherwise(F.reverse("body"))
+    return rows.select("doc_id", "turn_no", refine.reconstruction_reason("body", edited).alias("reason"))
+
+
+def q_track_hit(s, d):
+    stored = table(s, d, "roster").select(F.col("discord_username").alias("track"), F.lit("large").alias("model_name"), F.lit("fr").alias("language"), (F.col("ord") * 1000).alias("size"), (F.col("ord") + 0.25).alias("mtime")).distinct()
+    wanted = stored.withColumn("mtime", F.col("mtime") + F.when(F.col("size") % 3000 == 0, 0.5).otherwise(0.00005))
+    return stored.alias("s").join(wanted.alias("e"), (F.col("s.track") == F.col("e.track")) & provenance.track_usable(), "left_semi").select("track", "size")
+
+
 QUERIES = {
     "cluster_centroids": q_centroids, "profile_match_open": q_match_open, "cluster_classify_closed": q_classify_closed, "cluster_classify_allowed": q_classify_allowed, "profile_enrol": q_enrol,
     "profile_enrol_idempotent": q_enrol_again, "unsafe_sources": q_unsafe, "representative_runs": q_representative, "recluster_average_linkage": q_recluster, "entity_extract": q_entities,
@@ -229,6 +262,7 @@ QUERIES = {
     "lexicon_anti": q_terms_unknown, "alias_unique": q_aliases, "glossary_pack": q_pack, "dice_normalize": q_dice, "markdown_turns": q_md_turns, "word_chunks": q_word_chunks, "turn_chunks": q_turn_chunks,
     "coverage_check": q_coverage, "turn_headers": q_headers, "refine_reason": q_reasons, "envelope_join": q_envelopes, "callout_strip": q_callouts, "transcript_cache_hit": q_transcript_hit,
     "diarization_cache_hit": q_diarization_hit, "embedding_cache_hit": q_embedding_hit, "entity_fingerprint": q_fingerprint, "prompt_hash": q_prompt_hash, "roster_parse": q_roster, "info_parse": q_info, "track_discovery": q_tracks,
+    "auto_assign": q_auto_assign, "truncated_sessions": q_truncated, "elision_filter": q_elisions, "speaker_prompt": q_speaker_prompt, "reconstruction_reason": q_reconstruction, "track_cache_hit": q_track_hit,
 }
 
 EM = """em AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings WHERE embedding IS NOT NULL),
@@ -309,4 +343,9 @@ SELECT campaign_id, coalesce(string_agg(name, ', ' ORDER BY p, ord, name) FILTER
     "roster_parse": "SELECT DISTINCT campaign_id AS source, discord_username AS username, character_name, role, array_to_string(nicknames, '|') AS nicknames, is_dm, ord FROM roster WHERE raw_description IS NOT NULL",
     "info_parse": "WITH r AS (SELECT DISTINCT campaign_id, ord, discord_username FROM roster) SELECT campaign_id AS source, ord + 10 AS line_no, 'track' AS section, CAST(ord + 1 AS VARCHAR) AS key, discord_username AS value FROM r UNION ALL SELECT DISTINCT campaign_id, 0, 'header', 'recording', campaign_id FROM r",
     "track_discovery": "WITH n AS (SELECT DISTINCT ord, discord_username AS username, (ord + 1) || '-' || discord_username AS stem FROM roster) SELECT stem || CASE WHEN ord % 2 = 0 THEN '.flac' ELSE '.FLAC' END AS name, CAST(ord + 1 AS BIGINT) AS track_no, username FROM n WHERE ord % 2 = 0 OR ord % 3 = 0",
+    "auto_assign": f"WITH {AL}, c AS (SELECT * FROM al WHERE cluster_id IS NOT NULL), n AS (SELECT session_id, cluster_id, min(speaker) AS name FROM c WHERE seq % 4 > 0 GROUP BY ALL), m AS (SELECT session_id, cluster_id, max(speaker) AS mname FROM c WHERE speaker IS NOT NULL GROUP BY ALL), j AS (SELECT *, coalesce(starts_with(name, 'SPEAKER_'), true) AND mname IS NOT NULL AS t FROM (SELECT session_id, cluster_id, name, 'manual' AS source FROM n) FULL JOIN m USING (session_id, cluster_id)) SELECT session_id, cluster_id, CASE WHEN t THEN mname ELSE name END AS name, CASE WHEN t THEN 'profile_match' ELSE source END AS source FROM j",
+    "truncated_sessions": "SELECT session_id, bool_or(is_truncated) AS truncated FROM segments GROUP BY session_id",
+    "elision_filter": f"""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM segments WHERE text IS NOT NULL), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM documents WHERE text IS NOT NULL),
+p AS (SELECT term, string_split(replace(term, '’', chr(39)), chr(39)) AS p FROM w) SELECT term FROM p WHERE NOT coalesce(len(p) = 2 AND p[1] IN ('c','d','j','l','m','n','s','t','qu','jusqu','lorsqu','puisqu') AND p[2] IN (SELECT term FROM s), false)""",
+    "track_cache_hit": "SELECT DISTINCT discord_username AS track, ord * 1000 AS size FROM roster WHERE ord % 3 <> 0",
 }
