@@ -42,12 +42,11 @@ def paragraphs(text: Column) -> Column:
 
 def prose(text: Column) -> Column:
     """Small letters of a text without what has no language: headings, front matter, control tokens, links, names before speech, numbers and dice."""
-    t = F.regexp_replace(text, r"<\|[^|<>]*\|>", " ")
-    t = F.regexp_replace(t, r"(?s)^\s*---\s*\n.*?\n\s*---[^\S\n]*(?=\n|$)", " ")
-    t = F.regexp_replace(t, r"(?m)^\s*#{1,6}\s.*$|\[\[[^\]]*\]\]", " ")
-    t = F.regexp_replace(t, r"(?mU)^[^\s:]{2,40}:(?=\s)", " ")
-    t = F.regexp_replace(t, r"(?i)\b\d*d\d+\b", " ")
-    t = F.regexp_replace(t, r"[^\p{L}\p{M}'’]+", " ")
+    front = r"(?s)^\s*---\s*\n.*?\n\s*---[^\S\n]*(?=\n|$)"
+    token = r"<\|[^|<>]*\|>"
+    t = F.when(text.contains("---"), F.regexp_replace(text, front, " ")).otherwise(text)
+    t = F.regexp_replace(t, rf"(?mU)^(?:\s|{token})*(?:#{{1,6}}\s.*$|[^\s:<]{{2,40}}:(?=\s))|{token}|\[\[[^\]]*\]\]", " ")
+    t = F.regexp_replace(t, r"[^\p{L}\p{M}'’]*?\b\d*+[dD]\d+\b|[^\p{L}\p{M}'’]+", " ")
     return F.lower(F.trim(t))
 
 
@@ -80,9 +79,21 @@ class ByteNetwork:
         return p / p.sum(1, keepdims=True), hidden, places
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        parts = [self._forward(x[i : i + 256])[0] for i in range(0, len(x), 256)]
+        parts = [self._responses(x[i : i + BATCH]) for i in range(0, len(x), BATCH)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.weights["c"])), np.float32)
 
+    def _responses(self, x: np.ndarray) -> np.ndarray:
+        """As the forward pass, without what the gradient needs."""
+        e = self.weights["e"][x].reshape(len(x), -1)
+        pooled = []
+        for w in WIDTHS:
+            patches = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(e, w * EMBEDDING, axis=1)[:, ::EMBEDDING])
+            response = patches.reshape(-1, w * EMBEDDING) @ self.weights[f"f{w}"]
+            pooled.append(np.maximum(response.reshape(len(x), -1, FILTERS).max(1) + self.weights[f"b{w}"], 0))
+        z = np.concatenate(pooled, 1) @ self.weights["o"] + self.weights["c"]
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, hidden, places = self._forward(x)
         p[np.arange(len(y)), y] -= 1
@@ -148,7 +159,7 @@ def train_network(docs: DataFrame, codes: list[str]) -> ByteNetwork:
     labelled = docs.withColumn("code", label_code(F.col("label"))).filter(F.col("code").isin(codes) & F.col("text").isNotNull())
     order = Window.partitionBy("code").orderBy(F.xxhash64("key"), "key")
     keys = labelled.select("key", "code").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).select("key", "code")
-    chosen = labelled.join(F.broadcast(keys), ["key", "code"]).select("key", "code", prose("text").alias("prose")).filter(F.length("prose") >= 20)
+    chosen = labelled.join(F.broadcast(keys), ["key", "code"]).select("key", "code", prose(F.col("text")).alias("prose")).filter(F.length("prose") >= 20)
     sample = chosen.mapInPandas(_sampled, "key long, code string, i int, window binary").toPandas().drop_duplicates(["key", "i"]).sort_values(["key", "i"])
     network = ByteNetwork(len(codes))
     if len(sample):
@@ -186,7 +197,7 @@ def identify_languages(docs: DataFrame, codes: list[str]) -> tuple[DataFrame, Da
     """
     network = train_network(docs, codes)
     parts = docs.filter("key is not null").select("key", F.posexplode(F.transform(paragraphs(F.col("text")), prose)).alias("pos", "prose"))
-    parts = parts.withColumn("n_chars", F.length(F.regexp_replace("prose", r"[^\p{L}]+", "")).cast("long")).filter(F.col("n_chars") >= LEAST_LETTERS)
+    parts = parts.withColumn("n_chars", F.length(F.translate("prose", " '’", "")).cast("long")).filter(F.col("n_chars") >= LEAST_LETTERS)
     rows = parts.select("key", (F.col("pos") + 1).alias("segment_no"), "n_chars", "prose")
     raw = cut(rows.mapInPandas(_classified(network, codes), "key long, segment_no int, n_chars long, lang string, confidence double").dropDuplicates(["key", "segment_no"]))
     weight = F.when(F.col("confidence") >= SURE, F.col("n_chars")).otherwise(0)
