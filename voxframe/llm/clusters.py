@@ -14,7 +14,7 @@ from voxframe.llm.vectors import exact_copies, grouped, pack, unpack, usable, ve
 from voxframe.session import cut
 
 #: Cells that each vector enters; rounds of seeding and of moving the centres.
-ENTERED, SEED_ROUNDS, MOVES, SEED = 3, 2, 3, 23
+ENTERED, SEED_ROUNDS, MOVES, SEED = 4, 2, 3, 23
 #: Rows of a cell linked in one task; a larger cell is divided again by centres drawn from its own rows.
 CELL_ROWS = 20_000
 #: Members of a cluster summed in one group.
