@@ -16,26 +16,32 @@ CAPACITY = 2048
 GROUP_ITEMS = 20_000
 #: Cost of an item of n tokens: n + n * n / QUADRATIC_FROM (attention outweighs the rest from there on).
 QUADRATIC_FROM = 4096
+#: Last share of the total size, in the smallest items, that goes where the room is tightest.
+TIGHT_SHARE = 0.2
 
 
 def fill(sizes: np.ndarray, capacity: int, quadratic_from: int = QUADRATIC_FROM) -> np.ndarray:
     """Container of each item: in descending size, the open container of lowest cost that has room.
 
-    As many containers are open at first as the total size needs at least; one is added when none has room.
+    As many containers are open at first as the total size needs at least; one is added when none has room. Balanced to the
+    end, all would keep a little room that no item fits; so the smallest items, the last ``TIGHT_SHARE`` of the total, go
+    to the container with the least room that they fit.
     """
     order = np.argsort(-sizes, kind="stable")
     room = np.full(max(1, -(-int(sizes.sum()) // capacity)), capacity, np.int64)
     cost = np.zeros(len(room))
     place = np.empty(len(sizes), np.int64)
+    left, tight = int(sizes.sum()), TIGHT_SHARE * int(sizes.sum())
     for i in order:
         n = int(sizes[i])
         fits = np.flatnonzero(room >= n)
         if len(fits):
-            k = fits[np.argmin(cost[fits])]
+            k = fits[np.argmin(cost[fits] if left > tight else room[fits])]
         else:
             k = len(room)
             room, cost = np.append(room, capacity), np.append(cost, 0.0)
         room[k] -= n
+        left -= n
         cost[k] += n + n * n / quadratic_from
         place[i] = k
     return place
