@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.llm.names import common_length, link_names, name_score
+from voxframe.llm.names import _person_keys, _probe_keys, common_length, likeness, link_names, name_score
 from voxframe.llm.transcripts import clean_turns, name_before, optimal_assignment, resolve_labels, spoken_words, without_dash, without_time_marks
 
 PEOPLE = [("c", 0, "gotol.11", "Balquidra Prastone", ["Thiwen"], False), ("c", 1, "tolfen37", "Riquilo Phimont", [], False), ("c", 2, "boss_1", "MJ", None, True), ("c", 2, "boss_1", "MJ", None, True), ("d", 3, "other", "Arphi Steval", ["Halar"], False), ("c", 4, None, None, None, None)]
@@ -45,6 +45,28 @@ def test_blocking_loses_nothing(spark, small):
     assert {(r.campaign, r.name): r.person for r in link_names(typed, people).collect()} == want
 
 
+def test_typos_inside_short_tokens(spark):
+    people = spark.createDataFrame([("c", 0, "u0", "Gotar Prastone", [], False), ("c", 1, "u1", "Mirvi Phimont", [], False), ("c", 2, "u2", "Alba Kor", ["Harel"], False)], SCHEMA)
+    typed = spark.createDataFrame([("c", n) for n in ("Goatr", "Mrivi", "Hrael", "Kor", "KrAolba", "Gotax Zolt")], "campaign string, name string")
+    got = {r.name: r.person for r in link_names(typed, people).collect()}
+    assert got == {"Goatr": 0, "Mrivi": 1, "Hrael": 2, "Kor": 2}
+
+
+def test_keys_are_shared_by_all_that_the_score_accepts():
+    rng, shared = np.random.default_rng(1), 0
+    for _ in range(4000):
+        a = list(rng.choice(list("abcqufphk"), int(rng.integers(3, 45))))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 3))):
+            i = int(rng.integers(0, len(b)))
+            b[i : i + 1] = [[], [str(rng.choice(list("abk")))], [b[i], "z"], ["z", b[i]]][int(rng.integers(0, 4))]
+        a, b = "".join(a), "".join(b)
+        if b and likeness(a, b):
+            shared += 1
+            assert set(_probe_keys("~" + a)) & set(_person_keys("", b, (), False))
+    assert shared > 2000
+
+
 def test_common_length():
     assert common_length("kellande", "kelalnde") == 7 and common_length("", "a") == 0
 

@@ -1,4 +1,4 @@
-"""Linking of typed names to the people of a roster, by suffix blocking and longest common subsequences."""
+"""Linking of typed names to the people of a roster, by blocks of misspelled forms and longest common subsequences."""
 
 from __future__ import annotations
 
@@ -8,15 +8,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxframe.session import cut
 
-#: Shortest token suffix in the index.
-SUFFIX_CHARS = 3
-#: A suffix of more people of a campaign than this is refined by the first letter of its token.
-COMMON_PEOPLE = 64
+#: Shortest token that means a part of a name by its beginning alone.
+LEAST_CUT = 3
+#: Tokens of so many letters may miss two of them, shorter ones only one.
+TWO_MISSED = 9
+#: Longest token of which all forms with letters left out are made, and the stretch that longer ones share: a fifth of what is left of 33 letters without two.
+LONG_CHARS, STRETCH_CHARS = 32, 7
 #: Least ratio of the longest common subsequence for two tokens to be one name, misspelled.
 LEAST_RATIO = 0.8
 #: Titles that may stand before or after a name, folded (fixed values).
@@ -62,7 +65,7 @@ def _ratio(a: str, b: str) -> float:
         return 1.0
     shared, longest = common_length(a, b), max(len(a), len(b))
     ratio = 2 * shared / (len(a) + len(b))
-    missed = 1 if longest < 9 else 2
+    missed = 1 if longest < TWO_MISSED else 2
     return ratio if min(len(a), len(b)) >= 4 and longest - shared <= missed and ratio >= LEAST_RATIO else 0.0
 
 
@@ -120,27 +123,66 @@ def name_score(name: str, username: str, character: str, nicknames: tuple[str, .
     return total if real else 0.0
 
 
-def _blocks(tokens: Column) -> Column:
-    """Suffixes of tokens, and of the reversed tokens (their beginnings, for tokens cut short), from the shortest length on; shorter tokens whole."""
-    def ends(t: Column, mark: str) -> Column:
-        return F.transform(F.sequence(F.least(F.lit(SUFFIX_CHARS), F.length(t)), F.length(t)), lambda n: F.concat(F.lit(mark), F.right(t, n)))
+def _misspelled(token: str) -> set[str]:
+    """Keys of which two tokens share one if ``_ratio`` takes them for one name.
 
-    return F.array_distinct(F.flatten(F.transform(tokens, lambda t: F.concat(ends(t, ">"), ends(F.reverse(t), "<")))))
+    Both have their longest common subsequence, and miss it by one letter, or by two from ``TWO_MISSED`` letters on: so
+    it is among the forms of either with so many letters left out. Of long tokens these would be many; with four letters
+    missed in both together, such tokens share a stretch of a fifth of the rest.
+    """
+    keys = {"~" + token}
+    if 5 <= len(token) <= LONG_CHARS:
+        forms = {token}
+        for _ in range(1 if len(token) < TWO_MISSED else 2):
+            forms |= {f[:i] + f[i + 1 :] for f in forms for i in range(len(f))}
+        keys |= {"~" + f for f in forms}
+    if len(token) >= LONG_CHARS - 1:
+        keys |= {"^" + token[i : i + STRETCH_CHARS] for i in range(len(token) - STRETCH_CHARS + 1)}
+    return keys
+
+
+def _probes(name: str) -> list[tuple[bool, str]]:
+    """What to look for of a typed name, and whether any one of these is enough: each token of three letters or more has to mean a part of the person's name."""
+    whole = folded(name).replace(" ", "")
+    found = [(False, "=" + whole), *([(False, "=master")] if whole in MASTER_NAMES else [])] if whole else []
+    tokens = list(dict.fromkeys(t for t, _ in name_tokens(name)))
+    if not whole or whole in MASTER_NAMES or NOT_A_PERSON & set(tokens):
+        return found
+    long = [t for t in tokens if len(t) >= LEAST_CUT]
+    return found + [(bool(long), "~" + t) for t in long or tokens]
+
+
+@lru_cache(maxsize=50_000)
+def _probe_keys(probe: str) -> list[str]:
+    if probe[0] == "=":
+        return [probe]
+    return sorted(_misspelled(probe[1:]) | _misspelled(sounded(probe[1:])) | {"<" + probe[1:]})
+
+
+def _person_keys(username: str, character: str, nicknames: tuple[str, ...], is_dm: bool) -> list[str]:
+    """Keys of the user name, and of the parts of the name as ``name_score`` compares them: misspelled, cut short, written together."""
+    names = folded(character).split() if not is_dm else []
+    given = [n for nick in nicknames for n in [folded(nick).replace(" ", "")] if n]
+    joined = ["".join(names), "".join(reversed(names)), *(g + names[-1] for g in given)] if len(names) > 1 else []
+    keys = {"=" + folded(username).replace(" ", ""), *(["=master"] if is_dm else [])}
+    for part in {*names, *given, *joined}:
+        keys |= _misspelled(part) | _misspelled(sounded(part))
+    return sorted(keys | {"<" + p[:n] for p in (*names, *given) for n in range(LEAST_CUT, len(p))})
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("choice", T.BooleanType()), T.StructField("probe", T.StringType())])))
+def _probes_of(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: [{"choice": c, "probe": p} for c, p in _probes(n)])
 
 
-def _fold_tokens(column: str):
-    @F.pandas_udf("array<string>")
-    def run(names: pd.Series) -> pd.Series:
-        def tokens(name: str | None) -> list[str]:
-            if not name:
-                return []
-            found = [t for t, _ in name_tokens(name)]
-            whole = folded(name).replace(" ", "")
-            return list(dict.fromkeys([*found, *map(sounded, found), whole, *(["=master"] if whole in MASTER_NAMES else [])]))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _keys_of_probe(probes: pd.Series) -> pd.Series:
+    return probes.map(_probe_keys)
 
-        return names.map(tokens)
 
-    return run(column)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _keys_of_person(usernames: pd.Series, characters: pd.Series, nicknames: pd.Series, masters: pd.Series) -> pd.Series:
+    return pd.Series([_person_keys(u or "", c or "", tuple(k for k in (() if ks is None else ks) if k), bool(d)) for u, c, ks, d in zip(usernames, characters, nicknames, masters, strict=True)], dtype=object)
 
 
 def _scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,27 +199,22 @@ def link_names(names: DataFrame, people: DataFrame) -> DataFrame:
     nobody; a name that means two people equally well means nobody. Repeated rows change nothing; empty tables give no
     rows.
 
-    Candidates share a suffix of a token, or of a reversed token, of three letters or more. A suffix of more than
-    ``COMMON_PEOPLE`` people of a campaign is refined by the first letter of its token and never dropped: of a token
-    whose first letter is wrong the whole rest is a suffix of its own.
+    Candidates are all pairs that the score can accept, as both have a key of ``_misspelled``, a beginning or a whole name
+    in common. A name of several tokens is looked up by the one that the fewest people share, so a common name is
+    refined by the others and never dropped.
     """
     typed = names.filter("campaign is not null and name is not null").select("campaign", "name").distinct()
     roster = people.filter("campaign is not null and person is not null").dropDuplicates(["campaign", "person"])
-    plain = F.array_compact(F.concat(F.array(F.col("username"), F.col("character")), F.coalesce("nicknames", F.array().cast("array<string>"))))
-    parts = roster.withColumn("part", F.explode(plain)).withColumn("tokens", _fold_tokens("part"))
-    master = F.when(F.coalesce("is_dm", F.lit(False)), F.array(F.lit("=master"))).otherwise(F.array().cast("array<string>"))
-    person_keys = parts.select("campaign", "person", F.explode(F.concat("tokens", master)).alias("token")).distinct()
-    name_keys = typed.select("campaign", "name", F.explode(_fold_tokens("name")).alias("token")).distinct()
-    index = person_keys.select("campaign", "person", "token", F.explode(_blocks(F.array("token"))).alias("block"))
-    asked = name_keys.select("campaign", "name", "token", F.explode(_blocks(F.array("token"))).alias("block"))
-    common = index.groupBy("campaign", "block").agg(F.count_distinct("person").alias("n")).filter(F.col("n") > COMMON_PEOPLE).select("campaign", "block", F.lit(True).alias("common"))
-
-    def refined(df: DataFrame) -> DataFrame:
-        joined = df.join(common, ["campaign", "block"], "left")
-        key = F.when(F.col("common"), F.concat("block", F.lit("/"), F.left("token", F.lit(1)))).otherwise(F.col("block"))
-        return joined.select(*[c for c in df.columns if c not in ("block", "token")], key.alias("block")).distinct()
-
-    pairs = refined(asked).join(refined(index), ["campaign", "block"]).select("campaign", "name", "person").distinct()
+    keys = _keys_of_person("username", "character", F.coalesce("nicknames", F.array().cast("array<string>")), F.coalesce("is_dm", F.lit(False)))
+    # a row has hundreds of keys, which the planner doesn't foresee: without the hint it broadcasts them
+    index = roster.select("campaign", "person", F.explode(keys).alias("key")).select("campaign", "person", F.xxhash64("key").alias("block")).distinct()
+    asked = cut(typed.select("campaign", "name", F.inline(_probes_of("name"))))
+    probes = asked.select("campaign", "probe").distinct()
+    hits = cut(probes.select("campaign", "probe", F.explode(_keys_of_probe("probe")).alias("key")).select("campaign", "probe", F.xxhash64("key").alias("block")).join(index.hint("merge"), ["campaign", "block"]).select("campaign", "probe", "person").distinct())
+    sizes = hits.groupBy("campaign", "probe").agg(F.count("*").alias("n"))
+    rarest = asked.filter("choice").join(sizes, ["campaign", "probe"], "left").groupBy("campaign", "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "probe")).alias("x")).select("campaign", "name", "x.probe")
+    chosen = rarest.unionByName(asked.filter("not choice").select("campaign", "name", "probe"))
+    pairs = chosen.join(hits, ["campaign", "probe"]).select("campaign", "name", "person").distinct()
     wide = pairs.join(roster.select("campaign", "person", "username", "character", "nicknames", "is_dm"), ["campaign", "person"])
     scored = cut(wide.mapInPandas(_scores, "campaign string, name string, person long, score double"))
     best = scored.groupBy("campaign", "name").agg(F.max(F.struct("score", "person")).alias("top"), F.max("score").alias("score"))
