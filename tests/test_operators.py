@@ -114,6 +114,20 @@ def test_packing_skips_and_goes_on(spark):
     assert list(got.terms) == want and got.n_chars == size
 
 
+def test_packing_reads_past_the_first_ranks(spark):
+    rng, rows, want = random.Random(5), [], {}
+    groups = {"late": ["x" * 19 + str(i % 10) + "y" * (i // 10) for i in range(60)] + ["ab", "c"], "long": ["z" * 99], "random": ["".join(rng.choices("abc", k=rng.choice([1, 2, 3, 9, 25, 40]))) for _ in range(300)]}
+    for g, names in groups.items():
+        size, want[g] = 2, ([], 2)
+        for i, t in enumerate(dict.fromkeys(names)):
+            rows.append((g, t, i))
+            if (more := len(t) + 2 + bool(want[g][0])) + size <= 30:
+                size += more
+                want[g] = ([*want[g][0], t], size)
+    got = lore.pack_reference(spark.createDataFrame(rows, "g string, term string, rank int"), ["g"], 30).collect()
+    assert {r.g: (list(r.terms), r.n_chars) for r in got} == want and "ab" in want["late"][0] and want["long"] == ([], 2)
+
+
 def test_refinement(spark):
     a = "### [00:00:01 - 00:00:02] A\n\none two three\n"
     df = spark.createDataFrame([(1, a), (2, "")], "doc_id int, text string")

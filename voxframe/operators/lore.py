@@ -118,10 +118,14 @@ def unique_aliases(aliases: DataFrame) -> DataFrame:
 def pack_reference(terms: DataFrame, keys: Sequence[str], limit: int = 4000) -> DataFrame:
     """``keys, terms, n_chars``: terms in the order of ``rank`` packed greedily into a JSON list of at most ``limit`` characters; one that doesn't fit is skipped.
 
-    A term takes its length + 2, the list 2 and a comma between terms. Only terms of the first ``limit`` ranks can fit.
+    A term takes its length + 2, the list 2 and a comma between terms. Where a term doesn't fit, no later one of its
+    length does, so of each length only the first terms that could fill the list alone are folded; of lengths that never
+    fit one term is kept, for the row of its key.
     """
-    near = terms.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "term"))).filter(F.col("__n") <= limit)
-    lists = near.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "term"))), lambda x: x["term"]).alias("t"))
+    size = F.least(F.coalesce(F.length("term"), F.lit(limit)), F.lit(limit))
+    ranked = terms.withColumn("__size", size).withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__size").orderBy("rank", "term")))
+    near = ranked.filter(F.col("__n") <= F.greatest(F.lit(1), F.floor(F.lit(limit) / (F.col("__size") + 2))))
+    lists = near.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("t"))
     start = F.struct(F.lit(2).alias("n"), F.array().cast("array<string>").alias("picked"))
 
     def step(a: Column, x: Column) -> Column:
