@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.dice import normalize_dice
 from voxframe.operators import attribution, lore, refine, timeline, turns, vectors
+from voxframe.plans import registry
 from voxframe.sources.render import render_markdown
 
 DICE = [
@@ -128,6 +130,16 @@ def test_packing_reads_past_the_first_ranks(spark):
     assert {r.g: (list(r.terms), r.n_chars) for r in got} == want and "ab" in want["late"][0] and want["long"] == ([], 2)
 
 
+def test_callouts_of_all_texts(spark, tmp_path):
+    texts = ["> [!note] head\n> one\n>two\n  > three\nfour", "a\r\n> b\r\nc", "  > [!warning]\n\n> > deep", "[!x] plain\nrest", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    got = {r.doc_id: (r.digest, r.wrapped_digest) for r in registry.queries()["callout_strip_all"](spark, str(tmp_path)).collect()}
+    want = ["one\ntwo\nthree\nfour", "a\r\nb\r\nc", "\n> deep", "[!x] plain\nrest", ""]
+    wrapped = [*texts[:3], "rest", ""]
+    assert got == {i: (digest(a), digest(b)) for i, (a, b) in enumerate(zip(want, wrapped, strict=True))}
+
+
 def test_refinement(spark):
     a = "### [00:00:01 - 00:00:02] A\n\none two three\n"
     df = spark.createDataFrame([(1, a), (2, "")], "doc_id int, text string")

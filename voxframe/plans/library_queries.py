@@ -175,6 +175,11 @@ def q_callouts(s, d):
     return table(s, d, "documents").filter("text is not null and not text rlike '(?m)^\\\\s*>' and not contains(text, '\\r')").select("doc_id", F.md5(refine.strip_callouts(text)).alias("digest"))
 
 
+def q_callouts_all(s, d):
+    wrapped = F.concat(F.lit("> [!note] x\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))
+    return table(s, d, "documents").filter("text is not null").select("doc_id", F.md5(refine.strip_callouts(F.col("text"))).alias("digest"), F.md5(refine.strip_callouts(wrapped)).alias("wrapped_digest"))
+
+
 def _stored(s, d):
     rows = diar(s, d).groupBy("session_id").agg(F.count("*").alias("n"), F.max("end_ms").alias("m"))
     return rows.select(F.col("session_id").alias("media_hash"), F.when(F.col("n") % 3 == 0, "auto").when(F.col("n") % 3 == 1, "nemotron").otherwise("ecapa").alias("engine"), F.when(F.col("n") % 2 == 0, "ecapa").alias("resolved_engine"), F.lit("large").alias("model_name"), F.lit("fp16").alias("compute_type"), F.lit("no_prompt").alias("prompt_hash"), F.lit("fr").alias("language"), F.when(F.col("m") % 2 == 0, "cuda").otherwise("cpu").alias("device"), F.lit(0.6).alias("threshold"), F.lit(None).cast("int").alias("num_speakers"), F.when(F.col("m") % 3 > 0, F.lit("t")).alias("transcript_hash"))
@@ -260,7 +265,7 @@ QUERIES = {
     "profile_enrol_idempotent": q_enrol_again, "unsafe_sources": q_unsafe, "representative_runs": q_representative, "recluster_average_linkage": q_recluster, "entity_extract": q_entities,
     "entity_priority": q_priority, "ordered_distinct_names": q_names, "biasing_prompt": q_prompt, "control_token_strip": q_control, "line_ownership": q_ownership, "term_frequency": q_terms,
     "lexicon_anti": q_terms_unknown, "alias_unique": q_aliases, "glossary_pack": q_pack, "dice_normalize": q_dice, "markdown_turns": q_md_turns, "word_chunks": q_word_chunks, "turn_chunks": q_turn_chunks,
-    "coverage_check": q_coverage, "turn_headers": q_headers, "refine_reason": q_reasons, "envelope_join": q_envelopes, "callout_strip": q_callouts, "transcript_cache_hit": q_transcript_hit,
+    "coverage_check": q_coverage, "turn_headers": q_headers, "refine_reason": q_reasons, "envelope_join": q_envelopes, "callout_strip": q_callouts, "callout_strip_all": q_callouts_all, "transcript_cache_hit": q_transcript_hit,
     "diarization_cache_hit": q_diarization_hit, "embedding_cache_hit": q_embedding_hit, "entity_fingerprint": q_fingerprint, "prompt_hash": q_prompt_hash, "roster_parse": q_roster, "info_parse": q_info, "track_discovery": q_tracks,
     "auto_assign": q_auto_assign, "truncated_sessions": q_truncated, "elision_filter": q_elisions, "speaker_prompt": q_speaker_prompt, "reconstruction_reason": q_reconstruction, "track_cache_hit": q_track_hit,
 }
@@ -335,6 +340,9 @@ SELECT campaign_id, coalesce(string_agg(name, ', ' ORDER BY p, ord, name) FILTER
     "refine_reason": r"WITH t AS (SELECT doc_id, text, regexp_matches(text, '(?m)^### \[') AS hd FROM documents WHERE kind = 'transcript' AND text IS NOT NULL), n AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda x: x <> '')) AS n FROM t) SELECT doc_id, CASE WHEN doc_id % 4 = 1 AND trim(text) <> '' THEN 'empty result' WHEN doc_id % 4 = 2 AND hd THEN 'headings differ' WHEN doc_id % 4 = 3 AND 200 > (CASE WHEN n = 0 THEN 0 ELSE greatest(5, n * 15 // 100) END) THEN 'word count differs' END AS reason FROM n",
     "envelope_join": f"""WITH {MD}, pc AS (SELECT doc_id, chunk_no AS piece_no, min(word_start) AS ws, max(word_end) AS we FROM wc GROUP BY ALL) SELECT pc.doc_id, piece_no, arg_min("start", list_reduce(list_transform(string_split("start", ':'), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 60 + b)) AS "start", arg_max("end", list_reduce(list_transform(string_split("end", ':'), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 60 + b)) AS "end" FROM pc JOIN md ON md.doc_id = pc.doc_id AND ws < word_end AND we > word_start GROUP BY ALL""",
     "callout_strip": r"SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?m)^\s*>') AND NOT contains(text, chr(13))",
+    "callout_strip_all": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(coalesce(array_to_string(list_transform(list_filter(l, lambda x: NOT regexp_matches(x, '^[\s\x{0b}]*>[\s\x{0b}]*\[!')), lambda x: regexp_replace(x, '^[\s\x{0b}]*>[\s\x{0b}]?', '')), chr(10)), '')) AS digest,
+  md5(coalesce(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, '^[\s\x{0b}]*\[!')), chr(10)), '')) AS wrapped_digest FROM l""",
     "transcript_cache_hit": f"WITH {ST} SELECT media_hash, engine FROM st WHERE engine = 'ecapa'",
     "diarization_cache_hit": f"WITH {ST} SELECT media_hash, engine FROM st WHERE (engine = 'ecapa' OR resolved_engine = 'ecapa') AND device = 'cuda' AND transcript_hash = 't'",
     "embedding_cache_hit": f"WITH {DI} SELECT session_id AS media_hash, count(*) AS count FROM di GROUP BY session_id HAVING max(id) % 2 = 0",
