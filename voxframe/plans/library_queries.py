@@ -43,9 +43,13 @@ def q_classify_allowed(s, d):
     return vectors.best_profiles(_means(s, d), _profiles(s, d), None, allowed).select("query", "ord", F.round("cosine", 6).alias("cosine"))
 
 
-def _enrolled(s, d):
+def _samples(s, d):
     rows = _embeddings(s, d).select(F.col("label").alias("speaker"), F.col("vec_id").cast("string").alias("sample_id"), "vector")
-    none = s.createDataFrame([], "speaker string, centroid array<double>, sample_count long, sample_ids array<string>")
+    return rows, s.createDataFrame([], "speaker string, centroid array<double>, sample_count long, sample_ids array<string>")
+
+
+def _enrolled(s, d):
+    rows, none = _samples(s, d)
     return rows, cut(vectors.enrol(rows.filter("sample_id % 2 = 0"), none))
 
 
@@ -63,6 +67,11 @@ def q_enrol_again(s, d):
     return _flat(vectors.enrol(rows.filter("sample_id % 2 = 0"), old))
 
 
+def q_enrol_all_again(s, d):
+    rows, none = _samples(s, d)
+    return _flat(vectors.enrol(rows, cut(vectors.enrol(rows, none))))
+
+
 def q_unsafe(s, d):
     return vectors.unsafe_sources(aligned(s, d))
 
@@ -262,7 +271,7 @@ def q_track_hit(s, d):
 
 QUERIES = {
     "cluster_centroids": q_centroids, "profile_match_open": q_match_open, "cluster_classify_closed": q_classify_closed, "cluster_classify_allowed": q_classify_allowed, "profile_enrol": q_enrol,
-    "profile_enrol_idempotent": q_enrol_again, "unsafe_sources": q_unsafe, "representative_runs": q_representative, "recluster_average_linkage": q_recluster, "entity_extract": q_entities,
+    "profile_enrol_idempotent": q_enrol_again, "profile_enrol_all_again": q_enrol_all_again, "unsafe_sources": q_unsafe, "representative_runs": q_representative, "recluster_average_linkage": q_recluster, "entity_extract": q_entities,
     "entity_priority": q_priority, "ordered_distinct_names": q_names, "biasing_prompt": q_prompt, "control_token_strip": q_control, "line_ownership": q_ownership, "term_frequency": q_terms,
     "lexicon_anti": q_terms_unknown, "alias_unique": q_aliases, "glossary_pack": q_pack, "dice_normalize": q_dice, "markdown_turns": q_md_turns, "word_chunks": q_word_chunks, "turn_chunks": q_turn_chunks,
     "coverage_check": q_coverage, "turn_headers": q_headers, "refine_reason": q_reasons, "envelope_join": q_envelopes, "callout_strip": q_callouts, "callout_strip_all": q_callouts_all, "transcript_cache_hit": q_transcript_hit,
@@ -315,6 +324,7 @@ ORACLES = {
     "cluster_classify_allowed": "WITH " + BEST.format("WHERE speaker IN (SELECT character_name FROM roster)", ""),
     "profile_enrol": HALF + ", mm AS (SELECT ou.label, ou.pos, ou.n + w.n AS n, (ou.n * u + w.n * w.x) / (ou.n + w.n) AS x FROM ou JOIN w ON w.label = ou.label AND w.pos = ou.pos) SELECT label AS speaker, n AS sample_count, CAST(pos AS INTEGER) AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM mm",
     "profile_enrol_idempotent": HALF + " SELECT label AS speaker, n AS sample_count, CAST(pos AS INTEGER) AS pos, round(u, 6) AS x FROM ou",
+    "profile_enrol_all_again": f"WITH {EM} SELECT label AS speaker, n AS sample_count, CAST(pos AS INTEGER) AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM me",
     "unsafe_sources": f"WITH {AL} SELECT session_id, coalesce(source_turn_id, turn_id) AS source_turn_id FROM al GROUP BY ALL HAVING bool_or(uncertain) OR count(DISTINCT speaker) > 1 OR count(DISTINCT cluster_id) > 1",
     "representative_runs": f"WITH {AL} SELECT session_id, coalesce(source_turn_id, turn_id) AS source_turn_id, arg_min(turn_id, (turn_id <> coalesce(source_turn_id, turn_id), start_ms, turn_id)) AS turn_id, arg_min(start_ms, (turn_id <> coalesce(source_turn_id, turn_id), start_ms, turn_id)) AS start_ms FROM al GROUP BY session_id, coalesce(source_turn_id, turn_id)",
     "entity_extract": r"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\[\[([^\[\]]+)\]\]', 1), lambda x: {'kind': 'wikilink', 'name': CASE WHEN contains(x, '|') THEN string_split(x, '|')[-1] ELSE string_split(x, '#')[1] END})
