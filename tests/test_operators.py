@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -62,6 +63,20 @@ def test_alignment_cases(spark):
     assert [(r.session_id, r.turn_id, r.uncertain) for r in got] == [("max", 5, True), *(("near", i, False) for i in (10, 10, 10, 20, 20)), ("tie", 5, True)]
 
 
+def test_nearest_turns_across_chunks(spark):
+    rng, day = random.Random(8), 40_000_000
+    spans = [(s, s + rng.randrange(1, 4) * 1000) for s in (rng.randrange(3, day // 1000) * 1000 for _ in range(40))]
+    people = [("x", i, s, e, f"C{i}") for i, (s, e) in enumerate(spans)]
+    asked = [("x", i, 2 * m) for i, m in enumerate([0, day * 2, *(rng.randrange(day // 1000) * 1000 for _ in range(80))]) if not any(s <= m <= e for s, e in spans)]
+    groups = spark.createDataFrame([*asked, ("none", 0, 5)], "session_id string, group_no long, middle2 long")
+    near = timeline._nearest_turn(groups, spark.createDataFrame(people, "session_id string, turn_id int, ts long, te long, cluster_id string"))
+    got = {(r.session_id, r.group_no): r.near_id for r in near.collect()}
+    want = {("x", g): min((abs((2 * e if 2 * e <= m else 2 * s) - m), s, i) for _, i, s, e, _ in people)[2] for _, g, m in asked}
+    assert got == want | {("none", 0): None}
+    plan = near._jdf.queryExecution().analyzed().toString()
+    assert "__chunk" in plan and "windowspecdefinition(session_id" in plan and not re.search(r"windowspecdefinition\(session_id#\d+, at#", plan)
+
+
 def test_runs_of_one_turn_get_new_ids(spark):
     rows = [("x", i, s, s + 1000, 1, f"w{i}", k, c, False) for i, (s, k, c) in enumerate([(1000, 4, "A"), (5000, 5, "B"), (8000, 4, "A")], 1)]
     df = spark.createDataFrame(rows, "session_id string, group_no long, start_ms long, end_ms long, n_words long, text string, turn_id int, cluster_id string, uncertain boolean")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.operators.ordered import CHUNK, chunked, previous, row_numbers, running_sum
+from voxframe.operators.ordered import CHUNK, CHUNK_MS, chunked, filled, previous, row_numbers, running_sum
 from voxframe.session import cut
 
 #: Apostrophes and hyphens that tie a token to its neighbour (fixed values).
@@ -110,11 +110,15 @@ def _nearest_turn(groups: DataFrame, turns: DataFrame) -> DataFrame:
     ends = turns.select("session_id", (F.col("te") * 2).alias("at"), F.struct("ts", "turn_id", "cluster_id").alias("t"), F.lit(None).cast("long").alias("group_no"))
     starts = turns.select("session_id", (F.col("ts") * 2).alias("at"), F.struct("ts", "turn_id", "cluster_id").alias("t"), F.lit(None).cast("long").alias("group_no"))
     asked = groups.select("session_id", F.col("middle2").alias("at"), F.lit(None).cast("struct<ts:bigint,turn_id:int,cluster_id:string>").alias("t"), "group_no")
-    side = lambda rows, up: rows.unionByName(asked).withColumn("v", F.when(F.col("t").isNotNull(), F.struct("at", "t")))
-    before = Window.partitionBy("session_id").orderBy("at", F.col("t").isNull(), F.col("t.ts").desc(), F.col("t.turn_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("session_id").orderBy(F.col("at").desc(), F.col("t").isNull(), F.col("t.ts").desc(), F.col("t.turn_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    left = side(ends, False).withColumn("l", F.last("v", True).over(before)).filter("group_no is not null").select("session_id", "group_no", F.col("at").alias("m"), "l")
-    right = side(starts, True).withColumn("r", F.last("v", True).over(after)).filter("group_no is not null").select("session_id", "group_no", "r")
+    order = ["__at", "__asked", "__ts", "__id"]
+
+    def side(rows: DataFrame, at: Column, out: str) -> DataFrame:
+        every = rows.unionByName(asked).select("*", at.alias("__at"), F.col("t").isNull().alias("__asked"), (-F.col("t.ts")).alias("__ts"), (-F.col("t.turn_id")).alias("__id"), F.when(F.col("t").isNotNull(), F.struct("at", "t")).alias("v"))
+        return filled(chunked(every, "__at", 2 * CHUNK_MS), ["session_id"], order, "v", out).filter("group_no is not null")
+
+    # a group without a turn on its side is filled from the other one
+    left = side(ends, F.col("at"), "l").select("session_id", "group_no", F.col("at").alias("m"), F.when(F.col("l.at") <= F.col("at"), F.col("l")).alias("l"))
+    right = side(starts, F.coalesce(-F.col("at"), F.lit(2**61)), "r").select("session_id", "group_no", F.when(F.coalesce(F.col("r.at") >= F.col("at"), F.lit(True)), F.col("r")).alias("r"))
     both = left.join(right, ["session_id", "group_no"])
     far = lambda v: F.when(F.col(v).isNotNull(), F.struct(F.abs(F.col(f"{v}.at") - F.col("m")).alias("d"), F.col(f"{v}.t.ts").alias("ts"), F.col(f"{v}.t.turn_id").alias("id"), F.col(f"{v}.t.cluster_id").alias("c")))
     nearest = F.least(far("l"), far("r"))
