@@ -6,19 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.session import cut
 
-#: Bytes of a window, sizes of the network, and the training.
-WINDOW, EMBEDDING, WIDTHS, FILTERS, EPOCHS, BATCH, RATE, SEED = 128, 8, (2, 3, 4, 5), 32, 8, 64, 4e-3, 11
+#: Bytes of a window, values of a byte, widths of the filters and filters of each width.
+WINDOW, EMBEDDING, WIDTHS, FILTERS = 128, 8, (2, 3, 4, 5), 32
+#: Passes over the training windows, windows of a step, step size, share of the label given to all classes, and seed.
+EPOCHS, BATCH, RATE, SMOOTHING, SEED = 6, 64, 4e-3, 0.05, 11
+#: Fewest steps, however few the windows (then there are more passes), and the shortest crop of a window in training.
+LEAST_STEPS, SHORTEST_CROP = 400, 16
 #: Labelled documents of a language, and windows of a document, in the training sample: the bounds of what the driver gets.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
-#: A paragraph less certain than this has its document's main language.
-SURE = 0.6
-#: Fewest letters of a text that has a language.
-LEAST_LETTERS = 3
+#: Windows of one forward pass.
+FORWARD = 32
+#: Evidence (log odds against the main language, in whole windows) from which on a paragraph makes another language one of its document's.
+#: Measured over seeds: paragraphs of other languages have 1.6 and more, those that the network takes wrongly below 0.9.
+EVIDENCE = 1.2
+#: Parts a text's paragraphs are put apart by while it is cleaned (a control character; the texts' own are removed before).
+BREAK = "\x01"
 #: Usual notations of the languages besides their two-letter codes (fixed values).
 NOTATIONS = {
     "fr": "fra fre french français francais", "en": "eng english anglais", "de": "deu ger german deutsch allemand", "es": "spa spanish español espanol castellano espagnol",
@@ -34,176 +42,262 @@ def label_code(label: Column) -> Column:
     return F.coalesce(F.try_element_at(codes, plain), F.when(plain.rlike(r"^[a-z]{2,3}[-_][a-z0-9]{2,4}$"), F.try_element_at(codes, F.regexp_extract(plain, r"^([a-z]+)", 1))))
 
 
-def paragraphs(text: Column) -> Column:
-    """Blocks between lines that are empty or hold only white space; blank blocks are left out."""
-    unix = F.regexp_replace(text, r"\r\n?", "\n")
-    return F.filter(F.split(unix, r"(?U)\n(?:[^\S\n]*\n)+"), lambda p: p.rlike(r"(?U)\S"))
+def prose_paragraphs(text: Column) -> Column:
+    """The paragraphs of a text, each as the small letters that have a language; null for a null text, ``['']`` for a blank one.
 
-
-def prose(text: Column) -> Column:
-    """Small letters of a text without what has no language: headings, front matter, control tokens, links, names before speech, numbers and dice."""
-    front = r"(?s)^\s*---\s*\n.*?\n\s*---[^\S\n]*(?=\n|$)"
+    Paragraphs are the non-blank blocks between lines that are empty or hold only white space. Headings, front matter,
+    control tokens, links, names before speech, numbers and dice have no language; a paragraph of nothing else is empty.
+    The whole text is cleaned at once, with marks between the paragraphs.
+    """
     token = r"<\|[^|<>]*\|>"
-    t = F.when(text.contains("---"), F.regexp_replace(text, front, " ")).otherwise(text)
-    t = F.regexp_replace(t, rf"(?mU)^(?:\s|{token})*(?:#{{1,6}}\s.*$|[^\s:<]{{2,40}}:(?=\s))|{token}|\[\[[^\]]*\]\]", " ")
-    t = F.regexp_replace(t, r"[^\p{L}\p{M}'’]*?\b\d*+[dD]\d+\b|[^\p{L}\p{M}'’]+", " ")
-    return F.lower(F.trim(t))
+    t = F.replace(F.replace(F.replace(text, F.lit(BREAK), F.lit(" ")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    t = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    t = F.regexp_replace(t, r"(?U)\n(?:[^\S\n]*\n)+", f"\n{BREAK}\n")
+    front = rf"^---[^\S\n]*\n[^{BREAK}]*?\n\s*---[^\S\n]*(?=\n|$)"
+    t = F.when(t.startswith("---"), F.regexp_replace(t, front, " ")).otherwise(t)
+    t = F.regexp_replace(t, rf"(?m)^(?:\s|{token})*(?:#{{1,6}}\s.*$|[^\s:<]{{2,40}}:(?=\s))|{token}|\[\[[^\]]*\]\]", " ")
+    t = F.when(t.rlike(r"\d"), F.regexp_replace(t, r"\b\d*+[dD]\d+\b", " ")).otherwise(t)
+    return F.split(F.lower(F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}'’{BREAK}]+", " ")), rf" ?{BREAK} ?")
 
 
 class ByteNetwork:
-    """Byte embedding, filters of several widths, the greatest response of each over the window, and a softmax."""
-
-    def __init__(self, classes: int) -> None:
-        rng = np.random.default_rng(SEED)
-        self.weights = {"e": rng.normal(0, 0.5, (256, EMBEDDING))}
-        for w in WIDTHS:
-            self.weights[f"f{w}"] = rng.normal(0, (2 / (w * EMBEDDING)) ** 0.5, (w * EMBEDDING, FILTERS))
-            self.weights[f"b{w}"] = np.zeros(FILTERS)
-        self.weights["o"] = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), classes))
-        self.weights["c"] = np.zeros(classes)
-        self.weights = {k: v.astype(np.float32) for k, v in self.weights.items()}
-
-    def _forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        e = self.weights["e"][x]
-        pooled, places = [], []
-        for w in WIDTHS:
-            patches = np.lib.stride_tricks.sliding_window_view(e, w, axis=1).transpose(0, 1, 3, 2).reshape(len(x), WINDOW - w + 1, w * EMBEDDING)
-            response = patches @ self.weights[f"f{w}"]
-            best = response.argmax(1)
-            top = np.take_along_axis(response, best[:, None, :], 1)[:, 0] + self.weights[f"b{w}"]
-            pooled.append(np.maximum(top, 0))
-            places.append((best, patches))
-        hidden = np.concatenate(pooled, 1)
-        z = hidden @ self.weights["o"] + self.weights["c"]
-        p = np.exp(z - z.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True), hidden, places
-
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        parts = [self._responses(x[i : i + BATCH]) for i in range(0, len(x), BATCH)]
-        return np.concatenate(parts) if parts else np.zeros((0, len(self.weights["c"])), np.float32)
-
-    def _responses(self, x: np.ndarray) -> np.ndarray:
-        """As the forward pass, without what the gradient needs."""
-        e = self.weights["e"][x].reshape(len(x), -1)
-        pooled = []
-        for w in WIDTHS:
-            patches = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(e, w * EMBEDDING, axis=1)[:, ::EMBEDDING])
-            response = patches.reshape(-1, w * EMBEDDING) @ self.weights[f"f{w}"]
-            pooled.append(np.maximum(response.reshape(len(x), -1, FILTERS).max(1) + self.weights[f"b{w}"], 0))
-        z = np.concatenate(pooled, 1) @ self.weights["o"] + self.weights["c"]
-        p = np.exp(z - z.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+    """Byte embedding, filters of several widths, the greatest response of each over the window, and a softmax.
+
+    The filters of all widths are one matrix over the widest stretch of bytes, with zeros where a narrower one doesn't reach.
+    A byte of zero is padding and has the zero embedding.
+    """
+
+    def __init__(self, classes: int, seed: int = SEED) -> None:
+        self.rng = np.random.default_rng(seed)
+        widest, count = max(WIDTHS), FILTERS * len(WIDTHS)
+        scale = np.repeat([(2 / (w * EMBEDDING)) ** 0.5 for w in WIDTHS], FILTERS)
+        reach = np.repeat(WIDTHS, FILTERS) * EMBEDDING
+        self.mask = (np.arange(widest * EMBEDDING)[:, None] < reach).astype(np.float32)
+        weights = {
+            "embedding": self.rng.normal(0, 0.5, (256, EMBEDDING)), "filters": self.rng.normal(0, 1, (widest * EMBEDDING, count)) * scale * self.mask, "bias": np.zeros(count),
+            "out": self.rng.normal(0, 0.1, (count, classes)), "out_bias": np.zeros(classes),
+        }
+        self.weights = {k: v.astype(np.float32) for k, v in weights.items()}
+        self.weights["embedding"][0] = 0
+
+    def _stretches(self, x: np.ndarray) -> np.ndarray:
+        """The embedded bytes from each position on (windows x positions x values)."""
+        widest = max(WIDTHS)
+        padded = np.concatenate([x, np.zeros((len(x), widest - 1), np.uint8)], 1)
+        flat = self.weights["embedding"][padded].reshape(len(x), -1)
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, widest * EMBEDDING, axis=1)[:, ::EMBEDDING])
+
+    def _responses(self, stretches: np.ndarray) -> np.ndarray:
+        return (stretches.reshape(-1, stretches.shape[2]) @ self.weights["filters"]).reshape(*stretches.shape[:2], -1)
+
+    def _softmax(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pooled responses after the rectifier, and the log-probabilities."""
+        hidden = np.maximum(top + self.weights["bias"], 0)
+        z = hidden @ self.weights["out"] + self.weights["out_bias"]
+        z -= z.max(1, keepdims=True)
+        return hidden, z - np.log(np.exp(z).sum(1, keepdims=True))
+
+    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
+        parts = [self._softmax(self._responses(self._stretches(x[i : i + FORWARD])).max(1))[1] for i in range(0, len(x), FORWARD)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.weights["out_bias"])), np.float32)
 
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, hidden, places = self._forward(x)
-        p[np.arange(len(y)), y] -= 1
-        p /= len(y)
-        found = {"o": hidden.T @ p, "c": p.sum(0), "e": np.zeros_like(self.weights["e"])}
-        back = (p @ self.weights["o"].T) * (hidden > 0)
-        for k, w in enumerate(WIDTHS):
-            g, (best, patches) = back[:, k * FILTERS : (k + 1) * FILTERS], places[k]
-            at = patches[np.arange(len(x))[:, None], best]
-            found[f"f{w}"] = np.einsum("bfk,bf->kf", at, g)
-            found[f"b{w}"] = g.sum(0)
-            pull = np.einsum("bf,kf->bfk", g, self.weights[f"f{w}"]).reshape(-1, EMBEDDING)
-            np.add.at(found["e"], x[np.arange(len(x))[:, None, None], best[:, :, None] + np.arange(w)].ravel(), pull)
-        return found
+        stretches = self._stretches(x)
+        response = np.matmul(self.weights["filters"].T, stretches.transpose(0, 2, 1))  # positions last: the greatest is found faster
+        best = response.argmax(2)
+        hidden, logs = self._softmax(response.max(2))
+        target = np.full_like(logs, SMOOTHING / logs.shape[1])
+        target[np.arange(len(y)), y] += 1 - SMOOTHING
+        error = (np.exp(logs) - target) / len(y)
+        back = (error @ self.weights["out"].T) * (hidden > 0)
+        chosen = stretches[np.arange(len(x))[:, None], best]
+        pull = (back[:, :, None] * self.weights["filters"].T).reshape(-1, EMBEDDING)
+        padded = np.concatenate([x, np.zeros((len(x), max(WIDTHS) - 1), np.uint8)], 1)
+        byte = padded[np.arange(len(x))[:, None, None], best[:, :, None] + np.arange(max(WIDTHS))].ravel()
+        embedding = np.stack([np.bincount(byte, pull[:, d], 256) for d in range(EMBEDDING)], 1)
+        embedding[0] = 0
+        return {"embedding": embedding, "filters": np.einsum("bfk,bf->kf", chosen, back, optimize=True) * self.mask, "bias": back.sum(0), "out": hidden.T @ error, "out_bias": error.sum(0)}
+
+    def _cropped(self, x: np.ndarray) -> np.ndarray:
+        """Half of the windows whole, of the others a random stretch, so that short paragraphs are seen."""
+        length = (x > 0).cumsum(1).max(1)
+        wanted = np.where(self.rng.random(len(x)) < 0.5, length, self.rng.integers(SHORTEST_CROP, WINDOW + 1, len(x)))
+        wanted = np.minimum(wanted, length)
+        begin = (self.rng.random(len(x)) * (length - wanted + 1)).astype(int)
+        moved = np.take_along_axis(x, np.minimum(begin[:, None] + np.arange(WINDOW), WINDOW - 1), 1)
+        return np.where(np.arange(WINDOW) < wanted[:, None], moved, 0).astype(np.uint8)
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> None:
-        """Adam; windows are cropped at random so that short texts are seen, and from half-way on windows whose label the network doubts are left out."""
-        rng = np.random.default_rng(SEED)
+        """Adam with falling steps; from half-way on, windows whose label isn't what the network finds (wrong labels, paragraphs in another language) are left out.
+
+        A label of which most windows would be left out keeps them all.
+        """
+        epochs = max(epochs, -(-LEAST_STEPS // max(1, len(x) // BATCH)))
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        step, use = 0, np.arange(len(x))
+        step, steps, use = 0, max(1, epochs * max(1, len(x) // BATCH)), np.arange(len(x))
         for epoch in range(epochs):
-            if epoch == epochs // 2 and len(x):
-                use = np.flatnonzero(self.probabilities(x)[np.arange(len(y)), y] > 0.3)
-            for part in np.array_split(rng.permutation(use), max(1, len(use) // BATCH)):
+            if epoch == epochs // 2:
+                agreed = self.log_probabilities(x).argmax(1) == y
+                known = np.bincount(y, agreed) >= 0.5 * np.bincount(y)
+                use = np.flatnonzero(agreed | ~known[y])
+            for part in np.array_split(self.rng.permutation(use), max(1, len(use) // BATCH)):
                 if not len(part):
                     continue
-                length = np.where(rng.random(len(part)) < 0.5, WINDOW, rng.integers(24, WINDOW + 1, len(part)))
-                batch = np.where(np.arange(WINDOW) < length[:, None], x[part], 0)
                 step += 1
-                for k, g in self._gradient(batch, y[part]).items():
+                rate = RATE * max(0.03, 1 - step / steps)
+                for k, g in self._gradient(self._cropped(x[part]), y[part]).items():
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
-                    self.weights[k] -= (RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
-
-
-def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Windows over the whole text's bytes, padded with zeros, and the new bytes of each; the last one ends where the text ends."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    count = max(1, -(-len(raw) // WINDOW))
-    out, size = np.zeros((count, WINDOW), np.uint8), np.full(count, WINDOW, np.int64)
-    whole = len(raw) // WINDOW
-    out[:whole] = raw[: whole * WINDOW].reshape(whole, WINDOW)
-    if whole < count:
-        size[-1] = len(raw) - whole * WINDOW
-        tail = raw[-WINDOW:]
-        out[-1, : len(tail)] = tail
-    return out, size
-
-
-def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for key, code, text in zip(b["key"], b["code"], b["prose"], strict=True):
-            found = windows_of(text)[0]
-            for i in np.unique(np.linspace(0, len(found) - 1, SAMPLE_WINDOWS).round().astype(int)):
-                rows.append((key, code, int(i), found[i].tobytes()))
-        yield pd.DataFrame(rows, columns=["key", "code", "i", "window"])
-
-
-def train_network(docs: DataFrame, codes: list[str]) -> ByteNetwork:
-    """Trains on at most ``SAMPLE_DOCS`` labelled documents of each language, chosen by a hash of their key, and ``SAMPLE_WINDOWS`` windows of each, spread over the text."""
-    labelled = docs.withColumn("code", label_code(F.col("label"))).filter(F.col("code").isin(codes) & F.col("text").isNotNull())
+                    self.weights[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+
+
+def windows_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows over all bytes of all texts: the text of each, where it begins in the joined bytes, its bytes, and how many of them are new.
+
+    A text has a window for every ``WINDOW`` bytes; the last one ends where the text ends. An empty text has none.
+    """
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    length = np.diff(at)
+    count = -(-length // WINDOW)
+    owner = np.repeat(np.arange(len(texts)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    begin = at[:-1][owner] + np.minimum(number * WINDOW, np.maximum(0, length[owner] - WINDOW))
+    size = np.minimum(WINDOW, length[owner])
+    new = np.minimum(WINDOW, length[owner] - number * WINDOW)
+    return owner, begin, size, new
+
+
+def window_bytes(texts: pa.Array, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    place = begin[:, None] + np.arange(WINDOW)
+    inside = np.arange(WINDOW) < size[:, None]
+    return np.where(inside, data[np.where(inside, place, 0)], 0).astype(np.uint8) if len(data) else np.zeros((len(begin), WINDOW), np.uint8)
+
+
+def _flat(batch: pa.RecordBatch, column: str) -> tuple[pa.Array, np.ndarray]:
+    """The paragraphs of all documents of a batch in one array, and the document of each."""
+    lists = batch.column(column)
+    if pa.types.is_large_list(lists.type):
+        lists = lists.cast(pa.list_(pa.string()))
+    texts = pa.concat_arrays([lists.flatten().cast(pa.string())])
+    return texts, np.repeat(np.arange(len(lists)), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Up to ``SAMPLE_WINDOWS`` windows of each document, spread over its text."""
+    for batch in batches:
+        texts, doc = _flat(batch, "parts")
+        owner, begin, size, _ = windows_of(texts)
+        long = size >= SHORTEST_CROP
+        owner, begin, size = owner[long], begin[long], size[long]
+        of = doc[owner]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        total = np.searchsorted(of, of, "right") - np.searchsorted(of, of)
+        # the first window of each of SAMPLE_WINDOWS equal shares
+        chosen = (total <= SAMPLE_WINDOWS) | (rank * SAMPLE_WINDOWS // np.maximum(total, 1) != (rank - 1) * SAMPLE_WINDOWS // np.maximum(total, 1))
+        of, begin, size = of[chosen], begin[chosen], size[chosen]
+        found = window_bytes(texts, begin, size)
+        yield pa.record_batch([batch.column("key").take(pa.array(of)), batch.column("code").take(pa.array(of)), pa.array(rank[chosen]), pa.array([w.tobytes() for w in found], pa.binary())], names=["key", "code", "i", "window"])
+
+
+def train_network(docs: DataFrame, codes: list[str], seed: int = SEED) -> ByteNetwork:
+    """Trains on at most ``SAMPLE_DOCS`` labelled documents of each language, chosen by a hash of their key, and ``SAMPLE_WINDOWS`` windows of each, spread over the text.
+
+    Windows lie within paragraphs, as those that are classified. The sample and so the network depend on the rows only,
+    not on their order or partitioning.
+    """
     order = Window.partitionBy("code").orderBy(F.xxhash64("key"), "key")
-    keys = labelled.select("key", "code").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).select("key", "code")
-    chosen = labelled.join(F.broadcast(keys), ["key", "code"]).select("key", "code", prose(F.col("text")).alias("prose")).filter(F.length("prose") >= 20)
-    sample = chosen.mapInPandas(_sampled, "key long, code string, i int, window binary").toPandas().drop_duplicates(["key", "i"]).sort_values(["key", "i"])
-    network = ByteNetwork(len(codes))
+    labelled = docs.filter(F.col("text").isNotNull()).select("key", label_code(F.col("label")).alias("code")).filter(F.col("code").isin(codes)).distinct()
+    keys = labelled.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).select("key", "code")
+    chosen = docs.filter(F.col("text").isNotNull()).select("key", "text").join(F.broadcast(keys), "key").select("key", "code", prose_paragraphs(F.col("text")).alias("parts"))
+    sample = chosen.mapInArrow(_sampled, "key long, code string, i long, window binary").toPandas().sort_values(["key", "i", "window"]).drop_duplicates(["key", "code", "i"])
+    network = ByteNetwork(len(codes), seed)
     if len(sample):
         x = np.frombuffer(b"".join(sample["window"]), np.uint8).reshape(-1, WINDOW)
         network.train(x, sample["code"].map({c: i for i, c in enumerate(codes)}).to_numpy())
     return network
 
 
+def decided(logs: np.ndarray, letters: np.ndarray, doc: np.ndarray, n_docs: int, evidence: float = EVIDENCE) -> tuple[np.ndarray, np.ndarray]:
+    """Language of each paragraph, and the main one of each document.
+
+    ``logs`` has the log-probabilities of each paragraph, summed over its windows (a part of a window counts as that part).
+    The main language is the one with most letters in paragraphs that it fits best. Another is a language of the document
+    if one of its paragraphs speaks for it, against the main one, by ``evidence`` or more; a paragraph gets the best
+    language of its document.
+    """
+    best = logs.argmax(1)
+    weight = np.zeros((n_docs, logs.shape[1]))
+    np.add.at(weight, (doc, best), letters)
+    main = weight.argmax(1)
+    odds = logs - np.take_along_axis(logs, main[doc][:, None], 1)
+    spoken = np.full((n_docs, logs.shape[1]), -np.inf)
+    np.maximum.at(spoken, (doc, best), odds[np.arange(len(best)), best])
+    allowed = spoken >= evidence
+    allowed[np.arange(n_docs), main] = True
+    lang = np.where(allowed[doc], logs, -np.inf).argmax(1)
+    weight[:] = 0
+    np.add.at(weight, (doc, lang), letters)
+    return lang, weight.argmax(1)
+
+
 def _classified(network: ByteNetwork, codes: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
+    names = pa.array(codes, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            parts = [windows_of(t) for t in b["prose"]]
-            owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            size = np.concatenate([p[1] for p in parts])
-            p = network.probabilities(np.concatenate([p[0] for p in parts]))
-            total = np.zeros((len(parts), len(codes)))
-            np.add.at(total, owner, p * size[:, None])
-            total /= total.sum(1, keepdims=True)
-            best = total.argmax(1)
-            yield pd.DataFrame({"key": b["key"], "segment_no": b["segment_no"], "n_chars": b["n_chars"], "lang": [codes[i] for i in best], "confidence": total[np.arange(len(best)), best]})
+            texts, doc = _flat(batch, "parts")
+            number = np.arange(len(doc)) - np.searchsorted(doc, doc) + 1
+            # a paragraph has a language if it holds a word of two letters
+            worded = np.flatnonzero(np.asarray(pa.compute.match_substring_regex(texts, r"\pL\pL"), bool))
+            texts, doc, number = texts.take(pa.array(worded)), doc[worded], number[worded]
+            if not len(texts):
+                continue
+            letters = np.asarray(pa.compute.utf8_length(pa.compute.replace_substring_regex(texts, r"[ '’]+", ""))).astype(np.int64)
+            owner, begin, size, new = windows_of(texts)
+            logs = np.zeros((len(texts), len(codes)))
+            for i in range(0, len(owner), 64 * FORWARD):
+                part = slice(i, i + 64 * FORWARD)
+                p = network.log_probabilities(window_bytes(texts, begin[part], size[part]))
+                np.add.at(logs, owner[part], p * (new[part, None] / WINDOW))
+            lang, main = decided(logs, letters, doc, batch.num_rows)
+            odds = np.exp(logs - logs.max(1, keepdims=True))
+            sure = odds[np.arange(len(lang)), lang] / odds.sum(1)
+            heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            of = doc[heads]
+            spread = np.zeros((batch.num_rows, len(codes)))
+            np.add.at(spread, (doc, lang), letters)
+            own = np.zeros(batch.num_rows)
+            np.add.at(own, doc, np.where(lang == main[doc], letters * sure, 0))
+            rows = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(letters), names.take(pa.array(lang)), pa.array(sure)], names=["segment_no", "n_chars", "lang", "confidence"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(doc)].astype(np.int32)), rows)
+            main_share = own[of] / spread[of, main[of]]
+            here = pa.array(of)
+            columns = [batch.column(c).take(here) for c in ("key", "code", "copy")]
+            yield pa.record_batch([*columns, names.take(pa.array(main[of])), pa.array(main_share), pa.array((spread[of] > 0).sum(1)), lists], names=["key", "code", "copy", "lang", "confidence", "n_langs", "segments"])
 
     return run
 
 
-def identify_languages(docs: DataFrame, codes: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Languages of documents and of their paragraphs.
+def identify_languages(docs: DataFrame, codes: list[str], seed: int = SEED) -> DataFrame:
+    """``key, code, lang, confidence, n_langs, segments`` of every document with words.
+
+    ``docs`` has ``key`` (long), ``text, label``. ``code`` is the language that the label names (null: none), ``lang`` the
+    main language (most letters; ties: first code), ``n_langs`` the number of languages of the document, and ``segments``
+    its paragraphs with a language (``segment_no, n_chars, lang, confidence``), numbered from 1 over all non-blank blocks.
+    A confidence is the probability that the network gives, weighed by the length of the text: little text, little
+    certainty; that of a document is the mean over the letters of its main language.
 
-    ``docs`` has ``key`` (long), ``text, label``. First result ``key, segment_no, n_chars, lang, confidence``: every
-    paragraph with a language, numbered from 1 over all non-blank blocks. Second ``key, lang, confidence, n_langs``: the
-    main language (most letters; ties: first code) of every document with words, and the number of its languages.
-    Null, empty and wordless texts have no row, whole texts of any length are read, rows repeated under one key count
-    once, a paragraph less certain than ``SURE`` takes the main language of the surer ones. Empty tables give no rows.
+    Null, empty and wordless texts have no row; whole texts of any length are read. Rows repeated under one key count
+    once; of different texts or labels under one key the one with the smallest hash counts. Empty tables give no rows;
+    other columns are ignored. A document is decided where it lies: nothing is shuffled but the results.
     """
-    network = train_network(docs, codes)
-    parts = docs.filter("key is not null").select("key", F.posexplode(F.transform(paragraphs(F.col("text")), prose)).alias("pos", "prose"))
-    parts = parts.withColumn("n_chars", F.length(F.translate("prose", " '’", "")).cast("long")).filter(F.col("n_chars") >= LEAST_LETTERS)
-    rows = parts.select("key", (F.col("pos") + 1).alias("segment_no"), "n_chars", "prose")
-    raw = cut(rows.mapInPandas(_classified(network, codes), "key long, segment_no int, n_chars long, lang string, confidence double").dropDuplicates(["key", "segment_no"]))
-    weight = F.when(F.col("confidence") >= SURE, F.col("n_chars")).otherwise(0)
-    by_lang = raw.groupBy("key", "lang").agg(F.sum(weight).alias("sure"), F.sum("n_chars").alias("chars"))
-    first = by_lang.groupBy("key").agg(F.max(F.struct("sure", "chars", "lang")).alias("x")).select("key", F.col("x.lang").alias("main"))
-    segments = raw.join(first, "key").withColumn("lang", F.when(F.col("confidence") >= SURE, F.col("lang")).otherwise(F.col("main"))).drop("main")
-    spread = segments.groupBy("key", "lang").agg(F.sum("n_chars").alias("n"), (F.sum(F.col("n_chars") * F.col("confidence")) / F.sum("n_chars")).alias("c"))
-    whole = spread.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("m"), "lang", "c")).alias("x"), F.count("*").alias("n_langs"))
-    return segments, whole.select("key", "x.lang", F.col("x.c").alias("confidence"), "n_langs")
+    network = train_network(docs, codes, seed)
+    parts = docs.filter("key is not null and text is not null").select("key", label_code(F.col("label")).alias("code"), F.xxhash64("text", "label").alias("copy"), prose_paragraphs(F.col("text")).alias("parts"))
+    segment = "struct<segment_no: int, n_chars: long, lang: string, confidence: double>"
+    found = parts.mapInArrow(_classified(network, codes), f"key long, code string, copy long, lang string, confidence double, n_langs long, segments array<{segment}>")
+    once = found.groupBy("key").agg(F.min_by(F.struct("code", "lang", "confidence", "n_langs", "segments"), "copy").alias("x"))
+    return cut(once.select("key", "x.*"))

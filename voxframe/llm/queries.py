@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.timeexpr import to_ms
 from voxframe.llm.clusters import similarity_clusters
-from voxframe.llm.langid import identify_languages, label_code
+from voxframe.llm.langid import identify_languages
 from voxframe.llm.names import link_names
 from voxframe.llm.nearest_time import nearest_in_time
 from voxframe.llm.neighbours import similar_vectors
@@ -71,11 +71,10 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = sorted(r[0] for r in table(spark, sf_dir, "lang_codes").select("code").distinct().collect())  # the fixed list of languages
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
-    segments, whole = identify_languages(docs, codes)
-    wrong = docs.select("key", label_code(F.col("label")).alias("code")).join(whole, "key").filter(~F.col("code").eqNullSafe(F.col("lang")))
-    mixed = segments.join(whole.filter("n_langs > 1").select("key"), "key")
-    main = wrong.select(F.col("key").alias("doc_id"), F.lit(0).alias("segment_no"), "lang")
-    return main.unionByName(mixed.select(F.col("key").alias("doc_id"), "segment_no", "lang")).distinct()
+    found = identify_languages(docs, codes)
+    main = found.filter(~F.col("code").eqNullSafe(F.col("lang"))).select(F.col("key").alias("doc_id"), F.lit(0).alias("segment_no"), "lang")
+    mixed = found.filter("n_langs > 1").select(F.col("key").alias("doc_id"), F.inline("segments")).select("doc_id", "segment_no", "lang")
+    return main.unionByName(mixed)
 
 
 P3_SQL = """
