@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from voxframe.llm import vectors
 from voxframe.llm.clusters import linked, similarity_clusters
 from voxframe.llm.components import components
 from voxframe.llm.neighbours import best_pairs, similar_vectors
-from voxframe.llm.vectors import pack, unpack
+from voxframe.llm.vectors import joined_spread, pack, unpack
 
 SCHEMA = "ord int, v array<float>, id string, cell int"
 
@@ -52,7 +54,7 @@ def test_clusters_equal_brute_force(spark):
     v = voices()
     c = cosines(v)
     want = components_of([(i, j) for i in range(len(v)) for j in range(len(v)) if i < j and c[i, j] >= 0.9], len(v))
-    for rows in (20_000, 12):  # 12: hot cells are divided
+    for rows in (60_000, 12):  # 12: all cells are hot and cut into slices
         members, typical = similarity_clusters(table(spark, v, 8), "ord", "v", 0.9, 8, rows)
         got = {r.id: (r.root, r.n) for r in members.collect()}
         right = sum(got[i] == (want[i], want.count(want[i])) for i in range(len(v)))
@@ -113,3 +115,44 @@ def test_linked_and_best_pairs():
 def test_few(n):
     assert linked(np.ones((n, 2)), 0.8).tolist() == list(range(n))
     assert best_pairs(np.ones((n, 2)), None, 5, 0.8)[0].tolist() == []
+
+
+def test_near_copies_stay_few():
+    """Vectors that are alike but for rounding keep 2 k pairs each, not all."""
+    rng = np.random.default_rng(2)
+    v = np.repeat(rng.normal(size=(1, 8)), 5000, 0) * rng.uniform(0.5, 2, (5000, 1))
+    v += rng.normal(size=v.shape) * 1e-8
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    i, j = best_pairs(u, None, 5, 0.8)
+    assert len(i) == 50_000 and {(9, 0), (9, 1), (9, 2), (9, 3), (9, 4)} <= set(zip(i[i == 9].tolist(), j[i == 9].tolist(), strict=True))
+    assert linked(u, 0.8).tolist() == [0] * 5000
+
+
+def test_rescaled_vectors_are_copies(spark):
+    base = np.random.default_rng(5).normal(size=8)
+    rows = [(i, (base * (1 + i)).tolist(), "", 0) for i in range(50)] + [(50, (-base).tolist(), "", 0)]
+    members, _ = similarity_clusters(spark.createDataFrame(rows, "ord int, v array<double>, id string, cell int"), "ord", "v", 0.8, 8)
+    assert {(r.root, r.n) for r in members.collect()} == {(0, 50), (50, 1)}
+
+
+def test_sides_are_compared_with_each_other():
+    v = voices(150, 8, 6)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    c, side = u @ u.T, np.random.default_rng(1).integers(0, 2, 150)
+    across = [(i, j) for i in range(150) for j in range(i) if c[i, j] >= 0.9 and side[i] != side[j]]
+    every = components_of([(i, j) for i in range(150) for j in range(i) if c[i, j] >= 0.9], 150)
+    got = linked(u, 0.9, side).tolist()
+    assert all(got[i] == got[j] for i, j in across) and all(every[i] == every[g] for i, g in enumerate(got))
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(1, i) for i in range(20)] + [(2, 20), (3, 21), (None, 22)], "k int, id int")
+    small = rows.filter("k < 3").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    got = sorted(map(tuple, joined_spread(rows, small, ["k"], "id").select("k", "id", "n", "first").collect()))
+    assert got == [(1, i, 20, 0) for i in range(20)] + [(2, 20, 1, 20)]
+    assert joined_spread(rows, small, ["k"], "id", "left").filter("n is null").count() == 2
+    v = voices()
+    first = {r.id: (r.root, r.n) for r in similarity_clusters(table(spark, v, 8), "ord", "v", 0.9, 8)[0].collect()}
+    monkeypatch.setattr(vectors, "HOT_ROWS", 100_000)
+    assert first == {r.id: (r.root, r.n) for r in similarity_clusters(table(spark, v, 8), "ord", "v", 0.9, 8)[0].collect()}

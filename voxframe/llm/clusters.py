@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm.components import components
-from voxframe.llm.vectors import exact_copies, grouped, pack, unpack, usable, vector_rows, without_copies
+from voxframe.llm.vectors import exact_copies, grouped, joined_spread, packed_units, pair_tasks, unpack, vector_rows, without_copies
 from voxframe.session import cut
 
 #: Cells that each vector enters; rounds of seeding and of moving the centres.
 ENTERED, SEED_ROUNDS, MOVES, SEED = 4, 2, 3, 23
-#: Rows of a cell linked in one task; a larger cell is divided again by centres drawn from its own rows.
-CELL_ROWS = 20_000
+#: Rows of a cell linked in one task; a larger cell is cut into slices, and each pair of slices is a task.
+CELL_ROWS = 60_000
+#: Rows of a task taken as leaders of tight groups before the pairs are compared.
+LEADERS = 64
 #: Members of a cluster summed in one group.
 SLICE_ROWS = 50_000
 BLOCK = 2048
@@ -24,13 +26,13 @@ BLOCK = 2048
 Batches = Iterator[pa.RecordBatch]
 
 
-def _units(size: int) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            ids, units = usable(batch, size)
-            yield pa.record_batch([ids, pack(units)], names=["id", "unit"])
-
-    return run
+def _chance(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A number from 0 to 1 for each id, the same in whatever partition it lies (mixing steps of splitmix64; fixed values)."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64) + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
 def _nearest(units: np.ndarray, centres: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +59,7 @@ def _oversampled(size: int, centres: np.ndarray, rate: float, seed: int) -> Call
             away = np.maximum(0, 2 - 2 * _nearest(units, centres, 1)[1].astype(float))
             cost += away.sum()
             if rate:
-                drawn = np.random.default_rng((seed, int(batch.column("id")[0].as_py()) & (2**63 - 1))).random(len(units)) < rate * away
+                drawn = _chance(batch.column("id").to_numpy(), seed) < rate * away
                 yield pa.record_batch([pa.array(np.zeros(drawn.sum())), batch.column("unit").filter(pa.array(drawn))], names=["cost", "unit"])
         if not rate:
             yield pa.record_batch([pa.array([cost]), pa.array([None], pa.binary())], names=["cost", "unit"])
@@ -93,13 +95,13 @@ def _added(size: int) -> Callable[[int, pa.Table], pa.RecordBatch]:
 
 
 def centres_of(units: DataFrame, k: int, size: int) -> np.ndarray:
-    """At most about ``k`` centres; only candidates and sums of that number reach the driver.
+    """At most about ``k`` centres; only candidates and sums of that number reach the driver. They don't depend on the partitioning but for rounding.
 
     Seeding draws about k vectors in each of a few rounds, all partitions at once, with chances in proportion to the
     squared distance from the vectors drawn so far; the candidates are weighted by the vectors nearest to them and
     thinned to k by the same rule on the driver. Then all vectors move the centres a few times.
     """
-    first = units.limit(1).toArrow()
+    first = units.orderBy(F.xxhash64("id"), "id").limit(1).toArrow()
     if not first.num_rows:
         return np.zeros((0, size))
     centres = unpack(first.column("unit"), size)
@@ -108,7 +110,7 @@ def centres_of(units: DataFrame, k: int, size: int) -> np.ndarray:
         if cost < 1e-9:
             break
         drawn = units.mapInArrow(_oversampled(size, centres, k / cost, SEED + r), "cost double, unit binary").toArrow()
-        centres = np.concatenate([centres, unpack(drawn.column("unit"), size)])
+        centres = np.concatenate([centres, unpack(drawn.column("unit").combine_chunks().sort(), size)])
     schema = "cell long, n long, total array<double>"
     for move in range(MOVES + 1):
         parts = units.mapInArrow(_sums(size, centres), schema).repartition("cell").sortWithinPartitions("cell")
@@ -120,8 +122,8 @@ def centres_of(units: DataFrame, k: int, size: int) -> np.ndarray:
             centres, weight = centres[cells[order]], weight[order]
             centres = centres[_thinned(centres, weight, k)]
             continue
-        norm = np.linalg.norm(total, axis=1)
-        centres = total[norm > 0] / norm[norm > 0, None]
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(norm > 1e-9, total / np.maximum(norm, 1e-300), centres[cells[order]])  # vectors that cancel each other leave the centre where it is
     return centres
 
 
@@ -154,73 +156,75 @@ def _entered(size: int, centres: np.ndarray, with_unit: bool) -> Callable[[Batch
     return run
 
 
-def _divided(size: int, own: dict[int, tuple[int, np.ndarray]]) -> Callable[[Batches], Batches]:
-    """Rows of hot cells enter the cells around their nearest own centres; other rows stay."""
-
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            cell = batch.column("cell").to_numpy()
-            hot = np.isin(cell, list(own))
-            yield batch.filter(pa.array(~hot))
-            for c in np.unique(cell[hot]):
-                part, (begin, centres) = batch.filter(pa.array(cell == c)), own[int(c)]
-                best = begin + _nearest(unpack(part.column("unit"), size), centres, ENTERED)[0]
-                for x in range(best.shape[1]):
-                    yield pa.record_batch([pa.array(np.ascontiguousarray(best[:, x])), part.column("id"), part.column("unit")], names=["cell", "id", "unit"])
+def linked(units: np.ndarray, least: float, side: np.ndarray | None = None) -> np.ndarray:
+    """The first row of each row's chain of links of cosine ``least`` or more; with ``side``, only rows of different sides need be compared.
 
-    return run
-
-
-def linked(units: np.ndarray, least: float) -> np.ndarray:
-    """The first row of each row's chain of links of cosine ``least`` or more."""
-    n, small, low = len(units), units.astype(np.float32), np.float32(least - 1e-5)
+    Rows within half the angle of a leader are within the angle of each other, so tight groups are joined without comparing
+    their pairs; blocks whose rows all have one label already are skipped.
+    """
+    n = len(units)
     label = np.arange(n)
+    small = units.astype(np.float32)
+    near = np.float32(((1 + least) / 2) ** 0.5 + 1e-5)
+    for lead in range(0, n, max(1, n // LEADERS)):
+        if label[lead] == lead and (group := (label == np.arange(n)) & (small @ small[lead] >= near)).sum() > 1:
+            label[group] = np.flatnonzero(group)[0]
+    order = np.lexsort((label, side)) if side is not None else np.argsort(label, kind="stable")
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    label = back[label[order]]
+    first = np.full(n, n)
+    np.minimum.at(first, label, np.arange(n))
+    label = first[label]
+    units, small, side = units[order], small[order], None if side is None else side[order]
+    one = lambda x, a, b: x[a] == x[min(a + BLOCK, n) - 1] == x[b] == x[min(b + BLOCK, n) - 1]
     for a in range(0, n, BLOCK):
         for b in range(a, n, BLOCK):
-            s = small[a : a + BLOCK] @ small[b : b + BLOCK].T
-            i, j = np.nonzero(s >= low)
-            i, j, s = i + a, j + b, s[i, j]
-            keep = (i < j) & (label[i] != label[j])
-            i, j, s = i[keep], j[keep], s[keep]
-            close = np.flatnonzero(np.abs(s - least) < 2e-5)  # float32 can't tell
-            if len(close):
-                bad = close[np.einsum("ij,ij->i", units[i[close]], units[j[close]]) < least]
-                i, j = np.delete(i, bad), np.delete(j, bad)
-            while len(i):
-                x, y = label[i], label[j]
-                np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-                while (label[label] != label).any():
-                    label = label[label]
-                on = label[i] != label[j]
-                i, j = i[on], j[on]
-    return label
-
-
-def _linked_cell(size: int, least: float) -> Callable[[int, pa.Table], pa.RecordBatch]:
+            if side is not None and one(side, a, b):  # sides ascend
+                continue
+            both = label[a : a + BLOCK], label[b : b + BLOCK]
+            if both[0].min() == both[0].max() == both[1].min() == both[1].max():
+                continue
+            _join_block(units, small, label, a, b, least)
+    # the least row of each label, in the order given
+    least_row = np.full(n, n)
+    np.minimum.at(least_row, label, order)
+    return least_row[label][back]
+
+
+def _join_block(units: np.ndarray, small: np.ndarray, label: np.ndarray, a: int, b: int, least: float) -> None:
+    s = small[a : a + BLOCK] @ small[b : b + BLOCK].T
+    i, j = np.nonzero(s >= np.float32(least - 1e-5))
+    i, j, s = i + a, j + b, s[i, j]
+    keep = (i < j) & (label[i] != label[j])
+    i, j, s = i[keep], j[keep], s[keep]
+    close = np.flatnonzero(np.abs(s - least) < 2e-5)  # float32 can't tell
+    if len(close):
+        bad = close[np.einsum("ij,ij->i", units[i[close]], units[j[close]]) < least]
+        i, j = np.delete(i, bad), np.delete(j, bad)
+    while len(i):
+        x, y = label[i], label[j]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label[:] = label[label]
+        on = label[i] != label[j]
+        i, j = i[on], j[on]
+
+
+def _linked_cell(size: int, least: float) -> Callable[[Batches], Batches]:
     def solve(_: int, rows: pa.Table) -> pa.RecordBatch:
         ids, first = np.unique(rows.column("id").to_numpy(), return_index=True)
-        root = linked(unpack(rows.column("unit").combine_chunks().take(pa.array(first)), size), least)
+        side = rows.column("side").to_numpy()[first]
+        root = linked(unpack(rows.column("unit").combine_chunks().take(pa.array(first)), size), least, side if side.min() != side.max() else None)
         return pa.record_batch([pa.array(ids), pa.array(ids[root])], names=["a", "b"])
 
-    return grouped(solve, "cell")
+    return grouped(solve, "task")
 
 
 def _in_cells(units: DataFrame, centres: np.ndarray, size: int, cell_rows: int) -> DataFrame:
     counts = units.mapInArrow(_entered(size, centres, False), "cell long").groupBy("cell").count()
-    hot = {r[0]: r[1] for r in counts.filter(F.col("count") > cell_rows).collect()}  # at most ENTERED * n / cell_rows cells
     entered = units.mapInArrow(_entered(size, centres, True), "cell long, id long, unit binary")
-    if not hot:
-        return entered
-    # a hot cell gets about one centre of its own for every quarter of cell_rows rows
-    rate = F.create_map(*[F.lit(x) for c, n in hot.items() for x in (c, min(1.0, 4 / cell_rows))])
-    drawn = entered.filter(F.col("cell").isin(list(hot))).filter(F.rand(SEED) < F.element_at(rate, F.col("cell"))).toArrow()
-    own, begin = {}, len(centres)
-    for c in hot:
-        points = unpack(drawn.filter(pa.compute.equal(drawn.column("cell"), c)).column("unit"), size)
-        if len(points) > 1:
-            own[c] = (begin, points)
-            begin += len(points)
-    return entered.mapInArrow(_divided(size, own), "cell long, id long, unit binary")
+    return pair_tasks(entered, counts, "cell", cell_rows)
 
 
 def _cluster_sum(size: int) -> Callable[[int, pa.Table], pa.RecordBatch]:
@@ -253,37 +257,42 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, least: float = 0.8
 
     About sqrt(n) k-means cells; each vector enters the cells of its nearest centres, the links in a cell are found
     exactly, and components join the cells. A link is lost only if its ends share none of their cells and no other
-    chain joins them (README has the measured figures). Exact copies enter as one vector and count as many.
+    chain joins them (README has the measured figures). Copies enter as one vector and count as many. The driver gets the
+    centres and the candidates for them, nothing else; a cell above ``cell_rows`` is cut into slices that all meet.
     """
-    rows = vector_rows(df, key, vector, size)
-    copies = exact_copies(rows)
+    everything = packed_units(vector_rows(df, key, vector, size), size)
+    copies = exact_copies(everything)
     any_copies = not copies.isEmpty()
-    units = cut((without_copies(rows, copies) if any_copies else rows).mapInArrow(_units(size), "id long, unit binary"))
+    units = cut(without_copies(everything, copies)) if any_copies else everything
     centres = centres_of(units, max(1, round(units.count() ** 0.5)), size)
     if not len(centres):
         roots = units.select("id", F.col("id").alias("root"))
     else:
-        cells = _in_cells(units, centres, size, cell_rows).repartition("cell").sortWithinPartitions("cell")
-        found = cut(cells.mapInArrow(_linked_cell(size, least), "a long, b long").distinct())
+        tasks = _in_cells(units, centres, size, cell_rows).repartition("task").sortWithinPartitions("task")
+        found = cut(tasks.mapInArrow(_linked_cell(size, least), "a long, b long").distinct())
         nearest = found.groupBy("a").agg(F.min("b").alias("root"))
         joined = components(found.join(nearest, "a").filter("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b")))
-        roots = nearest.join(joined.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select(F.col("a").alias("id"), F.coalesce("top", "root").alias("root"))
+        tops = joined.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        counted = nearest.groupBy("root").agg(F.count("*").alias("n")).join(tops, "root")
+        roots = joined_spread(nearest, counted, ["root"], "a", "left").select(F.col("a").alias("id"), F.coalesce("top", "root").alias("root"))
     members = roots.withColumn("weight", F.lit(1).cast("long"))
     if any_copies:
         copied = copies.groupBy("rep").agg((F.count("*") + 1).alias("weight"))
         members = roots.join(copied.withColumnRenamed("rep", "id"), "id", "left").withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
     members = cut(members)
-    sizes = members.groupBy("root").agg(F.sum("weight").alias("n"))
-    everyone = members.select("id", "root")
+    sizes = cut(members.groupBy("root").agg(F.sum("weight").alias("n")))
+    with_size = cut(joined_spread(members, sizes, ["root"], "id"))
+    everyone = with_size.select("id", "root", "n")
     if any_copies:
-        everyone = everyone.unionByName(copies.join(everyone.withColumnRenamed("id", "rep"), "rep").select("id", "root"))
-    large = members.join(sizes.filter("n >= 3"), "root").select("id", "root", "n", "weight")
-    with_unit = units.dropDuplicates(["id"]).join(large, "id")
+        of = everyone.join(copied.select(F.col("rep").alias("id"), "weight"), "id").select(F.col("id").alias("rep"), "root", F.col("n").alias("members"), F.col("weight").alias("n"))
+        more = joined_spread(copies, of, ["rep"], "id").select("id", "root", F.col("members").alias("n"))
+        everyone = everyone.unionByName(more)
+    with_unit = units.dropDuplicates(["id"]).join(with_size.filter("n >= 3"), "id")
     sliced = with_unit.withColumn("group", F.xxhash64("root", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SLICE_ROWS))))
     sums = sliced.select("group", "root", "unit", F.col("weight").alias("n")).repartition("group").sortWithinPartitions("group", "root")
     means = sums.mapInArrow(_cluster_sum(size), "root long, total array<double>").groupBy("root").agg(F.collect_list("total").alias("parts"))
     added = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.aggregate("parts", F.lit(0.0), lambda a, p: a + F.get(p, d)))
-    means = means.select("root", F.when(F.size("parts") == 1, F.element_at("parts", 1)).otherwise(added).alias("total"))
-    close = with_unit.join(means, "root").select("root", "id", "unit", "total").mapInArrow(_closeness(size), "root long, id long, cosine double")
+    means = means.select("root", F.when(F.size("parts") == 1, F.element_at("parts", 1)).otherwise(added).alias("total")).join(sizes, "root")
+    close = joined_spread(with_unit.select("root", "id", "unit"), means, ["root"], "id").select("root", "id", "unit", "total").mapInArrow(_closeness(size), "root long, id long, cosine double")
     typical = close.groupBy("root").agg(F.max(F.struct("cosine", (-F.col("id")).alias("minus"))).alias("x")).select("root", (-F.col("x.minus")).alias("id"), "x.cosine")
-    return everyone.join(sizes, "root").select("id", "root", "n"), typical
+    return everyone.select("id", "root", "n"), typical

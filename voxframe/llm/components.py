@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.llm.vectors import joined_spread
 from voxframe.session import cut
 
 
@@ -12,8 +13,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One step that links the neighbours of each node to the least of them: the larger neighbours, or the smaller ones."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     around = both if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = around.join(least, "a")
+    least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    joined = joined_spread(around, least, ["a"], "b")
     if large:
         linked = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

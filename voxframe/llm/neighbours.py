@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.llm.vectors import exact_copies, grouped, pack, unpack, usable, vector_rows, without_copies
+from voxframe.llm.vectors import exact_copies, grouped, joined_spread, packed_units, pair_tasks, unpack, vector_rows, without_copies
+from voxframe.session import cut
 
 TABLES, WIDTH, SEED = 2, 3.0, 17
 #: Rows of a bucket compared in one task; a larger bucket is cut into slices, and each pair of slices is a task.
@@ -61,27 +62,35 @@ def probe_keys(units: np.ndarray, hashes: int, probes: int, table: int, seed: in
 def _placed(size: int, hashes: int, probes: int, tables: int, with_unit: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, units = usable(batch, size)
-            if not len(ids):
+            if not batch.num_rows:
                 continue
+            units = unpack(batch.column("unit"), size)
             keys = np.concatenate([probe_keys(units, hashes, probes, t) for t in range(tables)], 1)
             if not with_unit:
                 yield pa.record_batch([pa.array(keys.ravel())], names=["bucket"])
                 continue
-            unit = pack(units)
             for k in range(keys.shape[1]):
-                yield pa.record_batch([pa.array(np.ascontiguousarray(keys[:, k])), ids, unit], names=["bucket", "id", "unit"])
+                yield pa.record_batch([pa.array(np.ascontiguousarray(keys[:, k])), batch.column("id"), batch.column("unit")], names=["bucket", "id", "unit"])
 
     return run
 
 
+def _firsts(x: np.ndarray, count: int) -> np.ndarray:
+    """Which ``count`` values of each row are the greatest; values within a millionth are equal, and then the earlier column is taken."""
+    width = x.shape[1]
+    key = np.rint(x * 1e6).astype(np.int64) * width - np.arange(width)
+    edge = np.partition(key, width - count, 1)[:, width - count]
+    return key >= edge[:, None]
+
+
 def best_pairs(units: np.ndarray, side: np.ndarray | None, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j), i != j, where j is among the k most similar rows of i with a cosine of ``least`` or more (ties: all).
+    """Rows (i, j), i != j, where j is among the 2 k most similar rows of i with a cosine of ``least`` or more (within a millionth: the earlier row).
 
-    With ``side``, only rows of different sides are compared.
+    Twice k, so that exact cosines decide about the k. However many rows are alike, at most 2 k of them are kept for each
+    row of each block. With ``side``, only rows of different sides are compared.
     """
     small = units.astype(np.float32)
-    n, low = len(units), np.float32(least - 1e-5)
+    n, low, most = len(units), np.float32(least - 1e-5), 2 * k
     tops: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, n, BLOCK):
         for b in range(a, n, BLOCK):
@@ -94,19 +103,17 @@ def best_pairs(units: np.ndarray, side: np.ndarray | None, k: int, least: float)
                 np.fill_diagonal(s, -2)
             for x, first, second in ((s, a, b), (s.T, b, a))[: 1 + (a != b)]:
                 hit = x >= low
-                if hit.sum() > 4 * k * len(x) and x.shape[1] > k:
-                    edge = np.partition(x, x.shape[1] - k, 1)[:, -k]
-                    hit &= x >= edge[:, None] - np.float32(1e-6)
+                many = np.flatnonzero(hit.sum(1) > most) if x.shape[1] > most else np.zeros(0, int)
+                if len(many):
+                    hit[many] &= _firsts(x[many], most)
                 i, j = np.nonzero(hit)
                 tops.append((i + first, j + second, x[i, j]))
     if not tops:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j, c = (np.concatenate(x) for x in zip(*tops, strict=True))
-    order = np.lexsort((j, -c, i))
-    i, j, c = i[order], j[order], c[order]
-    begin = np.searchsorted(i, i)
-    edge = c[np.minimum(begin + k - 1, np.searchsorted(i, i, "right") - 1)]
-    keep = c >= edge - np.float32(1e-6)
+    order = np.lexsort((j, -np.rint(c * 1e6), i))
+    i, j = i[order], j[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < most
     return i[keep], j[keep]
 
 
@@ -120,12 +127,11 @@ def _bucket(size: int, k: int, least: float):
         rows = rows.take(pa.array(first))
         side = rows.column("side").to_numpy()
         units = unpack(rows.column("unit"), size)
-        if side.min() != side.max():  # sides together, so that blocks of one side are skipped
+        two = side.min() != side.max()
+        if two:  # sides together, so that blocks of one side are skipped
             order = np.argsort(side, kind="stable")
             ids, units, side = ids[order], units[order], side[order]
-            i, j = best_pairs(units, side, k, least)
-        else:
-            i, j = best_pairs(units, None, k, least)
+        i, j = best_pairs(units, side if two else None, k, least)
         cosine = np.einsum("ij,ij->i", units[i], units[j])
         good = cosine >= least
         i, j, cosine = i[good], j[good], cosine[good]
@@ -146,27 +152,20 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, least: flo
     once; ties are ordered by the smaller id. An empty table gives no rows; other columns are ignored.
 
     Each vector visits its home bucket and the likeliest perturbed buckets of each table; in a bucket all visitors are
-    compared exactly. The hashing loses some pairs (README has the measured recall). Exact copies are found by their
-    hash and enter as one vector. A bucket above ``bucket_rows`` is cut into slices, each pair of slices being a task.
+    compared exactly. The hashing loses some pairs (README has the measured recall). Copies are found by the hash of their
+    packed unit vectors and enter as one vector; cosines within a millionth are equal. A bucket above ``bucket_rows`` is
+    cut into slices, each pair of slices being a task.
     """
-    rows = vector_rows(df, key, vector, size)
-    copies = exact_copies(rows)
+    everything = packed_units(vector_rows(df, key, vector, size), size)
+    copies = exact_copies(everything)
     any_copies = not copies.isEmpty()
-    distinct = without_copies(rows, copies) if any_copies else rows
-    hashes, probes = hashing(rows.count())
+    distinct = cut(without_copies(everything, copies)) if any_copies else everything
+    hashes, probes = hashing(distinct.count())
     counts = distinct.mapInArrow(_placed(size, hashes, probes, tables, False), "bucket long").groupBy("bucket").count()
-    hot = counts.filter(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("slices"))
     placed = distinct.mapInArrow(_placed(size, hashes, probes, tables, True), "bucket long, id long, unit binary")
-    # at most tables * probes * n / bucket_rows buckets are hot
-    sliced = placed.join(F.broadcast(hot), "bucket", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    own = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
-    partner = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    tasks = sliced.withColumn("own", own).withColumn("partner", partner)
-    low, high = F.least("own", "partner"), F.greatest("own", "partner")
-    task = F.when(F.col("slices") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", low, high))
-    # rows of a slice meet in the task of the slice with itself; elsewhere only rows of different slices are compared
-    tasks = tasks.select(task.alias("task"), F.when(low == high, 0).otherwise(F.col("own")).alias("side"), "id", "unit")
+    tasks = pair_tasks(placed, counts, "bucket", bucket_rows)
     near = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_bucket(size, k, least), "id long, near array<struct<away: double, id: long>>")
+    # of each list at most 2 k can be chosen, so a list stays short however many buckets a vector visits
     best = near.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
     if any_copies:
         best = _with_copies(best, copies, k)
@@ -181,8 +180,11 @@ def _with_copies(best: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     small = members.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     firsts = small.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("firsts"))
     wide = best.select("id", F.explode(F.slice("near", 1, k + 1)).alias("x")).select("id", "x.away", F.col("x.id").alias("rep"))
+    counted = firsts.join(copies.groupBy("rep").agg((F.count("*") + 1).alias("n")), "rep")
     others = wide.join(firsts, "rep", "left").select("id", "away", F.explode(F.coalesce("firsts", F.array("rep"))).alias("other"))
     own = firsts.select(F.col("rep").alias("id"), F.lit(-1.0).alias("away"), F.explode("firsts").alias("other"))
     lists = others.unionByName(own).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("away", F.col("other").alias("id")))), 1, k + 1).alias("near"))
-    everyone = lists.withColumnRenamed("id", "rep").join(members, "rep", "left").select(F.coalesce("id", "rep").alias("id"), "near")
+    # the list of a vector is that of all its copies
+    copied = joined_spread(members, lists.withColumnRenamed("id", "rep").join(counted.select("rep", "n"), "rep"), ["rep"], "id").select("id", "near")
+    everyone = copied.unionByName(lists.join(counted.select(F.col("rep").alias("id")), "id", "left_anti"))
     return everyone.select("id", F.filter("near", lambda x: x["id"] != F.col("id")).alias("near"))

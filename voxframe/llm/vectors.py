@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from voxframe.session import cut
 
 #: Fixed point of 20 bits a value: a cosine of two packed unit vectors is right to about 3e-6.
 SCALE = float(1 << 19)
+#: A key of more rows than this is broadcast and its rows are spread.
+HOT_ROWS = 100_000
 
 
 def pack(units: np.ndarray) -> pa.Array:
@@ -55,18 +57,63 @@ def vector_rows(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     return df.filter(F.col(key).isNotNull() & (F.size(v) == size) & ((F.array_max(v) != 0) | (F.array_min(v) != 0))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
 
 
-def exact_copies(rows: DataFrame) -> DataFrame:
-    """``id, rep``: every id whose vector also stands under a smaller id, with the smallest such id. Written to the shared folder.
+def packed_units(rows: DataFrame, size: int) -> DataFrame:
+    """``id, unit``: packed unit vectors of the usable rows, written to the shared folder."""
 
-    Only hashes of 128 bits and ids are shuffled; a vector that is a third of all rows is combined before the shuffle.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, units = usable(batch, size)
+            yield pa.record_batch([ids, pack(units)], names=["id", "unit"])
+
+    return cut(rows.mapInArrow(run, "id long, unit binary"))
+
+
+def joined_spread(rows: DataFrame, small: DataFrame, keys: Sequence[str], spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``small``, which has one row per key and the key's number of rows in the column ``n``.
+
+    Keys of more than ``HOT_ROWS`` rows, of which there are at most rows / ``HOT_ROWS``, are broadcast; their rows are spread
+    over all tasks by the column ``spread``, so a key that is a third of all rows isn't one task. The columns of ``small`` but the keys are added.
+    """
+    added = [c for c in small.columns if c not in keys]
+    hot = F.broadcast(small.filter(F.col("n") > HOT_ROWS).select(*keys, F.struct(*added).alias("__hot")))
+    other = small.filter(F.col("n") <= HOT_ROWS).select(*keys, F.lit(0).alias("__salt"), F.struct(*added).alias("__other"))
+    salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
+    both = rows.join(hot, list(keys), "left").withColumn("__salt", salt).join(other, [*keys, "__salt"], "left")
+    found = both.withColumn("__found", F.coalesce("__hot", "__other"))
+    kept = found if how == "left" else found.filter("__found is not null")
+    return kept.select(*rows.columns, *[F.col(f"__found.{c}").alias(c) for c in added])
+
+
+def exact_copies(units: DataFrame) -> DataFrame:
+    """``id, rep``: every id whose packed unit vector also stands under a smaller id, with the smallest such id. Written to the shared folder.
+
+    As packed vectors are compared, vectors of another length or encoding are copies too. Only hashes of 128 bits and ids are
+    shuffled; a vector that is a third of all rows is combined before the shuffle.
     """
-    hashed = rows.select("id", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
-    least = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("most")).filter("rep < most")
-    return cut(hashed.join(least, ["h1", "h2"]).filter("id > rep").groupBy("id").agg(F.min("rep").alias("rep")))
+    hashed = units.select("id", F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), "unit").alias("h2"))
+    least = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("most"), F.count("*").alias("n")).filter("rep < most")
+    return cut(joined_spread(hashed, least, ["h1", "h2"], "id").filter("id > rep").groupBy("id").agg(F.min("rep").alias("rep")))
+
 
+def without_copies(units: DataFrame, copies: DataFrame) -> DataFrame:
+    return units.join(copies.select("id"), "id", "left_anti")
 
-def without_copies(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    return rows.join(copies.select("id"), "id", "left_anti")
+
+def pair_tasks(placed: DataFrame, counts: DataFrame, group: str, limit: int) -> DataFrame:
+    """``task, side, id, unit``: rows of a group that meet in one task.
+
+    A group of up to ``limit`` rows (``counts`` has ``group, count``) is one task; a larger one is cut into slices, and each
+    pair of slices is a task, so all its rows meet and none is left out. A slice meets itself in the task where ``side`` is 0
+    throughout; elsewhere only rows of different sides are to be compared.
+    """
+    hot = counts.filter(F.col("count") > limit).select(group, F.ceil(F.col("count") / limit).cast("int").alias("__slices"))
+    # at most rows / limit groups are hot
+    sliced = placed.join(F.broadcast(hot), group, "left").withColumn("__slices", F.coalesce("__slices", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("__slices")).cast("int")
+    tasks = sliced.withColumn("__own", own).withColumn("__partner", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)))
+    low, high = F.least("__own", "__partner"), F.greatest("__own", "__partner")
+    task = F.when(F.col("__slices") == 1, F.xxhash64(group)).otherwise(F.xxhash64(group, low, high))
+    return tasks.select(task.alias("task"), F.when(low == high, 0).otherwise(F.col("__own")).alias("side"), "id", "unit")
 
 
 def grouped(solve: Callable[[int, pa.Table], pa.RecordBatch | None], key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
