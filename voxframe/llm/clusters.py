@@ -263,7 +263,7 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, least: float = 0.8
     everything = packed_units(vector_rows(df, key, vector, size), size)
     copies = exact_copies(everything)
     any_copies = not copies.isEmpty()
-    units = cut(without_copies(everything, copies)) if any_copies else everything
+    units = cut(without_copies(everything, copies) if any_copies else everything)
     centres = centres_of(units, max(1, round(units.count() ** 0.5)), size)
     if not len(centres):
         roots = units.select("id", F.col("id").alias("root"))

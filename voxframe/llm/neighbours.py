@@ -159,7 +159,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, least: flo
     everything = packed_units(vector_rows(df, key, vector, size), size)
     copies = exact_copies(everything)
     any_copies = not copies.isEmpty()
-    distinct = cut(without_copies(everything, copies)) if any_copies else everything
+    distinct = cut(without_copies(everything, copies) if any_copies else everything)
     hashes, probes = hashing(distinct.count())
     counts = distinct.mapInArrow(_placed(size, hashes, probes, tables, False), "bucket long").groupBy("bucket").count()
     placed = distinct.mapInArrow(_placed(size, hashes, probes, tables, True), "bucket long, id long, unit binary")

@@ -58,14 +58,14 @@ def vector_rows(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
 
 
 def packed_units(rows: DataFrame, size: int) -> DataFrame:
-    """``id, unit``: packed unit vectors of the usable rows, written to the shared folder."""
+    """``id, unit``: packed unit vectors of the usable rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, units = usable(batch, size)
             yield pa.record_batch([ids, pack(units)], names=["id", "unit"])
 
-    return cut(rows.mapInArrow(run, "id long, unit binary"))
+    return rows.mapInArrow(run, "id long, unit binary")
 
 
 def joined_spread(rows: DataFrame, small: DataFrame, keys: Sequence[str], spread: str, how: str = "inner") -> DataFrame:
