@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.llm.vectors import exact_copies, grouped, joined_spread, packed_units, pair_tasks, unpack, vector_rows, without_copies
-from voxframe.session import cut
 
 TABLES, WIDTH, SEED = 2, 3.0, 17
 #: Rows of a bucket compared in one task; a larger bucket is cut into slices, and each pair of slices is a task.
@@ -156,11 +155,12 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, least: flo
     packed unit vectors and enter as one vector; cosines within a millionth are equal. A bucket above ``bucket_rows`` is
     cut into slices, each pair of slices being a task.
     """
-    everything = packed_units(vector_rows(df, key, vector, size), size)
+    rows = vector_rows(df, key, vector, size)
+    everything = packed_units(rows, size)
     copies = exact_copies(everything)
     any_copies = not copies.isEmpty()
-    distinct = cut(without_copies(everything, copies) if any_copies else everything)
-    hashes, probes = hashing(distinct.count())
+    distinct = without_copies(everything, copies) if any_copies else everything
+    hashes, probes = hashing(rows.count())
     counts = distinct.mapInArrow(_placed(size, hashes, probes, tables, False), "bucket long").groupBy("bucket").count()
     placed = distinct.mapInArrow(_placed(size, hashes, probes, tables, True), "bucket long, id long, unit binary")
     tasks = pair_tasks(placed, counts, "bucket", bucket_rows)
