@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import difflib
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,14 +26,69 @@ def test_chunks_are_joined(spark):
     assert r.text == "a b" and [(w.word, w.start) for w in r.words] == [("a", 0.5), ("b", 181.0)]
 
 
+def plain_reason(source: str, repaired: str) -> str | None:
+    """The checks of a repaired piece, word by word."""
+    if re.search(r"(?m)^\s*(?:###|>\s*\[!)", repaired):
+        return "headings or callouts"
+    a, b = re.findall(r"[^\W_]+", source.casefold()), re.findall(r"[^\W_]+", repaired.casefold())
+    if not b:
+        return "no words"
+    n = len(source.split())
+    if abs(len(repaired.split()) - n) > max(3, int(n * 0.15)):
+        return "word count differs"
+    match = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    if difflib.SequenceMatcher(None, " ".join(a), " ".join(b), autojunk=False).ratio() < 0.8:
+        return "text differs"
+    return "words differ" if sum(max(j - i, y - x) for kind, i, j, x, y in match.get_opcodes() if kind != "equal") > max(4, int(len(a) * 0.15)) else None
+
+
 def test_reconstruction_reasons(spark):
     source = "the old smith opens the heavy door with a rusty key tonight"
     cases = [(source, source.upper(), None), (source, source + " a b c d", "word count differs"), (source, source[::-1], "text differs"), (source, None, None), (source, source.replace("heavy", "havy"), None)]
+    cases += [(source, "> [!NOTE] x\n" + source, "headings or callouts"), (source, " ... ", "no words"), ("", "", "no words")]
+    rng = random.Random(6)
+    for _ in range(60):
+        words = rng.choices("the old smith opens heavy doors with rusty keys and looks at stars".split(), k=rng.randrange(5, 60))
+        other = [rng.choice(["x", w[::-1], w.upper(), w + "s", ""]) if rng.random() < 0.2 else w for w in words]
+        cases.append((" ".join(words), " ".join(other), plain_reason(" ".join(words), " ".join(other))))
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
     got = {r.i: r.r for r in df.select("i", refine.reconstruction_reason("a", "b").alias("r")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases] and "words differ" in got.values()
+
+
+def test_notices_of_a_polished_chunk(spark):
+    head, said = "### [00:00:01 - 00:00:02] A", "one two three four five six"
+    other = "### [00:00:03 - 00:00:04] B"
+    plain = f"{head}\n{said}\n{other}\n{said}"
+    marked = f"{head}\n{refine.MARKER}\n{said}\n{other}\n{said}"
+    cases = [
+        (f"{refine.NOTICE}\n\n{plain}", f"{refine.NOTICE}\n\n{plain}", None), (f"{refine.NOTICE}\n\n{plain}", plain, "notice differs"), (plain, f"{refine.NOTICE}\n{plain}", "notice differs"),
+        (f"{refine.NOTICE}\n\n{plain}", f"{head}\n{refine.NOTICE}\n{said}\n{other}\n{said}", "notice moved"), (marked, plain, "marker differs"), (marked, f"{head}\n{said}\n{other}\n{refine.MARKER}\n{said}", "marker differs"),
+        (marked, marked, None), (plain, "", "empty result"), (plain, said, "headings differ"), (plain, plain + " x" * 6, "word count differs"), (plain, plain + " x" * 5, None),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    got = {r.i: r.r for r in df.select("i", refine.rejection(F.col("a"), F.col("b")).alias("r")).collect()}
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
 
 
+def test_reconstruction_covers_and_falls_back(spark):
+    text = "".join(f"### [00:00:0{i} - 00:00:0{i + 1}] {who}\n\n{said}\n\n" for i, (who, said) in enumerate([("Alex", "one two three"), ("Sam", "four five six seven"), ("Alex", "eight nine ten")], 1))
+    turns = refine.parse_turns(spark.createDataFrame([(k, text) for k in range(8)], "doc_id int, text string"))
+    chunks = refine.word_chunks(turns, 1500)
+    whole = "one two three four five six seven eight nine ten"
+    answers = [
+        (0, 0, "Sam", 0, 10, whole), (1, 0, "Sam", 1, 10, whole), (2, 0, "Sam", 0, 9, " ".join(whole.split()[:9])), (3, 0, "Sam", 0, 11, whole), (4, 0, "Zoe", 0, 10, whole),
+        (5, 0, "Sam", 0, 5, "one two three four five"), (5, 1, "Alex", 5, 10, "six seven eight nine tenth"), (6, 0, "Sam", 0, 10, "entirely other words that nobody said in there at all"),
+    ]
+    repaired = spark.createDataFrame([(d, 0, *rest) for d, *rest in answers], "doc_id int, chunk_no long, piece_no int, speaker string, word_start int, word_end int, text string")
+    reasons = {r.doc_id: r.reason for r in refine.checked_reconstruction(chunks, repaired).collect()}
+    assert reasons == {0: None, 1: "words not covered", 2: "words not covered", 3: "words not covered", 4: "unknown speaker", 5: None, 6: "text differs", 7: "no answer"}
+    got = refine.reconstruct(chunks, repaired, turns).collect()
+    assert [(r.speaker, r.start, r.end, r.text) for r in got if r.doc_id == 0] == [("Sam", "00:00:01", "00:00:04", whole)]
+    assert sorted((r.piece_no, r.start, r.end) for r in got if r.doc_id == 5) == [(0, "00:00:01", "00:00:03"), (1, "00:00:02", "00:00:04")]
+    assert sorted((r.piece_no, r.speaker) for r in got if r.doc_id == 4) == [(0, "Alex"), (1, "Sam"), (2, "Alex")] and {r.reason for r in got if r.doc_id == 4} == {"unknown speaker"}
+
+
 def test_notice_moves_before_the_first_heading(spark):
     texts = ["### [a] X\n\nNOTE hello", "no heading NOTE", "### [a] X\n\nhello"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

@@ -11,21 +11,27 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.functions.dice import normalize_dice
+from voxframe.functions.dice import dice_notation
 from voxframe.operators import attribution, lore, refine, timeline, turns, vectors
 from voxframe.plans import registry
 from voxframe.sources.render import render_markdown
 
 DICE = [
     ("il lance deux dés six", "il lance 2d6"), ("lance un dé vingt", "lance 1d20"), ("fais un jet de dés 20", "fais un jet de 1d20"), ("il lance des dix", "il lance 1d10"), ("cinq dés de dix", "5d10"),
-    ("il lance 2 d 6", "il lance 2d6"), ("un jet de délai", "un jet de dés"), ("des jets de délai", "des jets de dés"), ("fais des jets-dés", "fais des jets de dés"),
+    ("il lance 2 d 6", "il lance 2d6"), ("un jet de délai", "un jet de dés"), ("des jets de délai", "des jets de dés"), ("fais des jets-dés", "fais des jets de dés"), ("lance un dé de 20", "lance 1d20"),
+    ("fais trois dés de six", "fais 3d6"), ("lance un dé cent", "lance 1d100"), ("lance 1 dé 12", "lance 1d12"), ("un dé 4", "1d4"), ("jet d' initiative", "jet d'initiative"), ("lance 2d6 puis des dix", "lance 2d6 puis 1d10"),
+    ("Lance des dix. Puis des dix", "Lance 1d10. Puis des dix"), ("  lance\ndes dix,  ok ", "  lance\n1d10,  ok "), ("il lance l'un dé six", "il lance l'un 1d6"), ("lance deux dés six et des dix puis des huit", "lance 2d6 et 1d10 puis 1d8"), (None, None),
+]
+UNCHANGED = [
+    "il a eu deux des six votes", "c est une des dix merveilles", "pendant des 10 minutes", "chacun des 6 joueurs", "", "il y a 20 gardes", "des 20 gardes approchent", "trois des huit portes sont ouvertes",
+    "un des vingt chevaliers est mort", "lance de six", " \n",
 ]
-UNCHANGED = ["il a eu deux des six votes", "c est une des dix merveilles", "pendant des 10 minutes", "chacun des 6 joueurs", ""]
 
 
-@pytest.mark.parametrize(("text", "want"), DICE + [(t, t) for t in UNCHANGED])
-def test_dice(text, want):
-    assert normalize_dice(text) == want
+def test_dice(spark):
+    cases = DICE + [(t, t) for t in UNCHANGED]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", dice_notation("t").alias("x")).collect()
+    assert {r.i: r.x for r in got} == {i: want for i, (_, want) in enumerate(cases)}
 
 
 def fold(rows, gap):
@@ -50,7 +56,7 @@ def test_debounce_equals_fold(spark):
 def test_chain_renders(spark):
     df = spark.createDataFrame([("x", 0, 1000, 2000, "A", "hello", False), ("x", 1, 2500, 4000, "A", "again", False), ("x", 2, 5000, 7000, "B", None, True)], "session_id string, turn_id int, start_ms long, end_ms long, speaker string, text string, uncertain boolean")
     text = render_markdown(turns.debounce(df)).first().markdown
-    assert text.startswith("> **Note:**") and "### [00:00:01 - 00:00:04] A\n\nhello again\n\n### [00:00:05 - 00:00:07] B\n" in text
+    assert text.startswith(refine.NOTICE) and "### [00:00:01 - 00:00:04] A\n\nhello again\n\n### [00:00:05 - 00:00:07] B\n" in text
 
 
 def test_alignment_cases(spark):
@@ -77,6 +83,18 @@ def test_nearest_turns_across_chunks(spark):
     assert "__chunk" in plan and "windowspecdefinition(session_id" in plan and not re.search(r"windowspecdefinition\(session_id#\d+, at#", plan)
 
 
+def test_points_and_spacing(spark):
+    """A first word without length takes a turn that holds the middle; tokens are joined without their spaces."""
+    w = "session_id string, seq int, pos int, word string, start_ms long, end_ms long"
+    t = "session_id string, id int, start_ms long, end_ms long, cluster_id string"
+    words = [("p", 0, 0, "now", 2000, 2000), ("q", 0, 0, " qu", 0, 200), ("q", 0, 1, "'il ", 200, 400), ("q", 0, 2, ",", 400, 400), ("q", 0, 3, " dit", 1000, 1200), ("q", 0, 4, "-il", 1200, 1400)]
+    people = [("p", 1, 0, 2000, "A"), ("p", 2, 2000, 3000, "B"), ("p", 3, 1900, 2050, "C"), ("q", 1, 0, 200, "A"), ("q", 2, 200, 2000, "B")]
+    groups = timeline.align_words(spark.createDataFrame(words, w), spark.createDataFrame(people, t))
+    got = groups.orderBy("session_id", "group_no").collect()
+    assert [(r.session_id, r.turn_id, r.uncertain, r.text) for r in got] == [("p", 3, True, "now"), ("q", 1, True, "qu'il,"), ("q", 2, False, "dit-il")]
+    assert [r.text for r in timeline.aligned_runs(groups.filter("session_id = 'q'")).orderBy("run_no").collect()] == ["qu'il,", "dit-il"]
+
+
 def test_runs_of_one_turn_get_new_ids(spark):
     rows = [("x", i, s, s + 1000, 1, f"w{i}", k, c, False) for i, (s, k, c) in enumerate([(1000, 4, "A"), (5000, 5, "B"), (8000, 4, "A")], 1)]
     df = spark.createDataFrame(rows, "session_id string, group_no long, start_ms long, end_ms long, n_words long, text string, turn_id int, cluster_id string, uncertain boolean")
@@ -164,3 +182,22 @@ def test_refinement(spark):
     assert {r.reason for r in broken.collect()} == {"no answer"}
     ratio = spark.createDataFrame([("abcd", "abxd"), (None, "x")], "a string, b string").select(refine.likeness("a", "b").alias("r")).collect()
     assert [r.r for r in ratio] == [0.75, None]
+
+
+def test_profiles_of_other_sizes(spark):
+    """A query meets the profiles of its size, wherever it stands among the others."""
+    profiles = spark.createDataFrame([(0, "A", [1.0, 0.0]), (1, "B", [0.0, 1.0]), (2, "C", [1.0, 0.0, 0.0]), (3, "D", None)], "ord int, speaker string, vector array<double>")
+    queries = spark.createDataFrame([(f"q{i}", [1.0, 0.1] if i % 2 else [1.0, 0.1, 0.0]) for i in range(6)], "query string, vector array<double>")
+    assert {(r.query, r.speaker) for r in vectors.best_profiles(queries, profiles).collect()} == {(f"q{i}", "A" if i % 2 else "C") for i in range(6)}
+
+
+def test_control_tokens(spark):
+    cases = [("<<|endoftext|>|endoftext|>", ""), ("<<<|startoftranscript|>|>", ""), ("<|<|startoftranscript|>|>", ""), ("prefix<|<|foo|>|>suffix", "prefixsuffix"), ("orphan<|", "orphan"), ("|>tokens", "tokens"), ("orphan<||>tokens", "orphantokens"), ("<|" * 12 + "x" + "|>" * 12 + "y", "y"), ("a<|b<c|>d", "ad"), (None, None), ("", "")]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", lore.strip_control_tokens(F.col("t")).alias("x")).collect()
+    assert {r.i: r.x for r in got} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_cluster_samples_are_the_first(spark):
+    df = spark.createDataFrame([("s", "a", 199 - i, i, 0, 1000, f"t{199 - i}") for i in range(200)] + [("s", None, 1, 500, 0, 5, "n")], "session_id string, cluster_id string, seq int, turn_id int, start_ms long, end_ms long, text string")
+    got = {r.cluster_id: (r.n_turns, r.total_ms, list(r.samples)) for r in turns.cluster_stats(df).collect()}
+    assert got == {"a": (200, 200_000, ["t0", "t1", "t2", "t3"]), None: (1, 5, ["n"])}

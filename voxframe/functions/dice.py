@@ -1,50 +1,105 @@
-"""French spoken dice rolls in usual notation."""
+"""French spoken dice rolls in usual notation, by array functions over the tokens of a text."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-#: Spoken numbers and sides of dice (fixed values).
-COUNTS = {"un": 1, "une": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "six": 6}
-SIDES = {"quatre": 4, "six": 6, "huit": 8, "dix": 10, "douze": 12, "vingt": 20, "cent": 100}
-DICE = (4, 6, 8, 10, 12, 20, 100)
+#: Spoken numbers of dice (fixed values).
+COUNTS = {"un": "1", "une": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "six": "6"}
+#: Spoken sides of dice (fixed values).
+SIDES = {"quatre": "4", "six": "6", "huit": "8", "dix": "10", "douze": "12", "vingt": "20", "cent": "100"}
+#: Sides of dice in figures (fixed values).
+DICE = ("4", "6", "8", "10", "12", "20", "100")
 #: Nouns that a number counts, so that no dice are meant (fixed values).
 COUNTED = "gardes joueurs soldats membres ans minutes secondes jours heures mètres personnages ennemis individus points".split()
 #: Words of rolling dice (fixed values).
-ROLLING = r"lance\w*|lanç\w*|roul\w*|tir\w*|jets?|faits?|fais|d[ée]g[âa]ts?|\d+d\d+"
-_ROLL = re.compile(
-    r"(?<![^\s'’])(?:(?P<count>" + "|".join(COUNTS) + r"|[1-9]\d*)\s+)?(?P<die>d[éèe]s?)\s+(?:de\s+)?(?P<sides>" + "|".join([*SIDES, *map(str, DICE)]) + r")\b(?!\s+(?:" + "|".join(COUNTED) + r")\b)", re.I
-)
-_ROLLED = re.compile(r"(?:" + ROLLING + r")(?:\s+[^\s.!?;:\n]+){0,2}\s*$", re.I)
+ROLLING = "lance lancer lances lancez lancent roule rouler roules roulez roulent tire tirer tires tirez tirent jet jets fait fais dégât dégâts dégat dégats degât degâts degat degats".split()
+#: Words that what is heard as dice may not follow (fixed values).
+EACH = ("chacun", "chacune")
+#: How many words may stand between a word of rolling and the dice (a fixed value).
+REACH = 3
+
+
+def phonetic_terms(text: Column) -> Column:
+    """What is heard for rolls and initiative in its usual spelling, and ``2 d 6`` as ``2d6``."""
+    for plural in ("s", ""):
+        roll = rf"(?iU)\bjet{plural}"
+        text = F.regexp_replace(text, rf"{roll}\s*-\s*dés?\b", f"jet{plural} de dés")
+        text = F.regexp_replace(text, rf"{roll}\s+de\s+délai\b", f"jet{plural} de dés")
+        text = F.regexp_replace(text, rf"{roll}\s*d['’]\s*initiative\b", f"jet{plural} d'initiative")
+    return F.regexp_replace(text, r"(?iU)\b(\d+)\s*d\s*(\d+)\b", "$1d$2")
 
 
-def normalize_dice(text: str) -> str:
-    """``deux dés six`` becomes ``2d6`` where dice are meant.
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), key)
 
-    ``des`` without an accent counts only shortly after a word of rolling, in the text as rewritten so far.
+
+def dice_notation(text: Column | str) -> Column:
+    """``deux dés six`` becomes ``2d6`` where dice are meant; null for a null text.
+
+    Tokens are what white space parts. Every token gets what a phrase of dice beginning there would be (``count``, die,
+    perhaps ``de``, sides) and whether a word of rolling stands shortly before. The phrases are then taken from left to
+    right: one counts if its die is written with an accent, or after a word of rolling, or after dice taken before; a
+    phrase that doesn't count still covers its words.
     """
-    text = re.sub(r"\b(jets?)[-‐‑]+d[ée]s?\b", lambda m: m[1].lower() + " de dés", text, flags=re.I)
-    text = re.sub(r"\b(jets?) de délais?\b", lambda m: m[1].lower() + " de dés", text, flags=re.I)
-    text = re.sub(r"\b(jets?)\s+d\s*['’]\s*initiative\b", lambda m: m[1].lower() + " d'initiative", text, flags=re.I)
-    text = re.sub(r"\b(\d+)\s*d\s*(\d+)\b", r"\1d\2", text, flags=re.I)
-    done, at = "", 0
-    for m in _ROLL.finditer(text):
-        before = done + text[at : m.start()]
-        die, count = m["die"].lower(), (m["count"] or "").lower()
-        if re.search(r"(?:\bchacune?\s+|\bl['’])$", before, re.I) or (not count and die == "de"):
-            continue
-        if "é" not in die and "è" not in die and not _ROLLED.search(before.rstrip() + " "):
-            continue
-        sides = m["sides"].lower()
-        done = f"{before}{COUNTS.get(count, count or 1)}d{SIDES.get(sides, sides)}"
-        at = m.end()
-    return done + text[at:]
-
-
-@F.pandas_udf(StringType())
-def dice_notation(text: pd.Series) -> pd.Series:
-    return text.map(normalize_dice, na_action="ignore")
+    text = phonetic_terms(F.col(text) if isinstance(text, str) else text)
+    number = "|".join([*COUNTS, r"[1-9]\d*"])
+    sides = "|".join(sorted([*SIDES, *DICE], key=len, reverse=True))
+    rolling = rf"(?iU)(?:^|\W)(?:{'|'.join(ROLLING)}|\d*d\d+)(?:-\w+)?$"
+    pieces = F.regexp_extract_all(text, F.lit(r"(?U)\s*\S+"), F.lit(0))
+    tokens = F.transform(pieces, lambda p: F.regexp_replace(p, r"(?U)^\s+", ""))
+
+    def phrase(t: Column, i: Column) -> Column:
+        """The phrase of dice that begins at a token: its number of tokens, notation, what stands before and after it."""
+        at = lambda k: F.coalesce(F.get(t, i + k), F.lit(""))
+        own = F.lower(F.regexp_extract(at(0), r"([^'’]*)$", 1))
+        before = F.regexp_extract(at(0), r"^(.*['’])", 1)
+        counted = own.rlike(rf"^(?:{number})$") & at(1).rlike("(?i)^d[éèe]s?$")
+        die = F.when(counted, F.lower(at(1))).otherwise(own)
+        first = F.when(counted, 2).otherwise(1)
+        last = first + F.when(F.lower(at(first)) == "de", 1).otherwise(0)
+        side = F.lower(F.regexp_extract(at(last), rf"(?iU)^({sides})\b", 1))
+        after = F.substring(at(last), F.length(side) + 1, F.length(at(last)))
+        blocked = before.rlike(r"(?i)\bl'$") | ((before == "") & F.lower(at(-1)).rlike(rf"(?U)(?:^|\W)(?:{'|'.join(EACH)})$"))
+        thing = (after == "") & F.lower(at(last + 1)).rlike(rf"^(?:{'|'.join(COUNTED)})")
+        meant = die.rlike("^d[éèe]s?$") & (counted | (die != "de")) & (side != "") & ~blocked & ~thing
+        notation = F.concat(F.when(counted, _lookup(COUNTS, own)).otherwise(F.lit("1")), F.lit("d"), _lookup(SIDES, side))
+        return F.when(meant, F.struct(i.alias("at"), (last + 1).alias("size"), F.concat(before, notation, after).alias("text"), die.rlike("[éè]").alias("sure"), (before != "").cast("int").alias("part"), (after == "").alias("open")))
+
+    def context(t: Column, p: Column) -> Column:
+        """How many tokens before a phrase hold no end of a sentence, and whether a word of rolling is near enough."""
+        at = lambda k: F.coalesce(F.get(t, p["at"] - k), F.lit(""))
+        clean = [F.when(~at(k).rlike("[.!?]"), 1).otherwise(0) for k in range(1, REACH + 2)]
+        run, near = [F.lit(1)], []
+        for k in range(1, REACH + 3):
+            room = REACH - p["part"] + F.when(F.lower(at(k - 1)).isin("de", "d'", "d’") & at(k).rlike(r"(?iU)\bjets?$"), 1).otherwise(0) if k > 1 else REACH
+            near.append((run[-1] == 1) & (F.lit(k - 1) <= room) & (p["at"] >= k) & at(k).rlike(rolling))
+            if k <= REACH + 1:
+                run.append(run[-1] * clean[k - 1])
+        reach = F.array_max(F.array(*[F.when(r == 1, i).otherwise(0) for i, r in enumerate(run)]))
+        heard = near[0]
+        for x in near[1:]:
+            heard = heard | x
+        return F.struct(p["at"].alias("at"), p["size"].alias("size"), p["text"].alias("text"), (p["sure"] | heard).alias("sure"), F.least(F.lit(REACH) - p["part"], reach).alias("reach"), p["open"].alias("open"))
+
+    found = F.transform(F.filter(F.transform(tokens, lambda t, i: phrase(tokens, i)), lambda p: p.isNotNull()), lambda p: context(tokens, p))
+    # end: first token that no phrase covers; taken: end of the last phrase that counts, if no mark follows it
+    start = F.struct(F.lit(0).alias("end"), F.lit(-99).alias("taken"), F.array().cast("array<struct<at:int,size:int,text:string>>").alias("kept"))
+
+    def take(state: Column, p: Column) -> Column:
+        counts = p["sure"] | (p["at"] - state["taken"] <= p["reach"])
+        end = (p["at"] + p["size"]).cast("int")
+        kept = F.when(counts, F.concat(state["kept"], F.array(F.struct(p["at"].cast("int").alias("at"), p["size"].cast("int").alias("size"), p["text"].alias("text"))))).otherwise(state["kept"])
+        following = F.struct(end.alias("end"), F.when(counts & p["open"], end).when(counts, -99).otherwise(state["taken"]).alias("taken"), kept.alias("kept"))
+        return F.when(p["at"] >= state["end"], following).otherwise(state)
+
+    kept = F.aggregate(found, start, take)["kept"]
+
+    def written(piece: Column, i: Column) -> Column:
+        over = F.get(F.filter(kept, lambda k: (k["at"] <= i) & (i < k["at"] + k["size"])), 0)
+        space = F.regexp_extract(piece, r"(?U)^(\s*)", 1)
+        return F.when(over.isNull(), piece).when(over["at"] == i, F.concat(space, over["text"])).otherwise(F.lit(""))
+
+    tail = F.regexp_extract(text, r"(?U)(\s*)$", 1)
+    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(F.transform(pieces, written), ""), tail))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,15 +15,24 @@ MEDIA = "png jpg jpeg webp gif svg pdf mp3 wav flac".split()
 WORD = r"\p{L}[\p{L}\p{N}]*(?:['’\-][\p{L}\p{N}]+)*"
 
 
-def strip_control_tokens(text: Column, depth: int = 8) -> Column:
-    """Text without ``<|...|>``, innermost first up to ``depth`` levels, and without what is left of their brackets."""
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"<\|[^<>|]*\|>", "")
-    return F.regexp_replace(text, r"<\||\|>|<>", "")
+def _until_steady(text: Column, step: Callable[[Column], Column], left: Column) -> Column:
+    """``step`` once for every text, and ``left`` times more (each time but the last changes something) for those that still hold one of its marks."""
+    again = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), left)), text, lambda t, _: step(t))
+    return F.when(left > 0, again).otherwise(text)
+
+
+def strip_control_tokens(text: Column) -> Column:
+    """Text without ``<|...|>`` (on one line), innermost first until none is left, and without what is left of their brackets, until none is left."""
+    count = lambda t, part: F.size(F.split(t, part)) - 1
+    token = lambda t: F.regexp_replace(t, r"<\|[^<\n]*?(?:<(?!\|)[^<\n]*?)*?\|>", "")
+    bare = lambda t: F.replace(F.replace(F.replace(t, F.lit("<|"), F.lit("")), F.lit("|>"), F.lit("")), F.lit("<>"), F.lit(""))
+    text = token(text)
+    text = bare(_until_steady(text, token, F.when(text.contains("<|"), count(text, r"\|>")).otherwise(0)))
+    return _until_steady(text, bare, F.when(text.rlike(r"<\||\|>|<>"), count(text, "[<>|]")).otherwise(0))
 
 
 def clean_name(text: Column) -> Column:
-    return F.trim(F.regexp_replace(strip_control_tokens(text, 2), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(strip_control_tokens(text), r"(?U)\s+", " "))
 
 
 def count_words(text: Column) -> Column:
@@ -85,7 +94,7 @@ def biasing_prompt(entities: DataFrame, max_tokens: int = 180) -> DataFrame:
 
 def visible_lines(notes: DataFrame) -> DataFrame:
     """``doc_id, source, line_no, line``: visible text of notes by line: no front matter, code, links' brackets, URLs, HTML or list marks; spaces made one."""
-    t = strip_control_tokens(F.regexp_replace("text", r"\r\n?", "\n"), 2)
+    t = strip_control_tokens(F.regexp_replace("text", r"\r\n?", "\n"))
     t = F.regexp_replace(t, r"(?s)^---\n.*?\n---[ \t]*(?=\n|$)|```.*?```", "")
     t = F.regexp_replace(t, r"!\[\[[^\]]*\]\]|!\[[^\]]*\]\([^)]*\)|`[^`\n]*`|https?://\S+|<[^<>\n]*>", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1"), r"\[([^\[\]]*)\]\([^)]*\)", "$1")
@@ -95,16 +104,19 @@ def visible_lines(notes: DataFrame) -> DataFrame:
 
 
 def owned_lines(lines: DataFrame) -> DataFrame:
-    """Lines that count: a line that stands in several documents counts in the first of them only, there each time."""
-    owner = lines.groupBy("line").agg(F.min("doc_id").alias("__owner"))
-    return lines.join(owner, "line").filter("doc_id = __owner").drop("__owner")
+    """``line, doc_id, n``: the document in which a line counts, the first of those it stands in, and how often it stands there.
+
+    Repeats are counted by line and document first, so a line that a third of all documents share is combined before the shuffle.
+    """
+    counted = lines.groupBy("line", "doc_id").agg(F.count("*").alias("n"))
+    return counted.groupBy("line").agg(F.min(F.struct("doc_id", "n")).alias("x")).select("line", "x.doc_id", "x.n")
 
 
 def term_frequencies(lines: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """``term, frequency, n_sources``: words of two letters or more, small, counted over owned lines; sources over all lines. Words of ``lexicon(term)`` are left out."""
-    words = lambda df: df.select("source", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).alias("term")).filter("length(term) >= 2")
-    counts = words(owned_lines(lines)).groupBy("term").agg(F.count("*").alias("frequency"))
-    sources = words(lines).groupBy("term").agg(F.count_distinct("source").alias("n_sources"))
+    words = lambda df, *c: df.select(*c, F.explode(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).alias("term")).filter("length(term) >= 2")
+    counts = words(owned_lines(lines), "n").groupBy("term").agg(F.sum("n").alias("frequency"))
+    sources = words(lines.select("source", "line").distinct(), "source").groupBy("term").agg(F.count_distinct("source").alias("n_sources"))
     joined = counts.join(sources, "term")
     return joined if lexicon is None else joined.join(lexicon.select("term").distinct(), "term", "left_anti")
 

@@ -76,33 +76,39 @@ def align_words(words: DataFrame, turns: DataFrame, gap_ms: int = 200) -> DataFr
     """``session_id, group_no, start_ms, end_ms, n_words, text, turn_id, cluster_id, uncertain`` of each lexical group.
 
     The turn with the greatest total overlap with the group's words; ties: the one whose centre is nearest the middle of
-    the group, then the earlier start, the smaller id. A group without overlap takes the nearest turn (by distance of a
-    turn's ends to the middle, inside counting as zero). ``uncertain`` tells whether turns of several clusters touch the
-    group's words. ``turns`` has ``session_id, id, start_ms, end_ms, cluster_id``. Overlaps are found by an equi-join on
-    buckets of time; only groups without overlap are compared with the turns before and after them.
+    the group, then the earlier start, the smaller id. A group without overlap whose first word has no length takes a turn
+    that holds its middle (by the same order); any other takes the nearest turn (by distance of a turn's ends to the middle).
+    ``uncertain`` tells whether turns of several clusters touch the group's words. ``turns`` has ``session_id, id,
+    start_ms, end_ms, cluster_id``. Overlaps are found by an equi-join on buckets of time; only groups without overlap are
+    compared with the turns before and after them.
     """
     grouped = cut(lexical_groups(words, gap_ms))
-    first = F.min(F.struct("start_ms", "seq", "pos"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "seq", "pos", "word"))), lambda x: x["word"]), "")
-    groups = grouped.groupBy("session_id", "group_no").agg(first["start_ms"].alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), joined.alias("text"))
-    groups = cut(groups.withColumn("middle2", F.col("start_ms") + F.col("end_ms")))
+    first = F.min(F.struct("start_ms", "seq", "pos", "end_ms"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "seq", "pos", "word"))), lambda x: F.trim(x["word"])), "")
+    groups = grouped.groupBy("session_id", "group_no").agg(first.alias("first"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), joined.alias("text"))
+    point = F.col("first.start_ms") == F.col("first.end_ms")
+    groups = cut(groups.select("session_id", "group_no", "first.start_ms", "end_ms", "n_words", "text", point.alias("point")).withColumn("middle2", F.col("start_ms") + F.col("end_ms")))
     w = grouped.filter("end_ms >= start_ms").select("session_id", "group_no", F.col("start_ms").alias("ws"), F.col("end_ms").alias("we"), _buckets(F.col("start_ms"), F.col("end_ms")).alias("b"))
     t = turns.filter("end_ms > start_ms").select("session_id", F.col("id").alias("turn_id"), "cluster_id", F.col("start_ms").alias("ts"), F.col("end_ms").alias("te"))
     tb = t.withColumn("b", _buckets(F.col("ts"), F.col("te")))
     # a pair counts in the bucket where the later of the two begins
     pairs = w.join(tb, ["session_id", "b"]).filter("b = floor(greatest(ws, ts) / %d)" % BUCKET_MS)
     overlap = F.least("we", "te") - F.greatest("ws", "ts")
-    point = (F.col("ws") == F.col("we")) & F.col("ws").between(F.col("ts"), F.col("te"))
-    touching = pairs.withColumn("ov", F.greatest(F.lit(0), overlap)).filter((F.col("ov") > 0) | point)
+    on_point = (F.col("ws") == F.col("we")) & F.col("ws").between(F.col("ts"), F.col("te"))
+    touching = pairs.withColumn("ov", F.greatest(F.lit(0), overlap)).filter((F.col("ov") > 0) | on_point)
     found = touching.groupBy("session_id", "group_no", "turn_id", "cluster_id", "ts", "te").agg(F.sum("ov").alias("ov"))
     ranked = found.join(groups.select("session_id", "group_no", "middle2"), ["session_id", "group_no"])
     key = F.struct((-F.col("ov")).alias("o"), F.abs(F.col("ts") + F.col("te") - F.col("middle2")).alias("d"), "ts", "turn_id", "cluster_id")
-    best = ranked.groupBy("session_id", "group_no").agg(F.min(key).alias("k"), (F.count_distinct("cluster_id") > 1).alias("uncertain"))
+    best = ranked.groupBy("session_id", "group_no").agg(F.min(F.when(F.col("ov") > 0, key)).alias("k"), (F.count_distinct("cluster_id") > 1).alias("uncertain"))
     matched = cut(groups.join(best, ["session_id", "group_no"], "left"))
-    lost = matched.filter("k is null").select("session_id", "group_no", "middle2")
+    points = matched.filter("k is null and point").select("session_id", "group_no", "middle2", F.floor(F.col("middle2") / (2 * BUCKET_MS)).alias("b"))
+    holding = points.join(tb, ["session_id", "b"]).filter((F.col("ts") * 2 <= F.col("middle2")) & (F.col("middle2") <= F.col("te") * 2)).withColumn("ov", F.lit(0).cast("long"))
+    held = cut(holding.groupBy("session_id", "group_no").agg(F.min(key).alias("h")))
+    lost = matched.filter("k is null").join(held.select("session_id", "group_no"), ["session_id", "group_no"], "left_anti").select("session_id", "group_no", "middle2")
     near = _nearest_turn(lost, t)
-    result = matched.join(near, ["session_id", "group_no"], "left")
-    return result.select("session_id", "group_no", "start_ms", "end_ms", "n_words", "text", F.coalesce("k.turn_id", "near_id").alias("turn_id"), F.coalesce("k.cluster_id", "near_cluster").alias("cluster_id"), F.coalesce("uncertain", F.lit(False)).alias("uncertain"))
+    result = matched.join(held, ["session_id", "group_no"], "left").join(near, ["session_id", "group_no"], "left")
+    chosen = lambda c, n: F.coalesce(f"k.{c}", f"h.{c}", n).alias(c)
+    return result.select("session_id", "group_no", "start_ms", "end_ms", "n_words", "text", chosen("turn_id", "near_id"), chosen("cluster_id", "near_cluster"), F.coalesce("uncertain", F.lit(False)).alias("uncertain"))
 
 
 def _nearest_turn(groups: DataFrame, turns: DataFrame) -> DataFrame:

@@ -43,14 +43,24 @@ def debounce(turns: DataFrame, threshold_ms: int = 2000) -> DataFrame:
     return merged.drop("__island", "__group")
 
 
+#: Parts in which the first texts of a cluster are looked for.
+PARTS = 32
+
+
 def cluster_stats(turns: DataFrame, samples: int = 4) -> DataFrame:
-    """``session_id, cluster_id, n_turns, total_ms, first_seq, samples``: figures of each cluster and its first texts."""
-    ranked = turns.withColumn("__n", F.row_number().over(Window.partitionBy("session_id", "cluster_id").orderBy("seq", "turn_id")))
-    sample = F.when(F.col("__n") <= samples, F.struct("seq", "turn_id", "text"))
-    return ranked.groupBy("session_id", "cluster_id").agg(
-        F.count("*").alias("n_turns"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("total_ms"), F.min("seq").alias("first_seq"),
-        F.transform(F.array_sort(F.collect_list(sample)), lambda x: x["text"]).alias("samples"),
-    )
+    """``session_id, cluster_id, n_turns, total_ms, first_seq, samples``: figures of each cluster and its first texts.
+
+    The first texts are those of ``PARTS`` parts of each cluster, taken together, so a hot cluster isn't sorted in one task.
+    """
+    key = ["session_id", "cluster_id"]
+    stats = turns.groupBy(*key).agg(F.count("*").alias("n_turns"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("total_ms"), F.min("seq").alias("first_seq"))
+    part = turns.select(*key, "seq", "turn_id", "text", F.pmod(F.xxhash64("turn_id"), F.lit(PARTS)).alias("__part"))
+    ranked = part.withColumn("__n", F.row_number().over(Window.partitionBy(*key, "__part").orderBy("seq", "turn_id"))).filter(F.col("__n") <= samples)
+    firsts = F.slice(F.array_sort(F.collect_list(F.struct("seq", "turn_id", "text"))), 1, samples)
+    lists = ranked.groupBy(*key).agg(F.transform(firsts, lambda x: x["text"]).alias("samples"))
+    # null clusters are a cluster of their own
+    same = F.col("s.session_id").eqNullSafe(F.col("l.session_id")) & F.col("s.cluster_id").eqNullSafe(F.col("l.cluster_id"))
+    return stats.alias("s").join(lists.alias("l"), same).select("s.*", "l.samples")
 
 
 def first_appearance_labels(turns: DataFrame, out: str = "label") -> DataFrame:

@@ -34,14 +34,10 @@ def mean_vectors(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
 
 
 def _best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    empty = pd.DataFrame({"query": pd.Series(dtype="str"), "ord": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+    """The profile with the greatest cosine for each query; all vectors of a group have one size."""
     if not len(left) or not len(right):
-        return empty
-    size = left["vector"].map(len)
-    right = right[right["vector"].map(len).eq(size.iloc[0])].sort_values("ord")
-    left = left[size.eq(size.iloc[0])]
-    if not len(right):
-        return empty
+        return pd.DataFrame({"query": pd.Series(dtype="str"), "ord": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+    right = right.sort_values("ord")
     a, b = np.stack(left["vector"].to_numpy()).astype(float), np.stack(right["vector"].to_numpy()).astype(float)
     length = lambda m: np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
     cosine = (a / length(a)) @ (b / length(b)).T
@@ -53,8 +49,10 @@ def best_profiles(queries: DataFrame, profiles: DataFrame, threshold: float | No
     """``query, speaker, ord, cosine``: the profile most similar to each query vector, if the cosine reaches ``threshold`` (None: always).
 
     ``queries`` has ``query`` (string) and ``vector``, ``profiles`` ``ord, speaker, vector``; ``allowed`` restricts the
-    speakers. Vectors of another size than the queries, nulls and null elements are left out; ties take the smaller ord.
-    Both sides are cut into blocks, each pair of blocks is one task that returns one row per query.
+    speakers. A query is compared with the profiles of its size; nulls and null elements are left out; ties take the
+    smaller ord. Profiles (people with a voice) are a stated set that all queries are compared with: both sides are cut
+    into blocks by the hash of their key, each pair of blocks is one task that returns one row per query. With up to
+    ``BLOCK_ROWS`` profiles the queries aren't copied.
     """
     whole = lambda df: df.filter(F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull()))
     left = whole(queries.select(F.col("query").cast("string").alias("query"), "vector"))
@@ -63,7 +61,9 @@ def best_profiles(queries: DataFrame, profiles: DataFrame, threshold: float | No
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = left.withColumn("__a", F.pmod(F.hash("query"), F.lit(n_left))).withColumn("__b", numbers(n_right))
     b = right.select(F.col("ord").cast("long").alias("ord"), "vector").withColumn("__b", F.pmod(F.hash("ord"), F.lit(n_right))).withColumn("__a", numbers(n_left))
-    found = a.groupBy("__a", "__b").cogroup(b.groupBy("__a", "__b")).applyInPandas(_best, "query string, ord long, cosine double")
+    a, b = (df.withColumn("__size", F.size("vector")) for df in (a, b))
+    block = ["__a", "__b", "__size"]
+    found = a.groupBy(*block).cogroup(b.groupBy(*block)).applyInPandas(_best, "query string, ord long, cosine double")
     best = found.groupBy("query").agg(F.max(F.struct("cosine", (-F.col("ord")).alias("o"))).alias("x")).select("query", (-F.col("x.o")).alias("ord"), "x.cosine")
     names = profiles.select(F.col("ord").cast("long").alias("ord"), "speaker").distinct()
     kept = best if threshold is None else best.filter(F.col("cosine") >= threshold)
@@ -89,6 +89,24 @@ def enrol(samples: DataFrame, profiles: DataFrame) -> DataFrame:
     return joined.select("speaker", centroid.alias("centroid"), (F.coalesce("__count", F.lit(0)) + F.coalesce("__n", F.lit(0))).alias("sample_count"), F.concat(F.coalesce("__had", none), F.coalesce("__ids", none)).alias("sample_ids"))
 
 
+def sample_id(session: Column, turn_id: Column, start_ms: Column) -> Column:
+    """``session:turn:seconds`` with two decimals, ``turn`` for a missing session."""
+    return F.concat_ws(":", F.coalesce(session, F.lit("turn")), turn_id.cast("string"), F.format_string("%.2f", start_ms / 1000))
+
+
+def profiles_of_named(embeddings: DataFrame, names: DataFrame, profiles: DataFrame, prefix: str = "SPEAKER_") -> DataFrame:
+    """``speaker, vector``: profiles, each averaged with the unit mean of the vectors of clusters that have its name by now; names without a profile get that mean.
+
+    ``embeddings`` has ``session_id, cluster_id, vector``, ``names`` ``session_id, cluster_id, name``, ``profiles``
+    ``speaker, vector``. Blank names and placeholders don't count.
+    """
+    real = names.filter(F.col("name").isNotNull() & (F.col("name") != "") & ~F.col("name").startswith(prefix)).select("session_id", "cluster_id", F.col("name").alias("speaker"))
+    means = mean_vectors(embeddings.join(real, ["session_id", "cluster_id"]), ["speaker"], "vector").select("speaker", unit(F.col("mean")).alias("__mean"))
+    both = profiles.select("speaker", F.transform("vector", lambda x: x.cast("double")).alias("__old")).join(means, "speaker", "full")
+    mixed = unit(F.zip_with("__old", "__mean", lambda a, b: (a + b) / 2))
+    return both.select("speaker", F.when(F.col("__mean").isNull(), F.col("__old")).when(F.col("__old").isNull(), F.col("__mean")).otherwise(mixed).alias("vector"))
+
+
 def unsafe_sources(aligned: DataFrame) -> DataFrame:
     """``session_id, source_turn_id`` whose runs are uncertain or don't agree in speaker and cluster."""
     runs = aligned.withColumn("source_turn_id", F.coalesce("source_turn_id", "turn_id"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions.dice import dice_notation
-from voxframe.operators import attribution, lore, provenance, refine, vectors
-from voxframe.plans.turn_queries import AL, DI, aligned, diar
+from voxframe.operators import attribution, glossary, lore, provenance, refine, vectors
+from voxframe.plans import pipeline
+from voxframe.plans.turn_queries import AL, DI, MATCH, RUNS, aligned, debounce_sql, diar, segments
 from voxframe.session import cut, table
 from voxframe.sources import tables
 
@@ -114,7 +115,7 @@ def q_lines(s, d):
 
 
 def q_ownership(s, d):
-    return lore.owned_lines(q_lines(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return lore.owned_lines(q_lines(s, d)).groupBy("doc_id").agg(F.sum("n").alias("n_lines"))
 
 
 def q_terms(s, d):
@@ -263,6 +264,88 @@ def q_reconstruction(s, d):
     return rows.select("doc_id", "turn_no", refine.reconstruction_reason("body", edited).alias("reason"))
 
 
+def _glossary(s, d):
+    notes = table(s, d, "documents").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("path"), "source", "text")
+    spoken = table(s, d, "segments").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(lore.WORD), F.lit(0))).alias("term"))
+    return notes, glossary.context_glossary(notes, spoken.distinct())
+
+
+def q_glossary(s, d):
+    return _glossary(s, d)[1].select("key", "term", "frequency", F.array_join("aliases", "|").alias("aliases"), F.size("sources").alias("n_sources"))
+
+
+def q_glossary_names(s, d):
+    notes = table(s, d, "documents").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("path"), "source", "text")
+    names = glossary.note_names(glossary.note_parts(notes))
+    return names.filter("phase = 1").groupBy("name", "alias").agg(F.count("*").alias("n_links"))
+
+
+def q_glossary_hash(s, d):
+    notes = table(s, d, "documents").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("path"), "text")
+    return glossary.glossary_hash(notes, "fr", ["Zorvax"])
+
+
+def q_glossary_reference(s, d):
+    """References for the chunks of all transcripts."""
+    _, entries = _glossary(s, d)
+    chunks = refine.word_chunks(_md_turns(s, d)).groupBy(F.concat_ws("-", "doc_id", "chunk_no").alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_start", "body"))), lambda x: x["body"]), " ").alias("text"))
+    return glossary.reference_lists(cut(entries), chunks).select("chunk", F.size("terms").alias("n_terms"), F.md5("reference").alias("digest"))
+
+
+def q_reconstruct(s, d):
+    """Chunks of 60 words whose every third is answered with its words in capitals, others with words added or left out."""
+    turns = _md_turns(s, d)
+    chunks = cut(refine.word_chunks(turns, 60))
+    text = F.when(F.col("chunk_no") % 3 == 0, F.upper("body")).when(F.col("chunk_no") % 3 == 1, F.concat(F.lit("un deux trois quatre cinq six "), "body")).otherwise(F.lit(""))
+    answers = chunks.select("doc_id", "chunk_no", F.col("turn_no").alias("piece_no"), "speaker", "word_start", "word_end", text.alias("text"))
+    return refine.reconstruct(chunks, answers, turns).select("doc_id", "chunk_no", "piece_no", "speaker", "start", "end", F.md5("text").alias("digest"), "reason")
+
+
+def q_pipeline_run(s, d):
+    names = aligned(s, d).filter("cluster_id is not null and speaker is not null and seq % 3 = 0").groupBy("session_id", "cluster_id").agg(F.min("speaker").alias("name"))
+    return pipeline.run(segments(s, d), diar(s, d), names)
+
+
+def q_multitrack(s, d):
+    tracks = aligned(s, d).filter("speaker <> ''").select("session_id", F.concat(F.col("turn_id") % 7 + 1, F.lit("-"), "speaker", F.lit(".flac")).alias("track_id"), F.col("turn_id").alias("seq"), "start_ms", "end_ms", F.coalesce("text", F.lit("")).alias("text"))
+    people = table(s, d, "roster").select("ord", F.col("discord_username").alias("username"), "character_name", "is_dm").distinct()
+    return pipeline.multitrack(tracks, people)
+
+
+def q_track_labels(s, d):
+    people = table(s, d, "roster").select("ord", F.col("discord_username").alias("username"), "character_name", "is_dm").distinct()
+    spoken = aligned(s, d).filter("speaker <> ''").select("session_id", "turn_id", F.concat(F.col("turn_id") % 7 + 1, F.lit("-"), "speaker", F.lit(".flac")).alias("track_id"))
+    return pipeline.track_labels(spoken, people)
+
+
+def q_pipeline_recluster(s, d):
+    rows = _embeddings(s, d).select(F.col("label").alias("session_id"), F.col("vec_id").alias("id"), "vector")
+    return pipeline.recluster(rows, _profiles(s, d), 0.3, distance=0.9).select("session_id", "label", "name", F.round("cosine", 6).alias("cosine"))
+
+
+def q_voice_assign(s, d):
+    """Clusters of the embeddings are their labels; the even ones are named after the profile with their number."""
+    rows = _embeddings(s, d).select(F.lit("all").alias("session_id"), F.col("label").alias("cluster_id"), "vector")
+    people = _profiles(s, d).filter("speaker is not null").groupBy("speaker").agg(F.min_by("vector", "ord").alias("vector"), F.min("ord").alias("ord"))
+    names = rows.select("session_id", "cluster_id").distinct().select("session_id", "cluster_id", F.when(F.col("cluster_id").cast("int") % 2 == 0, F.concat(F.lit("voice "), "cluster_id")).otherwise(F.concat(F.lit("SPEAKER_"), "cluster_id")).alias("name"), F.lit("manual").alias("source"))
+    return pipeline.auto_assign(rows, names, people.select("speaker", "vector"))
+
+
+def q_mapping_tables(s, d):
+    """Mappings written as JSON and read again."""
+    al = aligned(s, d).filter("speaker is not null and cluster_id is not null")
+    stored = tables.save_mappings({
+        "turn_names": al.filter("turn_id % 10 = 0").select("session_id", "turn_id", F.col("speaker").alias("name")),
+        "cluster_names": al.groupBy("session_id", "cluster_id").agg(F.min("speaker").alias("name")).withColumn("source", F.when(F.length("name") % 2 == 0, F.lit("manual"))),
+        "slice_names": al.filter("time_slice_id % 2 = 0").groupBy("session_id", "time_slice_id", "cluster_id").agg(F.max("speaker").alias("name")),
+        "splits": al.groupBy("session_id").agg(F.lit(0).alias("seq"), F.min("cluster_id").alias("cluster_id"), F.max("start_ms").alias("at_ms"), F.lit("X").alias("new_cluster_id")),
+    })
+    read = tables.parse_mappings(cut(stored))
+    row = lambda kind, df, key, name: df.select("session_id", F.lit(kind).alias("kind"), key.cast("string").alias("key"), name.cast("string").alias("name"))
+    rows = row("turn", read["turn_names"], F.col("turn_id"), F.col("name")).unionByName(row("cluster", read["cluster_names"], F.col("cluster_id"), F.concat_ws("/", "name", "source")))
+    return rows.unionByName(row("slice", read["slice_names"], F.concat_ws("/", "time_slice_id", "cluster_id"), F.col("name"))).unionByName(row("split", read["splits"], F.col("cluster_id"), F.col("at_ms")))
+
+
 def q_track_hit(s, d):
     stored = table(s, d, "roster").select(F.col("discord_username").alias("track"), F.lit("large").alias("model_name"), F.lit("fr").alias("language"), (F.col("ord") * 1000).alias("size"), (F.col("ord") + 0.25).alias("mtime")).distinct()
     wanted = stored.withColumn("mtime", F.col("mtime") + F.when(F.col("size") % 3000 == 0, 0.5).otherwise(0.00005))
@@ -277,6 +360,8 @@ QUERIES = {
     "coverage_check": q_coverage, "turn_headers": q_headers, "refine_reason": q_reasons, "envelope_join": q_envelopes, "callout_strip": q_callouts, "callout_strip_all": q_callouts_all, "transcript_cache_hit": q_transcript_hit,
     "diarization_cache_hit": q_diarization_hit, "embedding_cache_hit": q_embedding_hit, "entity_fingerprint": q_fingerprint, "prompt_hash": q_prompt_hash, "roster_parse": q_roster, "info_parse": q_info, "track_discovery": q_tracks,
     "auto_assign": q_auto_assign, "truncated_sessions": q_truncated, "elision_filter": q_elisions, "speaker_prompt": q_speaker_prompt, "reconstruction_reason": q_reconstruction, "track_cache_hit": q_track_hit,
+    "context_glossary": q_glossary, "glossary_names": q_glossary_names, "glossary_hash": q_glossary_hash, "glossary_reference": q_glossary_reference, "reconstruct": q_reconstruct, "pipeline_run": q_pipeline_run,
+    "multitrack": q_multitrack, "track_labels": q_track_labels, "pipeline_recluster": q_pipeline_recluster, "voice_assign": q_voice_assign, "mapping_tables": q_mapping_tables,
 }
 
 EM = """em AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings WHERE embedding IS NOT NULL),
@@ -317,6 +402,10 @@ ST = (
   CASE WHEN max(end_ms) % 2 = 0 THEN 'cuda' ELSE 'cpu' END AS device, CASE WHEN max(end_ms) % 3 > 0 THEN 't' END AS transcript_hash FROM di GROUP BY session_id)"""
 )
 
+TRACKS = """ro AS (SELECT DISTINCT ord, discord_username AS u, coalesce(nullif(character_name, ''), CASE WHEN is_dm THEN 'MJ' END, discord_username) || ' (' || discord_username || ')' AS label FROM roster WHERE discord_username IS NOT NULL),
+ex AS (SELECT u, arg_min(label, ord) AS label FROM ro GROUP BY u), fo AS (SELECT lower(u) AS u, arg_min(label, ord) AS label FROM ro GROUP BY lower(u)),
+tl AS (SELECT session_id, turn_id AS seq, start_ms, end_ms, text, (turn_id % 7 + 1) || '-' || speaker || '.flac' AS track_id, coalesce(ex.label, fo.label, speaker) AS label FROM al LEFT JOIN ex ON ex.u = speaker LEFT JOIN fo ON fo.u = lower(speaker) WHERE speaker <> '')"""
+
 ORACLES = {
     "cluster_centroids": f"WITH {EM} SELECT label, n, CAST(pos AS INTEGER) AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM me",
     "profile_match_open": "WITH " + BEST.format("", "AND c >= 0.3"),
@@ -365,5 +454,16 @@ SELECT doc_id, md5(coalesce(array_to_string(list_transform(list_filter(l, lambda
     "truncated_sessions": "SELECT session_id, bool_or(is_truncated) AS truncated FROM segments GROUP BY session_id",
     "elision_filter": f"""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM segments WHERE text IS NOT NULL), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM documents WHERE text IS NOT NULL),
 p AS (SELECT term, string_split(replace(term, '’', chr(39)), chr(39)) AS p FROM w) SELECT term FROM p WHERE NOT coalesce(len(p) = 2 AND p[1] IN ('c','d','j','l','m','n','s','t','qu','jusqu','lorsqu','puisqu') AND p[2] IN (SELECT term FROM s), false)""",
+    "glossary_names": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(replace(text, chr(13) || chr(10), chr(10))), '<\|[^<>|]*\|>', '', 'g'), '!\[\[[^\]]*\]\]|!\[[^\]]*\]\([^)]*\)', '', 'g') AS t FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT unnest(regexp_extract_all(regexp_replace(t, '(?ms)^---[ \t]*\n[A-Za-z_]+:.*?^---[ \t]*$', '', 'g'), '\[\[([^\]\n]+)\]\]', 1)) AS x FROM t),
+n AS (SELECT trim(regexp_replace(split_part(split_part(x, '|', 1), '#', 1), '[\s\p{Z}]+', ' ', 'g')) AS name, CASE WHEN contains(x, '|') THEN trim(regexp_replace(substring(x, instr(x, '|') + 1), '[\s\p{Z}]+', ' ', 'g')) END AS alias FROM l)
+SELECT name, CASE WHEN regexp_matches(alias, '\p{L}') THEN alias END AS alias, count(*) AS n_links FROM n WHERE regexp_matches(name, '\p{L}') GROUP BY ALL""",
+    "pipeline_run": f"WITH {MATCH}, {RUNS}, {AL}, {{names}}, sp AS (SELECT ru.session_id, CAST(run_id AS INTEGER) AS turn_id, start_ms, end_ms, coalesce(cn.name, ru.cluster_id) AS speaker, text, uncertain FROM ru LEFT JOIN cn ON cn.session_id = ru.session_id AND cn.cluster_id = ru.cluster_id), {debounce_sql('sp')} SELECT * FROM de".replace("{names}", "cn AS (SELECT session_id, cluster_id, min(speaker) AS name FROM al WHERE cluster_id IS NOT NULL AND speaker IS NOT NULL AND seq % 3 = 0 GROUP BY ALL)"),
+    "multitrack": f"WITH {AL}, {{tr}}, mt AS (SELECT tl.session_id, row_number() OVER (PARTITION BY tl.session_id ORDER BY start_ms, track_id, seq) - 1 AS turn_id, start_ms, end_ms, label AS speaker, coalesce(text, '') AS text, false AS uncertain FROM tl), {debounce_sql('mt')} SELECT * FROM de".replace("{tr}", "{TRACKS}").replace("{TRACKS}", TRACKS),
+    "track_labels": f"WITH {AL}, {TRACKS} SELECT session_id, seq AS turn_id, track_id, label AS speaker FROM tl",
+    "mapping_tables": f"""WITH {AL}, x AS (SELECT * FROM al WHERE speaker IS NOT NULL AND cluster_id IS NOT NULL) SELECT session_id, 'turn' AS kind, CAST(turn_id AS VARCHAR) AS key, speaker AS name FROM x WHERE turn_id % 10 = 0
+UNION ALL SELECT session_id, 'cluster', cluster_id, CASE WHEN length(min(speaker)) % 2 = 0 THEN min(speaker) || '/manual' ELSE min(speaker) END FROM x GROUP BY session_id, cluster_id
+UNION ALL SELECT session_id, 'slice', time_slice_id || '/' || cluster_id, max(speaker) FROM x WHERE time_slice_id % 2 = 0 GROUP BY session_id, time_slice_id, cluster_id
+UNION ALL SELECT session_id, 'split', min(cluster_id), CAST(max(start_ms) AS VARCHAR) FROM x GROUP BY session_id""",
     "track_cache_hit": "SELECT DISTINCT discord_username AS track, ord * 1000 AS size FROM roster WHERE ord % 3 <> 0",
 }

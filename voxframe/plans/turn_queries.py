@@ -51,18 +51,20 @@ MATCH = (
     + ", "
     + DI
     + """, t AS (SELECT session_id, id, cluster_id, start_ms AS ts, end_ms AS te FROM di WHERE end_ms > start_ms),
-g AS (SELECT session_id, group_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words, string_agg(word, '' ORDER BY start_ms, seq, pos) AS text FROM lg GROUP BY ALL),
+g AS (SELECT session_id, group_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words, string_agg(trim(word), '' ORDER BY start_ms, seq, pos) AS text, arg_min(end_ms, (start_ms, seq, pos)) = min(start_ms) AS point FROM lg GROUP BY ALL),
 p AS (SELECT lg.session_id, group_no, id, cluster_id, ts, te, sum(greatest(0, least(end_ms, te) - greatest(start_ms, ts))) AS ov FROM lg JOIN t ON lg.session_id = t.session_id
   AND ((least(end_ms, te) - greatest(start_ms, ts) > 0 AND end_ms >= start_ms) OR (start_ms = end_ms AND start_ms BETWEEN ts AND te)) GROUP BY ALL),
 r AS (SELECT p.*, row_number() OVER (PARTITION BY p.session_id, group_no ORDER BY ov DESC, abs(ts + te - g.start_ms - g.end_ms), ts, id, cluster_id) AS n FROM p JOIN g USING (session_id, group_no)),
 u AS (SELECT session_id, group_no, count(DISTINCT cluster_id) > 1 AS uncertain FROM p GROUP BY ALL),
-lost AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.session_id = g.session_id AND p.group_no = g.group_no)),
+lost AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.session_id = g.session_id AND p.group_no = g.group_no AND ov > 0)),
+hd AS (SELECT l.session_id, l.group_no, id, cluster_id, row_number() OVER (PARTITION BY l.session_id, l.group_no ORDER BY abs(ts + te - l.start_ms - l.end_ms), ts, id, cluster_id) AS n FROM lost l JOIN t ON t.session_id = l.session_id
+  AND l.point AND ts * 2 <= l.start_ms + l.end_ms AND l.start_ms + l.end_ms <= te * 2),
 nb AS (SELECT l.session_id, l.group_no, arg_max((te * 2, t.ts, id, cluster_id), (te, -t.ts, -id)) AS x FROM lost l JOIN t ON t.session_id = l.session_id AND te * 2 <= l.start_ms + l.end_ms GROUP BY ALL),
 na AS (SELECT l.session_id, l.group_no, arg_min((ts * 2, t.ts, id, cluster_id), (ts, t.ts, id)) AS x FROM lost l JOIN t ON t.session_id = l.session_id AND ts * 2 >= l.start_ms + l.end_ms GROUP BY ALL),
 nn AS (SELECT session_id, group_no, l.start_ms + l.end_ms AS m, x FROM lost l JOIN (SELECT * FROM nb UNION ALL SELECT * FROM na) USING (session_id, group_no)),
 nr AS (SELECT session_id, group_no, x[3] AS id, x[4] AS cluster_id, row_number() OVER (PARTITION BY session_id, group_no ORDER BY abs(x[1] - m), x[2], x[3]) AS n FROM nn),
-aw AS (SELECT g.*, coalesce(r.id, nr.id) AS turn_id, coalesce(r.cluster_id, nr.cluster_id) AS cluster_id, coalesce(uncertain, false) AS uncertain FROM g
-  LEFT JOIN r ON r.session_id = g.session_id AND r.group_no = g.group_no AND r.n = 1 LEFT JOIN u ON u.session_id = g.session_id AND u.group_no = g.group_no
+aw AS (SELECT g.* EXCLUDE (point), coalesce(r.id, hd.id, nr.id) AS turn_id, coalesce(r.cluster_id, hd.cluster_id, nr.cluster_id) AS cluster_id, coalesce(uncertain, false) AS uncertain FROM g
+  LEFT JOIN r ON r.session_id = g.session_id AND r.group_no = g.group_no AND r.n = 1 AND r.ov > 0 LEFT JOIN hd ON hd.session_id = g.session_id AND hd.group_no = g.group_no AND hd.n = 1 LEFT JOIN u ON u.session_id = g.session_id AND u.group_no = g.group_no
   LEFT JOIN nr ON nr.session_id = g.session_id AND nr.group_no = g.group_no AND nr.n = 1)"""
 )
 #: Names that the queries take from the tables: of turns every tenth, of slices the even ones, of clusters the first real speaker.
@@ -209,16 +211,27 @@ QUERIES = {
     "enrolment_gate": q_may_enrol, "review_filter": q_review, "timestamp_format_parse": q_timestamp,
 }
 
-DEBOUNCE = (
-    AL
-    + """, x AS (SELECT * FROM al WHERE trim(text) <> ''), a AS (SELECT *, CASE WHEN row_number() OVER o > 1 AND lag(speaker) OVER o IS NOT DISTINCT FROM speaker THEN 0 ELSE 1 END AS c FROM x
+
+
+def debounce_sql(source: str) -> str:
+    """Merged turns ``de`` of the rows of a source."""
+    return f"""a AS (SELECT *, CASE WHEN row_number() OVER o > 1 AND lag(speaker) OVER o IS NOT DISTINCT FROM speaker THEN 0 ELSE 1 END AS c FROM {source}
   WINDOW o AS (PARTITION BY session_id ORDER BY start_ms, turn_id)),
 b AS (SELECT *, sum(c) OVER (PARTITION BY session_id ORDER BY start_ms, turn_id) AS isl FROM a),
 e AS (SELECT *, max(end_ms) OVER (PARTITION BY session_id, isl ORDER BY start_ms, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS le FROM b),
 f AS (SELECT *, sum(CASE WHEN le IS NULL OR start_ms - le > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, isl ORDER BY start_ms, turn_id) AS grp FROM e),
 de AS (SELECT session_id, arg_min(turn_id, (start_ms, turn_id)) AS turn_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, any_value(speaker) AS speaker,
   trim(string_agg(text, ' ' ORDER BY start_ms, turn_id)) AS text, bool_or(uncertain) AS uncertain, count(*) AS n_turns FROM f GROUP BY session_id, isl, grp)"""
-)
+
+
+DEBOUNCE = f"{AL}, x AS (SELECT * FROM al WHERE trim(text) <> ''), {debounce_sql('x')}"
+#: Runs of aligned groups of one turn.
+RUNS = """k AS (SELECT * FROM aw WHERE turn_id IS NOT NULL), y AS (SELECT *, CASE WHEN lag(turn_id) OVER o = turn_id THEN 0 ELSE 1 END AS c FROM k WINDOW o AS (PARTITION BY session_id ORDER BY start_ms, group_no)),
+z AS (SELECT *, sum(c) OVER (PARTITION BY session_id ORDER BY start_ms, group_no) AS run_no FROM y),
+q AS (SELECT session_id, run_no, any_value(turn_id) AS source_turn_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, any_value(cluster_id) AS cluster_id, string_agg(text, ' ' ORDER BY start_ms, group_no) AS text, bool_or(uncertain) AS uncertain FROM z GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY session_id, source_turn_id ORDER BY run_no) > 1 AS again FROM q),
+ru AS (SELECT session_id, run_no, CASE WHEN again THEN max(source_turn_id) OVER (PARTITION BY session_id) + sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY run_no) ELSE source_turn_id END AS run_id,
+  source_turn_id, start_ms, end_ms, cluster_id, text, uncertain FROM v)"""
 STAMP = "printf('%02d:%02d:%02d', greatest(0, {0}) // 3600000, greatest(0, {0}) // 60000 % 60, greatest(0, {0}) // 1000 % 60)"
 
 ORACLES = {
@@ -231,15 +244,10 @@ ORACLES = {
     "segment_words": f"WITH {WO} SELECT * FROM wo",
     "lexical_groups": f"WITH {GR} SELECT session_id, seq, pos, group_no FROM lg",
     "align_words": f"WITH {MATCH} SELECT * FROM aw",
-    "aligned_runs": f"""WITH {MATCH}, k AS (SELECT * FROM aw WHERE turn_id IS NOT NULL), y AS (SELECT *, CASE WHEN lag(turn_id) OVER o = turn_id THEN 0 ELSE 1 END AS c FROM k WINDOW o AS (PARTITION BY session_id ORDER BY start_ms, group_no)),
-z AS (SELECT *, sum(c) OVER (PARTITION BY session_id ORDER BY start_ms, group_no) AS run_no FROM y),
-q AS (SELECT session_id, run_no, any_value(turn_id) AS source_turn_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, any_value(cluster_id) AS cluster_id, string_agg(text, ' ' ORDER BY start_ms, group_no) AS text, bool_or(uncertain) AS uncertain FROM z GROUP BY ALL),
-v AS (SELECT *, row_number() OVER (PARTITION BY session_id, source_turn_id ORDER BY run_no) > 1 AS again FROM q)
-SELECT session_id, run_no, CASE WHEN again THEN max(source_turn_id) OVER (PARTITION BY session_id) + sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY run_no) ELSE source_turn_id END AS run_id,
-  source_turn_id, start_ms, end_ms, cluster_id, text, uncertain FROM v""",
+    "aligned_runs": f"WITH {MATCH}, {RUNS} SELECT * FROM ru",
     "interleave": f"WITH {AL} SELECT session_id, speaker AS track_id, turn_id AS seq, start_ms, row_number() OVER (PARTITION BY session_id ORDER BY start_ms, speaker, turn_id) - 1 AS turn_id FROM al WHERE speaker IS NOT NULL",
     "debounce": f"WITH {DEBOUNCE} SELECT * FROM de",
-    "render_turns": f"""WITH {DEBOUNCE} SELECT session_id, CASE WHEN bool_or(uncertain) THEN '> **Note:** some speakers are uncertain.' || chr(10) || chr(10) ELSE '' END ||
+    "render_turns": f"""WITH {DEBOUNCE} SELECT session_id, CASE WHEN bool_or(uncertain) THEN '> [!WARNING] Some speaker attributions are uncertain. Review speaker assignments against the audio.' || chr(10) || chr(10) ELSE '' END ||
   rtrim(regexp_replace(string_agg('### [' || {STAMP.format("start_ms")} || ' - ' || {STAMP.format("end_ms")} || '] ' || coalesce(speaker, '') || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY start_ms, turn_id), '\\n+$', '')) || chr(10) AS markdown FROM de GROUP BY session_id""",
     "cluster_stats": f"WITH {AL} SELECT session_id, cluster_id, count(*) AS n_turns, CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms, min(seq) AS first_seq FROM al WHERE cluster_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL",
     "cluster_samples": f"WITH {AL}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id, cluster_id ORDER BY seq, turn_id) AS n FROM al WHERE cluster_id IS NOT NULL AND text IS NOT NULL) SELECT session_id, cluster_id, string_agg(text, '|' ORDER BY seq, turn_id) AS samples FROM r WHERE n <= 4 GROUP BY ALL",

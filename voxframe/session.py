@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; set one only where none is set (tests)."""
+    """Use the shared folder the session names in ``spark.checkpoint.dir``.
+
+    Only a local session without one gets a folder of its own; on a cluster that would be on each machine's own disk, so
+    it is an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxframe-checkpoint-"))
 
 

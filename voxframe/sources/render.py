@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.timeexpr import format_timestamp
-
-#: Notice at the head of a transcript with uncertain turns.
-NOTICE = "> **Note:** some speakers are uncertain."
+from voxframe.operators.refine import NOTICE
 
 
 def turn_blocks(turns: DataFrame) -> DataFrame:
