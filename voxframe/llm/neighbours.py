@@ -132,7 +132,9 @@ def _bucket(size: int, k: int, least: float):
             ids, units, side = ids[order], units[order], side[order]
         i, j = best_pairs(units, side if two else None, k, least)
         cosine = np.einsum("ij,ij->i", units[i], units[j])
-        good = cosine >= least
+        good = np.flatnonzero(cosine >= least)
+        good = good[np.lexsort((ids[j[good]], -cosine[good], i[good]))]
+        good = good[np.arange(len(good)) - np.searchsorted(i[good], i[good]) < k]  # the k of a bucket hold those of all buckets
         i, j, cosine = i[good], j[good], cosine[good]
         if not len(i):
             return None
@@ -165,7 +167,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, least: flo
     placed = distinct.mapInArrow(_placed(size, hashes, probes, tables, True), "bucket long, id long, unit binary")
     tasks = pair_tasks(placed, counts, "bucket", bucket_rows)
     near = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_bucket(size, k, least), "id long, near array<struct<away: double, id: long>>")
-    # of each list at most 2 k can be chosen, so a list stays short however many buckets a vector visits
+    # a list of a bucket has at most k members, so a list of all buckets stays short
     best = near.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
     if any_copies:
         best = _with_copies(best, copies, k)
