@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from voxframe.llm import tokens, vectors
 from voxframe.llm.langid import WINDOW, ByteNetwork, decided, identify_languages, label_code, prose_paragraphs, window_bytes, windows_of
 from voxframe.llm.packing import fill, pack
 from voxframe.llm.tokens import TOKENIZER_DIR, TOKENIZER_FILE, decode_corpus, encode_corpus, token_counts
@@ -34,6 +35,20 @@ def test_round_trip(spark, small, reference):
     assert {r.doc_id: r.n_tokens for r in token_counts(both, "doc_id", "text").collect()} == {k: len(ids) for k, t in text.items() if (ids := reference(t))}
 
 
+def test_rare_and_hot_words(spark, reference, monkeypatch):
+    """The same ids whether all words are sent to the tasks or all are joined by shuffles, hot ones too."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices(["le", "dragon", "🎲", "x" * 60, "é", "supercalifragilistic", "l'eau"], k=rng.randrange(0, 40))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, *rows[:5], (None, "un"), (None, "un"), (900, "b"), (900, "a b"), (901, None), (901, "z")], "doc_id long, text string")
+    want = {i: reference(t) for i, t in rows} | {None: reference("un"), 900: reference("a b"), 901: reference("z")}
+    for one_in, hot in ((20_000, 100_000), (0, 100_000), (0, 3)):
+        monkeypatch.setattr(tokens, "FREQUENT_ONE_IN", one_in)
+        monkeypatch.setattr(vectors, "HOT_ROWS", hot)
+        got = encode_corpus(df, "doc_id", "text").collect()
+        assert {r.doc_id: list(r.ids) for r in got} == want and len(got) == len(want)
+
+
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert encode_corpus(none, "doc_id", "text").count() == 0 and token_counts(none, "doc_id", "text").count() == 0

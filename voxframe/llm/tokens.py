@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.llm.vectors import joined_spread
 from voxframe.session import cut
 
 #: Folder with the vocabulary files, and the file of the tokenizer.
@@ -26,11 +30,6 @@ def words_of(text: Column | str) -> Column:
     return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(WORD_PATTERN), F.lit(0))
 
 
-def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, pos, word`` of every word; a null or empty text has one row with null pos and word."""
-    return docs.select(F.col(key).alias("__key"), F.posexplode_outer(words_of(text)).alias("pos", "word"))
-
-
 def _encoder(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
@@ -50,44 +49,95 @@ def word_table(words: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFram
     return cut(counted.mapInPandas(_encoder(f"{tokenizer_dir}/{TOKENIZER_FILE}"), "word string, n long, ids array<int>"))
 
 
-def with_word_values(words: DataFrame, vocabulary: DataFrame, value: Column, name: str) -> DataFrame:
-    """``__key, pos, name`` of each occurrence, ``name`` being ``value`` of its row in the vocabulary.
-
-    Frequent words, of which there are at most ``FREQUENT_ONE_IN`` of at most ``FREQUENT_CHARS`` characters, are
-    broadcast, so a word that is a third of the corpus isn't shuffled; the others are joined by a shuffle.
-    """
+def frequent_words(vocabulary: DataFrame) -> pa.Table:
+    """``word, ids`` of the frequent words, of which there are at most ``FREQUENT_ONE_IN`` of at most ``FREQUENT_CHARS`` characters."""
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = (F.col("n") * FREQUENT_ONE_IN >= total) & (F.length("word") <= FREQUENT_CHARS)
-    frequent = F.broadcast(vocabulary.filter(often).select("word", value.alias(name)))
-    rare = vocabulary.filter(~often).select("word", value.alias(name))
-    named = words.filter("word is not null")
-    first = named.join(frequent, "word").select("__key", "pos", name)
-    second = named.join(frequent.select("word"), "word", "left_anti").join(rare.hint("shuffle_hash"), "word").select("__key", "pos", name)
-    return first.unionByName(second)
+    return vocabulary.filter(often).select("word", "ids").toArrow().combine_chunks()
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All members of a column of lists in one array, and how many each list has (0 for null)."""
+    return pa.concat_arrays([lists.flatten()]), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+
+
+def _rare(frequent: pa.Table):
+    """The distinct words of each batch's documents that aren't frequent."""
+    known = frequent.column("word").combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, count = _flat(batch.column("words"))
+            missing = np.flatnonzero(np.asarray(pc.is_null(pc.index_in(words, known))))
+            doc = np.repeat(np.arange(len(count)), count)[missing]
+            words = words.take(pa.array(missing)).dictionary_encode()
+            pairs = np.unique((doc << 32) | words.indices.to_numpy().astype(np.int64))
+            yield pa.record_batch([batch.column("__key").take(pa.array(pairs >> 32)), words.dictionary.take(pa.array(pairs & 0xFFFFFFFF))], names=["__key", "word"])
+
+    return run
+
+
+def _joined(frequent: pa.Table):
+    """Ids of each document's words, joined back by position: from the frequent words, or from the document's own list of rare ones."""
+    known, known_ids = (frequent.column(c).combine_chunks() for c in ("word", "ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, count = _flat(batch.column("words"))
+            own, own_count = _flat(batch.column("rare"))
+            doc = np.repeat(np.arange(len(count)), count)
+            at = np.asarray(pc.fill_null(pc.index_in(words, known), -1)).astype(np.int64)
+            missing = np.flatnonzero(at < 0)
+            if len(missing):
+                # rare words are looked up by (document, word): both sides get the number of the word in this batch
+                names = own.field("word").dictionary_encode()
+                word = np.asarray(pc.fill_null(pc.index_in(words.take(pa.array(missing)), names.dictionary), -1)).astype(np.int64)
+                have = (np.repeat(np.arange(len(own_count)), own_count) << 32) | names.indices.to_numpy().astype(np.int64)
+                order = np.argsort(have)
+                at[missing] = len(known) + order[np.searchsorted(have[order], (doc[missing] << 32) | word)]
+            table = pa.concat_arrays([known_ids, own.field("ids").cast(known_ids.type)])
+            found = table.take(pa.array(at))
+            sizes = np.asarray(pc.list_value_length(found)).astype(np.int64)
+            ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(count)]]
+            yield pa.record_batch([batch.column("__key"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found.flatten()), pa.array(np.diff(ends))], names=["__key", "ids", "n"])
+
+    return run
+
+
+def _encoded(docs: DataFrame, key: str, text: str, tokenizer_dir: str) -> DataFrame:
+    """``__key, ids, n`` of each document.
+
+    The words of all documents are counted and each distinct one is encoded once. Frequent words, whose number is bounded,
+    are sent to all tasks, so a word that is a third of the corpus isn't shuffled; rare ones are joined by a shuffle, one
+    row for a document and word, and gathered for each document. Then the words of a document are joined with both by
+    position where the document lies.
+    """
+    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    words = texts.select("__key", words_of("__text").alias("words"))
+    vocabulary = word_table(words.select(F.explode("words").alias("word")), tokenizer_dir)
+    frequent = frequent_words(vocabulary)
+    rare = words.mapInArrow(_rare(frequent), f"__key {docs.schema[key].dataType.simpleString()}, word string").distinct()
+    named = joined_spread(rare, vocabulary, ["word"], "__key").groupBy("__key").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
+    # rows of one key are one document: the least of its texts
+    once = texts.groupBy("__key").agg(F.min("__text").alias("__text"))
+    both = once.join(named.withColumnRenamed("__key", "__same"), F.col("__key").eqNullSafe(F.col("__same")), "left")
+    lists = both.select("__key", words_of("__text").alias("words"), F.coalesce("rare", F.array().cast("array<struct<word:string,ids:array<int>>>")).alias("rare"))
+    return lists.mapInArrow(_joined(frequent), f"__key {docs.schema[key].dataType.simpleString()}, ids array<int>, n long")
 
 
 def encode_corpus(docs: DataFrame, key: str, text: str, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """``key, ids``: the token ids of each document, without special tokens.
 
     A null or empty text has the empty list; the strings of special tokens are ordinary text; texts of any length are
-    encoded whole. Repeated rows of a key with the same text give one row; documents with a null key are one document.
-    An empty table gives no rows; other columns are ignored.
+    encoded whole. Rows of one key are one document, of different texts the least counts; documents with a null key are
+    one document. An empty table gives no rows; other columns are ignored.
     """
-    words = occurrences(docs, key, text)
-    pieces = with_word_values(words, word_table(words, tokenizer_dir), F.col("ids"), "ids")
-    empty = words.filter("word is null").select("__key", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("array<int>").alias("ids"))
-    piece = F.when(F.col("pos").isNotNull(), F.struct("pos", "ids"))
-    grouped = pieces.unionByName(empty).groupBy("__key").agg(F.collect_list(piece).alias("pieces"), F.count_if(F.col("pos") == 0).alias("copies"))
-    once = F.filter(F.array_sort("pieces"), lambda p, i: i % F.greatest("copies", F.lit(1)) == 0)
-    return grouped.select(F.col("__key").alias(key), F.flatten(F.transform(once, lambda p: p["ids"])).alias("ids"))
+    return _encoded(docs, key, text, tokenizer_dir).select(F.col("__key").alias(key), "ids")
 
 
 def token_counts(docs: DataFrame, key: str, text: str, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """``key, n_tokens`` of the documents that have a token; rows of a repeated key count once."""
-    words = occurrences(docs, key, text)
-    sizes = with_word_values(words, word_table(words, tokenizer_dir), F.size("ids").cast("long"), "n_ids")
-    counted = sizes.groupBy("__key").agg(F.sum("n_ids").alias("n"), F.count_if(F.col("pos") == 0).alias("copies"))
-    return counted.select(F.col("__key").alias(key), F.expr("n div copies").alias("n_tokens"))
+    """``key, n_tokens`` of the documents that have a token; rows of one key are one document, as in ``encode_corpus``."""
+    return _encoded(docs, key, text, tokenizer_dir).filter("n > 0").select(F.col("__key").alias(key), F.col("n").alias("n_tokens"))
 
 
 def _pieces(path: str):
