@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
 from voxframe.llm import queries
 from voxframe.llm.nearest_time import nearest_in_time, trie_neighbours
-from voxframe.llm.runs import collapse_runs, folded_label, segment
+from voxframe.llm.runs import collapse_runs, folded_label, label_distance, segment
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -101,3 +102,60 @@ def test_segmentation_is_optimal():
 def test_labels_fold(spark):
     df = spark.createDataFrame([("Tolsénze  Pralande.",), ("TOLSÉNZE_PRALANDE :",), ("?!",), (None,), ("Œuvre",)], "a string")
     assert [r.a for r in df.select(folded_label("a").alias("a")).collect()] == ["tolsenzepralande", "tolsenzepralande", None, None, "oeuvre"]
+
+
+def test_near_identical_labels_are_one_run(spark):
+    rows = [("s", i * 100, i * 100 + 50, i, w) for i, w in enumerate(["merrow", "merow", "merrow", "tessaro", "tesaro", "tessaro", "bob", "merow", "merrow", "merrow"])]
+    df = spark.createDataFrame(rows, "session string, s long, e long, id long, who string")
+    runs = lambda alike, chunk: sorted((r.first_key, r.last_key, r.label, r.n_rows) for r in collapse_runs(df, "session", "s", "e", "id", "who", 2000, chunk_ms=chunk, alike=alike).collect())
+    assert runs(0.34, 1_800_000) == [(0, 2, "merrow", 3), (3, 5, "tessaro", 3), (6, 6, "bob", 1), (7, 9, "merrow", 3)]
+    assert len(runs(0.0, 1_800_000)) == 9 and [r[3] for r in runs(0.34, 300)] == [3, 3, 1, 3]
+
+
+def test_graded_segmentation_is_optimal():
+    rng = np.random.default_rng(4)
+    words = ["merrow", "merow", "merrows", "tessaro", "tesaro"]
+    for _ in range(30):
+        n, alike = 7, 0.4
+        s, label = np.cumsum(rng.integers(0, 5, n)), np.array(rng.choice(words, n), object)
+        e = s + rng.integers(0, 6, n)
+        pair = lambda a, b, x=alike: d / x if (d := label_distance(a, b)) <= x else 2.0
+
+        def cost(cuts):
+            total, begin = 0.0, 0
+            for end in [*cuts, n]:
+                latest, late = e[begin], 0.0
+                for i in range(begin + 1, end):
+                    late += 2.0 * (s[i] - latest > 2)
+                    latest = max(latest, e[i])
+                total, begin = total + 1 + late + min(sum(pair(x, own) for x in label[begin:end]) for own in label[begin:end]), end
+            return total
+
+        best = min(cost([i for i in range(1, n) if mask >> i & 1]) for mask in range(0, 1 << n, 2))
+        run = segment(s, e, label, np.zeros(n), 2, alike)
+        assert abs(cost([i for i in range(1, n) if run[i] != run[i - 1]]) - best) < 1e-9
+
+
+def test_session_of_one_label_is_spread(spark):
+    """Every run of a session with one speaker lies at a border of its chunk; they are joined chunk by chunk, not in one task."""
+    rows = spark.range(6000).select(F.lit("s").alias("session"), (F.col("id") * 5000).alias("s"), (F.col("id") * 5000 + F.when(F.col("id") == 700, 9_000_000).otherwise(1000)).alias("e"), "id", F.lit("x").alias("who"))
+    got = collapse_runs(rows, "session", "s", "e", "id", "who", 2000)
+    found = {(r.first_key, r.last_key, r.n_rows) for r in got.collect()}
+    long = (700, 2500, 1801)  # over five chunks
+    assert long in found and len(found) == 6000 - 1800 and all(a == b for a, b, n in found - {long})
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(__group" not in plan and "windowspecdefinition(__entity#" in plan
+
+
+def test_batches_of_any_size(spark):
+    """A stretch of events isn't cut by the batches in which they reach Python."""
+    rng = random.Random(9)
+    rows = [("s", i * 100, i * 100 + rng.randrange(150), i, rng.choice(["merrow", "merow", "merrow", "bob"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "session string, s long, e long, id long, who string")
+    runs = lambda: sorted(tuple(r) for r in collapse_runs(df, "session", "s", "e", "id", "who", 20, alike=0.34).collect())
+    whole = runs()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert runs() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
