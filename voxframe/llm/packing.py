@@ -13,38 +13,89 @@ from voxframe.session import cut
 
 CAPACITY = 2048
 #: Items packed by one call; the table is cut into groups of about so many items.
-GROUP_ITEMS = 20_000
+GROUP_ITEMS = 5_000
+#: Containers tried in turn for an item that has found no room.
+TRIED = 40
 #: Cost of an item of n tokens: n + n * n / QUADRATIC_FROM (attention outweighs the rest from there on).
 QUADRATIC_FROM = 4096
-#: Last share of the total size, in the smallest items, that goes where the room is tightest.
-TIGHT_SHARE = 0.2
 
 
 def fill(sizes: np.ndarray, capacity: int, quadratic_from: int = QUADRATIC_FROM) -> np.ndarray:
     """Container of each item: in descending size, the open container of lowest cost that has room.
 
     As many containers are open at first as the total size needs at least; one is added when none has room. Balanced to the
-    end, all would keep a little room that no item fits; so the smallest items, the last ``TIGHT_SHARE`` of the total, go
-    to the container with the least room that they fit.
+    end, all keep a little room that no item fits; ``gather`` then exchanges items so that the added containers become empty.
     """
     order = np.argsort(-sizes, kind="stable")
-    room = np.full(max(1, -(-int(sizes.sum()) // capacity)), capacity, np.int64)
-    cost = np.zeros(len(room))
+    least = max(1, -(-int(sizes.sum()) // capacity))
+    room, cost = np.full(least, capacity, np.int64), np.zeros(least)
     place = np.empty(len(sizes), np.int64)
-    left, tight = int(sizes.sum()), TIGHT_SHARE * int(sizes.sum())
     for i in order:
         n = int(sizes[i])
         fits = np.flatnonzero(room >= n)
         if len(fits):
-            k = fits[np.argmin(cost[fits] if left > tight else room[fits])]
+            k = fits[np.argmin(cost[fits])]
         else:
             k = len(room)
             room, cost = np.append(room, capacity), np.append(cost, 0.0)
         room[k] -= n
-        left -= n
         cost[k] += n + n * n / quadratic_from
         place[i] = k
-    return place
+    return gather(sizes, place, room, least, capacity) if len(room) > least else place
+
+
+def gather(sizes: np.ndarray, place: np.ndarray, room: np.ndarray, least: int, capacity: int) -> np.ndarray:
+    """Moves the items of the containers beyond the first ``least`` into these, by exchanges that bring their room together.
+
+    For an item, a container with much room exchanges items for smaller ones of others, which have the room for the
+    difference, until the item fits. The containers with most room are tried in turn; an item for which all fail stays.
+    Containers are numbered anew.
+    """
+    size, room = sizes.tolist(), room.tolist()  # plain numbers: the containers hold a few items each
+    inside: list[list[int]] = [[] for _ in room]
+    for i, k in enumerate(place.tolist()):
+        inside[k].append(i)
+    for extra in range(least, len(room)):
+        for i in sorted(inside[extra], key=lambda j: (-size[j], j)):
+            n = size[i]
+            by_room = sorted((k for k in range(least) if room[k] > 0), key=lambda k: -room[k])
+            if sum(room[k] for k in by_room) < n:
+                continue
+            for to in by_room[:TRIED]:
+                for other in by_room:
+                    if room[to] >= n or room[other] <= 0:
+                        break
+                    if other == to:
+                        continue
+                    most, best = min(room[other], n - room[to]), (0, 0, 0)
+                    for x, a in enumerate(inside[to]):
+                        for y, b in enumerate(inside[other]):
+                            if best[0] < size[a] - size[b] <= most:
+                                best = size[a] - size[b], x, y
+                    gain, x, y = best
+                    if gain:
+                        inside[to][x], inside[other][y] = inside[other][y], inside[to][x]
+                        room[to] += gain
+                        room[other] -= gain
+                if room[to] >= n:
+                    inside[extra].remove(i)
+                    inside[to].append(i)
+                    room[to] -= n
+                    room[extra] += n
+                    break
+    # what is left over goes together
+    rest = [i for own in inside[least:] for i in own]
+    inside[least:] = []
+    for i in sorted(rest, key=lambda j: (-size[j], j)):
+        own = next((own for own in inside[least:] if sum(size[j] for j in own) + size[i] <= capacity), None)
+        if own is None:
+            inside.append([i])
+        else:
+            own.append(i)
+    found = np.empty_like(place)
+    for k, own in enumerate(own for own in inside if own):
+        found[own] = k
+    return found
 
 
 def _pack(capacity: int, key: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
