@@ -17,8 +17,9 @@ from voxframe.session import cut
 #: Folder with the vocabulary files, and the file of the tokenizer.
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER_FILE = "byte_bpe_50k.json"
-#: The published word pattern of the tokenizer (a fixed value); ``(?U)`` gives ``\s`` its Unicode meaning in Java.
-WORD_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The published word pattern of the tokenizer (a fixed value), words of letters first: they begin unlike contractions, and are most of
+#: all words. ``(?U)`` gives ``\s`` its Unicode meaning in Java.
+WORD_PATTERN = r"(?U) ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A word with at least one in so many of all occurrences is frequent, so there are at most as many frequent words.
 FREQUENT_ONE_IN = 20_000
 #: Frequent words are at most so long; longer ones are joined like rare words. With the number above this bounds the broadcast.
