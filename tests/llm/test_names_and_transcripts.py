@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxframe.llm.names import _person_keys, _probe_keys, common_length, likeness, link_names, name_score
-from voxframe.llm.transcripts import clean_turns, name_before, optimal_assignment, resolve_labels, spoken_words, without_dash, without_time_marks
+from voxframe.llm.transcripts import clean_turns, name_before, cluster_persons, optimal_assignment, resolve_labels, spoken_words, without_dash, without_time_marks
 
 PEOPLE = [("c", 0, "gotol.11", "Balquidra Prastone", ["Thiwen"], False), ("c", 1, "tolfen37", "Riquilo Phimont", [], False), ("c", 2, "boss_1", "MJ", None, True), ("c", 2, "boss_1", "MJ", None, True), ("d", 3, "other", "Arphi Steval", ["Halar"], False), ("c", 4, None, None, None, None)]
 SCHEMA = "campaign string, person long, username string, character string, nicknames array<string>, is_dm boolean"
@@ -99,6 +99,17 @@ def test_assignment_is_optimal():
         assert sum(gain[i, j] for i, j in enumerate(found) if j >= 0) == best
 
 
+def test_clusters_go_to_persons():
+    votes = np.array([[5.0, 1, 0], [4, 0, 1], [2, 2, 0], [0, 3, 3]])  # the first person owns two; equal votes go to who has none
+    assert cluster_persons(votes).tolist() == [0, 0, 1, 2] and cluster_persons(np.array([[1.0]])).tolist() == [0]
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        gain = rng.integers(0, 4, (4, 3)) + 0.0
+        gain[:, 0] += gain.sum(1) == 0
+        found = cluster_persons(gain)
+        assert (gain[np.arange(4), found] == gain.max(1)).all()
+
+
 def test_clean_turns(spark):
     people = spark.createDataFrame(PEOPLE, SCHEMA)
     rows = [

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm.names import MASTER_NAMES, name_score, name_tokens, sounded
 from voxframe.llm.runs import collapse_runs, folded_label
+from voxframe.llm.vectors import grouped, joined_spread
 from voxframe.session import cut
 
 #: A clock time, an offset like 12m05s (fixed patterns).
@@ -25,12 +27,14 @@ NOTE_WORDS = "rire rires rit rigol ricane toux tousse soupir silence bruit musiq
 #: Hesitation sounds: euh, heu, hum, hm, mmh, mhm and longer ones, also joined by hyphens.
 HESITATION = r"(?:e+u+h+|h+e+u+h*|e+u{2,}|h+u+m+|h+m+|m{2,}h*|m+h+m*)"
 #: Name before the speech: up to a colon, maybe after a dash or in bold.
-NAME_BEFORE_TEXT = r"^\s*(?:[-–•]\s*)?(?:\*\*)?\s*([^:*\n]{1,80}?)\s*(?:\*\*)?\s*:(?:\s*\*\*)?\s*"
+NAME_BEFORE_TEXT = r"^\s*(?:[-–•]\s*)?(?:\*\*)?\s*([^:*\n]+?)\s*(?:\*\*)?\s*:(?:\s*\*\*)?\s*"
+#: What a further cluster of one person counts less, in votes.
+FURTHER = 0.001
 
 
 def without_time_marks(text: Column) -> Column:
-    marked = F.regexp_replace(text, TIME_IN_BRACKETS, " ")
-    return F.regexp_replace(marked, TIME_BEFORE_TEXT, " ")
+    marked = F.when(text.rlike(r"[\[(<]"), F.regexp_replace(text, TIME_IN_BRACKETS, " ")).otherwise(text)
+    return F.when(marked.rlike(r"^\s*\d"), F.regexp_replace(marked, TIME_BEFORE_TEXT, " ")).otherwise(marked)
 
 
 def without_dash(text: Column) -> Column:
@@ -44,14 +48,14 @@ def spoken_words(text: Column) -> Column:
     is of a sound or the recording, else what they hold is spoken.
     """
     note = "|".join(NOTE_WORDS)
-    t = F.regexp_replace(text, r"\*\*", " ")
-    t = F.regexp_replace(t, r"\*[^*]{1,60}\*|\{[^{}]*\}|<[^<>]*>|♪[^♪]*♪|♪", " ")
+    t = F.replace(text, F.lit("**"), F.lit(" "))
+    t = F.when(t.rlike(r"[*{<♪]"), F.regexp_replace(t, r"\*[^*\n]+\*|\{[^{}]*\}|<[^<>]*>|♪[^♪]*♪|♪", " ")).otherwise(t)
     plain = rf"(?iU)[\(\[]+[^()\[\]]*\b(?:{note.replace('etern', '[eé]tern').replace('hesit', 'h[eé]sit')})[^()\[\]]*[\)\]]+"
-    t = F.regexp_replace(t, plain, " ")
+    t = F.when(t.rlike(r"[(\[]"), F.regexp_replace(t, plain, " ")).otherwise(t)
     words = F.split(t, r"(?U)\s+")
-    spoken = F.filter(words, lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    sound = rf"(?iU)^[^\p{{L}}\p{{N}}]*{HESITATION}(?:[-’']{HESITATION})*[^\p{{L}}\p{{N}}]*$"
-    return F.filter(spoken, lambda w: ~w.rlike(sound))
+    # a word holds a letter or digit and isn't a hesitation sound
+    word = rf"(?iU)^(?![^\p{{L}}\p{{N}}]*{HESITATION}(?:[-’']{HESITATION})*[^\p{{L}}\p{{N}}]*$)[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]"
+    return F.filter(words, lambda w: w.rlike(word))
 
 
 def person_keys(people: DataFrame) -> DataFrame:
@@ -75,7 +79,7 @@ def _phonetic(column: str):
     def run(values: pd.Series) -> pd.Series:
         def codes(v: str | None) -> list[str]:
             found = [sounded(t) for t, _ in name_tokens(v)] if v else []
-            return sorted({t[0] + "".join(c for c in t[1:] if c not in "aeiouyhw0123456789")[:3] for t in found if len(t) > 3})
+            return sorted({t[0] + "".join(c for c in t[1:] if c not in "aeiouyhw0123456789")[:3] for t in found})
 
         return values.map(codes)
 
@@ -90,7 +94,7 @@ def _label_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def name_before(text: Column) -> Column:
     """Folded name before the speech, null without one."""
-    return label_key(F.regexp_extract(text, NAME_BEFORE_TEXT, 1))
+    return F.when(text.contains(":"), label_key(F.regexp_extract(text, NAME_BEFORE_TEXT, 1)))
 
 
 def resolve_labels(labels: DataFrame, people: DataFrame) -> DataFrame:
@@ -146,16 +150,33 @@ def optimal_assignment(gain: np.ndarray) -> np.ndarray:
     return found
 
 
-def _assigned(votes: pd.DataFrame) -> pd.DataFrame:
-    """Person of each cluster of a session: the one with most votes; among equals the one of the optimal assignment."""
-    rows, clusters = pd.factorize(votes["cluster"], sort=True)
-    columns, persons = pd.factorize(votes["person"], sort=True)
-    gain = np.zeros((len(clusters), len(persons)))
-    np.add.at(gain, (rows, columns), votes["votes"].to_numpy(float))
-    chosen = optimal_assignment(gain)
+def cluster_persons(gain: np.ndarray) -> np.ndarray:
+    """Person of each cluster by an assignment of greatest total gain, where ``gain`` (clusters x persons) holds the votes.
+
+    A person may own several clusters, each further one for ``FURTHER`` of a vote less: every person has as many columns as
+    clusters that vote for them. So votes decide, and among equals a person who has no cluster yet. If every cluster's best
+    person is ahead by more than all these reductions, each takes it: no assignment is better.
+    """
     best = gain.argmax(1)
-    kept = np.where((chosen >= 0) & (gain[np.arange(len(gain)), chosen] >= gain.max(1)), chosen, best)
-    return pd.DataFrame({"session": votes["session"].iloc[0], "cluster": clusters, "cluster_person": persons[kept]})
+    ordered = np.sort(gain, 1)
+    ahead = ordered[:, -1] - (ordered[:, -2] if gain.shape[1] > 1 else 0)
+    if (ahead > FURTHER * len(gain)).all():
+        return best
+    owner = np.concatenate([np.full(n, p) for p, n in enumerate((gain > 0).sum(0))])
+    copy = np.concatenate([np.arange(n) for n in (gain > 0).sum(0)])
+    chosen = optimal_assignment(np.where(gain[:, owner] > 0, np.maximum(gain[:, owner] - FURTHER * copy, 1e-9), 0))
+    return np.where(chosen >= 0, owner[chosen], best)
+
+
+def _assigned(_: int, votes: pa.Table) -> pa.RecordBatch:
+    found = []
+    for session, rows in votes.to_pandas().groupby("session", sort=False):
+        cluster, clusters = pd.factorize(rows["cluster"], sort=True)
+        person, persons = pd.factorize(rows["person"], sort=True)
+        gain = np.zeros((len(clusters), len(persons)))
+        np.add.at(gain, (cluster, person), rows["votes"].to_numpy(float))
+        found.append((np.repeat(session, len(clusters)), clusters, persons[cluster_persons(gain)]))
+    return pa.record_batch([pa.array(np.concatenate(x), pa.string()) for x in zip(*found, strict=True)], names=["session", "cluster", "cluster_person"])
 
 
 def clean_turns(turns: DataFrame, people: DataFrame, max_gap: int = 2000) -> DataFrame:
@@ -170,16 +191,21 @@ def clean_turns(turns: DataFrame, people: DataFrame, max_gap: int = 2000) -> Dat
     """
     resolved = cut(resolve_labels(turns.select("campaign", F.col("speaker").alias("label")), people))
     unique = resolved.withColumn("named", F.when(F.size("persons") == 1, F.get("persons", 0)))
-    rows = turns.join(unique.withColumnRenamed("label", "speaker"), ["campaign", "speaker"], "left")
+    labelled = turns.groupBy("campaign", "speaker").agg(F.count("*").alias("n")).join(unique.withColumnRenamed("label", "speaker"), ["campaign", "speaker"])
+    rows = cut(joined_spread(turns, labelled, ["campaign", "speaker"], "turn_id", "left").drop("n"))
     votes = rows.filter("cluster is not null and persons is not null").select("session", "cluster", F.explode("persons").alias("person"), (1 / F.size("persons")).alias("votes"))
     votes = votes.groupBy("session", "cluster", "person").agg(F.sum("votes").alias("votes"))
     # one row per cluster and person of a session, however many turns it has
-    assigned = cut(votes.groupBy("session").applyInPandas(_assigned, "session string, cluster string, cluster_person string"))
-    owned = rows.join(assigned, ["session", "cluster"], "left").withColumn("person", F.coalesce("named", "cluster_person"))
-    names = person_keys(people).select("campaign", F.col("key").alias("before")).distinct()
+    sessions = votes.withColumn("group", F.xxhash64("session")).repartition("group").sortWithinPartitions("group", "session", "cluster", "person")
+    assigned = cut(sessions.mapInArrow(grouped(_assigned, "group"), "session string, cluster string, cluster_person string"))
+    counted = rows.filter("cluster is not null").groupBy("session", "cluster").agg(F.count("*").alias("n")).join(assigned, ["session", "cluster"])
+    owned = joined_spread(rows, counted, ["session", "cluster"], "turn_id", "left").withColumn("person", F.coalesce("named", "cluster_person"))
+    names = person_keys(people).groupBy("campaign").agg(F.collect_set("key").alias("keys"))
     text = without_dash(without_time_marks(without_time_marks(F.coalesce("text", F.lit("")))))
     cleaned = owned.withColumn("text", text).withColumn("before", name_before(F.col("text")))
-    named = cleaned.join(names.withColumn("is_name", F.lit(True)), ["campaign", "before"], "left")
+    # of the distinct names before speeches, those of the campaign's people
+    spoken_names = cleaned.filter("before is not null").groupBy("campaign", "before").agg(F.count("*").alias("n")).join(names, "campaign").filter(F.array_contains("keys", F.col("before"))).select("campaign", "before", "n", F.lit(True).alias("is_name"))
+    named = joined_spread(cleaned, spoken_names, ["campaign", "before"], "turn_id", "left")
     speech = F.when(F.col("is_name"), without_time_marks(F.regexp_replace("text", NAME_BEFORE_TEXT, " "))).otherwise(F.col("text"))
     counted = named.withColumn("n_words", F.size(spoken_words(speech)).cast("long")).filter("n_words > 0")
     counted = counted.withColumn("person", F.coalesce("person", F.lit("")))
