@@ -192,7 +192,7 @@ def clean_turns(turns: DataFrame, people: DataFrame, max_gap: int = 2000) -> Dat
     resolved = cut(resolve_labels(turns.select("campaign", F.col("speaker").alias("label")), people))
     unique = resolved.withColumn("named", F.when(F.size("persons") == 1, F.get("persons", 0)))
     labelled = turns.groupBy("campaign", "speaker").agg(F.count("*").alias("n")).join(unique.withColumnRenamed("label", "speaker"), ["campaign", "speaker"])
-    rows = cut(joined_spread(turns, labelled, ["campaign", "speaker"], "turn_id", "left").drop("n"))
+    rows = joined_spread(turns, labelled, ["campaign", "speaker"], "turn_id", "left").drop("n")
     votes = rows.filter("cluster is not null and persons is not null").select("session", "cluster", F.explode("persons").alias("person"), (1 / F.size("persons")).alias("votes"))
     votes = votes.groupBy("session", "cluster", "person").agg(F.sum("votes").alias("votes"))
     # one row per cluster and person of a session, however many turns it has
@@ -202,7 +202,7 @@ def clean_turns(turns: DataFrame, people: DataFrame, max_gap: int = 2000) -> Dat
     owned = joined_spread(rows, counted, ["session", "cluster"], "turn_id", "left").withColumn("person", F.coalesce("named", "cluster_person"))
     names = person_keys(people).groupBy("campaign").agg(F.collect_set("key").alias("keys"))
     text = without_dash(without_time_marks(without_time_marks(F.coalesce("text", F.lit("")))))
-    cleaned = owned.withColumn("text", text).withColumn("before", name_before(F.col("text")))
+    cleaned = cut(owned.select("session", "campaign", "turn_id", "s", "e", "person", text.alias("text")).withColumn("before", name_before(F.col("text"))))
     # of the distinct names before speeches, those of the campaign's people
     spoken_names = cleaned.filter("before is not null").groupBy("campaign", "before").agg(F.count("*").alias("n")).join(names, "campaign").filter(F.array_contains("keys", F.col("before"))).select("campaign", "before", "n", F.lit(True).alias("is_name"))
     named = joined_spread(cleaned, spoken_names, ["campaign", "before"], "turn_id", "left")
