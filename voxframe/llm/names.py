@@ -43,15 +43,17 @@ def sounded(token: str) -> str:
     return re.sub(r"qu(?=[aeiouy])", "k", token.replace("ph", "f")).replace("ck", "k")
 
 
-@lru_cache(maxsize=500_000)
 def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, all rows of a column at once: the bits of a number are the letters of ``a``, those set to 0 count."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    open_bits = every
+    for y in b:
+        same = open_bits & places.get(y, 0)
+        open_bits = ((open_bits + same) | (open_bits - same)) & every
+    return len(a) - open_bits.bit_count()
 
 
 @lru_cache(maxsize=500_000)
@@ -63,13 +65,17 @@ def likeness(a: str, b: str) -> float:
 def _ratio(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    shared, longest = common_length(a, b), max(len(a), len(b))
-    ratio = 2 * shared / (len(a) + len(b))
+    longest, shortest = max(len(a), len(b)), min(len(a), len(b))
     missed = 1 if longest < TWO_MISSED else 2
-    return ratio if min(len(a), len(b)) >= 4 and longest - shared <= missed and ratio >= LEAST_RATIO else 0.0
+    if shortest < 4 or longest - shortest > missed:  # no common subsequence can be long enough
+        return 0.0
+    shared = common_length(a, b)
+    ratio = 2 * shared / (len(a) + len(b))
+    return ratio if longest - shared <= missed and ratio >= LEAST_RATIO else 0.0
 
 
-def name_tokens(name: str) -> list[tuple[str, bool]]:
+@lru_cache(maxsize=200_000)
+def name_tokens(name: str) -> tuple[tuple[str, bool], ...]:
     """Folded tokens of a typed name without section anchors and titles; whether each was cut short by a dot."""
     name = re.sub(r"#.*", "", name, flags=re.S)
     name = re.sub(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])", " ", name)
@@ -79,7 +85,16 @@ def name_tokens(name: str) -> list[tuple[str, bool]]:
         if token:
             found.append((token, word.endswith(".")))
     kept = [t for t in found if t[0] not in TITLES]
-    return kept or found
+    return tuple(kept or found)
+
+
+@lru_cache(maxsize=200_000)
+def person_parts(character: str, nicknames: tuple[str, ...], is_dm: bool) -> tuple[tuple[str, ...], int, tuple[str, ...]]:
+    """Parts of a person's name and the nicknames, the number of the former, and the parts written together."""
+    names = folded(character).split() if not is_dm else []
+    given = [n for nick in nicknames for n in [folded(nick).replace(" ", "")] if n]
+    joined = ["".join(names), "".join(reversed(names)), *(g + names[-1] for g in given)] if len(names) > 1 else []
+    return (*names, *given), len(names), tuple(joined)
 
 
 def name_score(name: str, username: str, character: str, nicknames: tuple[str, ...], is_dm: bool) -> float:
@@ -99,14 +114,11 @@ def name_score(name: str, username: str, character: str, nicknames: tuple[str, .
     tokens = name_tokens(name)
     if any(t in NOT_A_PERSON for t, _ in tokens):
         return 0.0
-    names = folded(character).split() if not is_dm else []
-    given = [n for nick in nicknames for n in [folded(nick).replace(" ", "")] if n]
-    parts = names + given
-    joined = ["".join(names), "".join(reversed(names))] + [g + names[-1] for g in given if len(names) > 1]
-    if len(tokens) == 1 and len(names) > 1:
+    parts, n_names, joined = person_parts(character, nicknames, is_dm)
+    if len(tokens) == 1 and n_names > 1:
         best = max(likeness(tokens[0][0], j) for j in joined)
         if best:
-            return best + len(names) - 1
+            return best + n_names - 1
     free, total, real = list(parts), 0.0, False
     for token, short in sorted(tokens, key=lambda t: (-len(t[0]), t[0])):
         scores = []
@@ -161,13 +173,11 @@ def _probe_keys(probe: str) -> list[str]:
 
 def _person_keys(username: str, character: str, nicknames: tuple[str, ...], is_dm: bool) -> list[str]:
     """Keys of the user name, and of the parts of the name as ``name_score`` compares them: misspelled, cut short, written together."""
-    names = folded(character).split() if not is_dm else []
-    given = [n for nick in nicknames for n in [folded(nick).replace(" ", "")] if n]
-    joined = ["".join(names), "".join(reversed(names)), *(g + names[-1] for g in given)] if len(names) > 1 else []
+    parts, _, joined = person_parts(character, nicknames, is_dm)
     keys = {"=" + folded(username).replace(" ", ""), *(["=master"] if is_dm else [])}
-    for part in {*names, *given, *joined}:
+    for part in {*parts, *joined}:
         keys |= _misspelled(part) | _misspelled(sounded(part))
-    return sorted(keys | {"<" + p[:n] for p in (*names, *given) for n in range(LEAST_CUT, len(p))})
+    return sorted(keys | {"<" + p[:n] for p in parts for n in range(LEAST_CUT, len(p))})
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("choice", T.BooleanType()), T.StructField("probe", T.StringType())])))
@@ -207,10 +217,11 @@ def link_names(names: DataFrame, people: DataFrame) -> DataFrame:
     roster = people.filter("campaign is not null and person is not null").dropDuplicates(["campaign", "person"])
     keys = _keys_of_person("username", "character", F.coalesce("nicknames", F.array().cast("array<string>")), F.coalesce("is_dm", F.lit(False)))
     # a row has hundreds of keys, which the planner doesn't foresee: without the hint it broadcasts them
-    index = roster.select("campaign", "person", F.explode(keys).alias("key")).select("campaign", "person", F.xxhash64("key").alias("block")).distinct()
+    # a block is a key of a campaign, as one number; the keys of a person are distinct
+    index = roster.select("campaign", "person", F.explode(keys).alias("key")).select("person", F.xxhash64("campaign", "key").alias("block"))
     asked = cut(typed.select("campaign", "name", F.inline(_probes_of("name"))))
     probes = asked.select("campaign", "probe").distinct()
-    hits = cut(probes.select("campaign", "probe", F.explode(_keys_of_probe("probe")).alias("key")).select("campaign", "probe", F.xxhash64("key").alias("block")).join(index.hint("merge"), ["campaign", "block"]).select("campaign", "probe", "person").distinct())
+    hits = cut(probes.select("campaign", "probe", F.explode(_keys_of_probe("probe")).alias("key")).select("campaign", "probe", F.xxhash64("campaign", "key").alias("block")).join(index.hint("merge"), "block").select("campaign", "probe", "person").distinct())
     sizes = hits.groupBy("campaign", "probe").agg(F.count("*").alias("n"))
     rarest = asked.filter("choice").join(sizes, ["campaign", "probe"], "left").groupBy("campaign", "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "probe")).alias("x")).select("campaign", "name", "x.probe")
     chosen = rarest.unionByName(asked.filter("not choice").select("campaign", "name", "probe"))
