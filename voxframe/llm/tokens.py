@@ -78,6 +78,27 @@ def _rare(frequent: pa.Table):
     return run
 
 
+def _counted(frequent: pa.Table):
+    """Of each document the number of ids of its frequent words, and its distinct rare words with their numbers."""
+    known = frequent.column("word").combine_chunks()
+    sizes = np.asarray(pc.list_value_length(frequent.column("ids").combine_chunks())).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, count = _flat(batch.column("words"))
+            doc = np.repeat(np.arange(len(count)), count)
+            at = np.asarray(pc.fill_null(pc.index_in(words, known), -1)).astype(np.int64)
+            have, missing = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            n = np.bincount(doc[have], sizes[at[have]], len(count)).astype(np.int64)
+            rare = words.take(pa.array(missing)).dictionary_encode()
+            pairs, times = np.unique((doc[missing] << 32) | rare.indices.to_numpy().astype(np.int64), return_counts=True)
+            begin = pa.array(np.searchsorted(pairs >> 32, np.arange(len(count) + 1)).astype(np.int32))
+            each = pa.StructArray.from_arrays([rare.dictionary.take(pa.array(pairs & 0xFFFFFFFF)), pa.array(times.astype(np.int64))], names=["word", "times"])
+            yield pa.record_batch([batch.column("__key"), batch.column("__copy"), pa.array(n), pa.ListArray.from_arrays(begin, each)], names=["__key", "__copy", "n", "rare"])
+
+    return run
+
+
 def _joined(frequent: pa.Table):
     """Ids of each document's words, joined back by position: from the frequent words, or from the document's own list of rare ones."""
     known, known_ids = (frequent.column(c).combine_chunks() for c in ("word", "ids"))
@@ -119,8 +140,8 @@ def _encoded(docs: DataFrame, key: str, text: str, tokenizer_dir: str) -> DataFr
     frequent = frequent_words(vocabulary)
     rare = words.mapInArrow(_rare(frequent), f"__key {docs.schema[key].dataType.simpleString()}, word string").distinct()
     named = joined_spread(rare, vocabulary, ["word"], "__key").groupBy("__key").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
-    # rows of one key are one document: the least of its texts
-    once = texts.groupBy("__key").agg(F.min("__text").alias("__text"))
+    # rows of one key are one document
+    once = texts.groupBy("__key").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
     both = once.join(named.withColumnRenamed("__key", "__same"), F.col("__key").eqNullSafe(F.col("__same")), "left")
     lists = both.select("__key", words_of("__text").alias("words"), F.coalesce("rare", F.array().cast("array<struct<word:string,ids:array<int>>>")).alias("rare"))
     return lists.mapInArrow(_joined(frequent), f"__key {docs.schema[key].dataType.simpleString()}, ids array<int>, n long")
@@ -130,15 +151,27 @@ def encode_corpus(docs: DataFrame, key: str, text: str, tokenizer_dir: str = TOK
     """``key, ids``: the token ids of each document, without special tokens.
 
     A null or empty text has the empty list; the strings of special tokens are ordinary text; texts of any length are
-    encoded whole. Rows of one key are one document, of different texts the least counts; documents with a null key are
-    one document. An empty table gives no rows; other columns are ignored.
+    encoded whole. Rows of one key are one document, of different texts the one with the smallest hash counts; documents
+    with a null key are one document. An empty table gives no rows; other columns are ignored.
     """
     return _encoded(docs, key, text, tokenizer_dir).select(F.col("__key").alias(key), "ids")
 
 
 def token_counts(docs: DataFrame, key: str, text: str, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """``key, n_tokens`` of the documents that have a token; rows of one key are one document, as in ``encode_corpus``."""
-    return _encoded(docs, key, text, tokenizer_dir).filter("n > 0").select(F.col("__key").alias(key), F.col("n").alias("n_tokens"))
+    """``key, n_tokens`` of the documents that have a token; rows of one key are one document, as in ``encode_corpus``.
+
+    Needs no positions: frequent words are counted where the document lies, rare ones are joined by a shuffle, one row for a
+    document and word.
+    """
+    words = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__copy"), words_of(text).alias("words"))
+    vocabulary = word_table(words.select(F.explode("words").alias("word")), tokenizer_dir)
+    kind = docs.schema[key].dataType.simpleString()
+    rows = words.mapInArrow(_counted(frequent_words(vocabulary)), f"__key {kind}, __copy long, n long, rare array<struct<word:string,times:long>>")
+    once = cut(rows.groupBy("__key").agg(F.min_by(F.struct("n", "rare"), "__copy").alias("x")).select("__key", "x.*"))
+    sizes = vocabulary.select("word", F.size("ids").alias("size"), "n")
+    rare = joined_spread(once.select("__key", F.inline("rare")), sizes, ["word"], "__key").select("__key", (F.col("times") * F.col("size")).alias("n"))
+    counted = once.select("__key", "n").unionByName(rare).groupBy("__key").agg(F.sum("n").alias("n_tokens"))
+    return counted.filter("n_tokens > 0").select(F.col("__key").alias(key), "n_tokens")
 
 
 def _pieces(path: str):
