@@ -125,6 +125,20 @@ def test_linkage_against_brute_force():
     assert vectors.average_linkage(np.zeros((0, 2)), 1, None).tolist() == []
 
 
+def test_large_sessions_are_linked_in_rounds(spark):
+    """The same clusters whether a session is one task or merged in rounds, block by block."""
+    rng = np.random.default_rng(3)
+    rows = [(f"s{k}", i, (rng.normal(size=4) + 2 * rng.normal(size=4).round()).tolist()) for k in range(2) for i in range(60)] + [("s0", 99, None), ("tiny", 5, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "session_id string, id long, vector array<double>")
+    one = sorted(map(tuple, vectors.recluster(df, None, 0.4).collect()))
+    assert sorted(map(tuple, vectors.recluster(df, None, 0.4, most=10).collect())) == one and 3 < len({r[2] for r in one}) < 60
+    small = vectors.linked_in_rounds(df.filter("vector is not null"), 0.4, 7).collect()
+    groups = lambda pairs: {frozenset(i for s, i, c in pairs if (s, c) == k) for k in {(s, c) for s, _, c in pairs}}
+    assert groups([tuple(r) for r in small]) == groups(one)
+    with pytest.raises(ValueError, match="fixed number"):
+        vectors.recluster(df, 3, None, most=10)
+
+
 def test_profiles(spark):
     samples = spark.createDataFrame([("Brakk", "a", [1.0, 0.0]), ("Brakk", "b", [0.8, 0.6]), ("Merrow", "c", [0.0, 1.0])], "speaker string, sample_id string, vector array<double>")
     none = spark.createDataFrame([], "speaker string, centroid array<double>, sample_count long, sample_ids array<string>")

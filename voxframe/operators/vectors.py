@@ -7,9 +7,11 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.session import cut
+
 #: Rows of either side that meet in one task.
 BLOCK_ROWS = 20_000
 
@@ -144,18 +146,68 @@ def average_linkage(vectors: np.ndarray, n_clusters: int | None, distance: float
     return np.unique(label, return_inverse=True)[1]
 
 
+def _nearest_in_blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """For each cluster of the left block the nearest one of the right block (ties: smaller id), by average linkage of unit vectors."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"session_id": pd.Series(dtype="str"), "c": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64"), "near": pd.Series(dtype="int64")})
+    right = right.sort_values("c")
+    mean = lambda x: np.stack(x["total"].to_numpy()) / x["n"].to_numpy()[:, None]
+    d = 1 - mean(left) @ mean(right).T
+    d[left["c"].to_numpy()[:, None] == right["c"].to_numpy()[None, :]] = np.inf
+    at = d.argmin(1)
+    return pd.DataFrame({"session_id": left["session_id"].to_numpy(), "c": left["c"].to_numpy(), "d": d[np.arange(len(at)), at], "near": right["c"].to_numpy()[at]})
+
+
+def linked_in_rounds(rows: DataFrame, distance: float, block: int = 2000) -> DataFrame:
+    """``session_id, id, c``: average linkage of sessions of any size; ``c`` is the smallest id of the cluster.
+
+    The average distance of two clusters of unit vectors needs their sums and sizes only, and merging two clusters that
+    are each other's nearest never brings a third one nearer, so all such pairs below ``distance`` are merged at once, in
+    rounds, until none is left: the result is that of merging one pair at a time. In a round the clusters of a session
+    are compared in pairs of blocks.
+    """
+    now = cut(rows.select("session_id", F.col("id").alias("c"), unit(F.col("vector")).alias("total"), F.lit(1).cast("long").alias("n")))
+    member = rows.select("session_id", "id", F.col("id").alias("c"))
+    while True:
+        sizes = now.groupBy("session_id").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+        numbered = now.join(F.broadcast(sizes), "session_id").withColumn("own", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+        a, b = numbered.withColumn("a", F.col("own")).withColumn("b", other), numbered.toDF(*numbered.columns).withColumn("b", F.col("own")).withColumn("a", other)
+        key = ["session_id", "a", "b"]
+        found = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(_nearest_in_blocks, "session_id string, c long, d double, near long")
+        nearest = cut(found.groupBy("session_id", "c").agg(F.min(F.struct("d", "near")).alias("x")).filter(F.col("x.d") < distance).select("session_id", "c", "x.near"))
+        back = nearest.select("session_id", F.col("c").alias("near"), F.col("near").alias("c"))
+        pairs = cut(nearest.join(back, ["session_id", "c", "near"]).filter("c < near"))
+        if pairs.isEmpty():
+            return member
+        gone = pairs.select("session_id", F.col("near").alias("c"), F.col("c").alias("into"))
+        merged = pairs.join(now, ["session_id", "c"]).join(now.select("session_id", F.col("c").alias("near"), F.col("total").alias("more"), F.col("n").alias("m")), ["session_id", "near"])
+        merged = merged.select("session_id", "c", F.zip_with("total", "more", lambda x, y: x + y).alias("total"), (F.col("n") + F.col("m")).alias("n"))
+        touched = gone.select("session_id", "c").unionByName(pairs.select("session_id", "c"))
+        now = cut(now.join(touched, ["session_id", "c"], "left_anti").unionByName(merged))
+        member = cut(member.join(gone, ["session_id", "c"], "left").select("session_id", "id", F.coalesce("into", "c").alias("c")))
+
+
 def recluster(embeddings: DataFrame, n_clusters: int | None = None, distance: float | None = 0.6, most: int = 5000) -> DataFrame:
-    """``session_id, id, label``: clusters of the vectors of each session, numbered by first appearance.
+    """``session_id, id, label``: clusters of the vectors of each session by average linkage, numbered by first appearance.
 
-    The distance matrix of a session must fit in one task; more than ``most`` vectors in a session raise an error.
+    Sessions of up to ``most`` vectors are clustered in one task each, larger ones by ``linked_in_rounds``, with the same
+    result; a fixed number of clusters is possible for the former only (an error for the latter). Null vectors are left out.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"a session has more than {most} vectors")
         rows = rows.sort_values("id")
         label = average_linkage(np.stack(rows["vector"].to_numpy()).astype(float), n_clusters, distance)
         return pd.DataFrame({"session_id": rows["session_id"], "id": rows["id"], "label": [f"SPEAKER_{i:02d}" for i in pd.factorize(label)[0]]})
 
     rows = embeddings.filter(F.col("vector").isNotNull()).select(F.col("session_id").cast("string").alias("session_id"), F.col("id").cast("long").alias("id"), "vector")
-    return rows.groupBy("session_id").applyInPandas(run, "session_id string, id long, label string")
+    large = cut(rows.groupBy("session_id").count().filter(F.col("count") > most).select("session_id"))
+    small = rows.join(F.broadcast(large), "session_id", "left_anti").groupBy("session_id").applyInPandas(run, "session_id string, id long, label string")
+    if large.isEmpty():
+        return small
+    if n_clusters is not None or distance is None:
+        raise ValueError(f"a fixed number of clusters needs sessions of at most {most} vectors")
+    found = linked_in_rounds(rows.join(F.broadcast(large), "session_id"), distance)
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("c")) - 1
+    names = found.select("session_id", "c").distinct().select("session_id", "c", F.format_string("SPEAKER_%02d", number).alias("label"))
+    return small.unionByName(found.join(names, ["session_id", "c"]).select("session_id", "id", "label"))
