@@ -58,3 +58,16 @@ def complete_embeddings(provenance: DataFrame, rows: DataFrame, key: str = "medi
     """Provenance rows with a transcript hash whose number of stored embeddings is the recorded one."""
     counted = rows.groupBy(key).agg(F.count("*").alias("__n"))
     return provenance.filter(F.coalesce("transcript_hash", F.lit("")) != "").join(counted, key).filter("count = __n").drop("__n")
+
+
+def usable_embeddings(stored: DataFrame, expected: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored embeddings of segments or turns that the expected provenance may use.
+
+    ``stored`` and ``expected`` have ``media_hash, entity_kind, model, source_hash, fingerprint, count``, ``rows`` the stored
+    vectors with ``media_hash, entity_kind``. All fields have to be equal, the hash of the source not blank, and as many
+    vectors stored as recorded.
+    """
+    keys = ["media_hash", "entity_kind", "model", "source_hash", "fingerprint", "count"]
+    counted = rows.groupBy("media_hash", "entity_kind").agg(F.count("*").alias("__n"))
+    complete = stored.filter(F.coalesce("source_hash", F.lit("")) != "").join(counted, ["media_hash", "entity_kind"]).filter("count = __n").drop("__n")
+    return complete.join(expected.select(*keys), keys, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxframe.functions.dice import dice_notation
 from voxframe.operators import attribution, glossary, lore, provenance, refine, vectors
 from voxframe.plans import pipeline
-from voxframe.plans.turn_queries import AL, DI, MATCH, RUNS, aligned, debounce_sql, diar, segments
+from voxframe.plans.turn_queries import AL, DI, MATCH, RUNS, SE, aligned, debounce_sql, diar, segments
 from voxframe.session import cut, table
 from voxframe.sources import tables
 
@@ -181,8 +181,9 @@ def q_envelopes(s, d):
 
 
 def q_callouts(s, d):
+    """Every text as it stands, put into a callout."""
     text = F.concat(F.lit("> [!note] x\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))
-    return table(s, d, "documents").filter("text is not null and not text rlike '(?m)^\\\\s*>' and not contains(text, '\\r')").select("doc_id", F.md5(refine.strip_callouts(text)).alias("digest"))
+    return table(s, d, "documents").filter("text is not null").select("doc_id", F.md5(refine.strip_callouts(text)).alias("digest"))
 
 
 def q_callouts_all(s, d):
@@ -212,6 +213,24 @@ def q_embedding_hit(s, d):
     return provenance.complete_embeddings(recorded, rows).select("media_hash", "count")
 
 
+def q_embeddings_reuse(s, d):
+    """Embeddings of turns and segments recorded with the number of rows, every other one with one more; expected are those of the ECAPA model."""
+    rows = diar(s, d).select(F.col("session_id").alias("media_hash"), F.lit("turn").alias("entity_kind")).unionByName(segments(s, d).select(F.col("session_id").alias("media_hash"), F.lit("segment").alias("entity_kind")))
+    counted = rows.groupBy("media_hash", "entity_kind").agg(F.count("*").alias("n"))
+    model = F.when(F.col("n") % 3 == 0, "other").otherwise("ecapa").alias("model")
+    stored = counted.select("media_hash", "entity_kind", model, F.when(F.col("n") % 5 > 0, F.lit("h")).alias("source_hash"), F.md5("media_hash").alias("fingerprint"), (F.col("n") + F.col("n") % 2).alias("count"))
+    return provenance.usable_embeddings(stored, stored.withColumn("model", F.lit("ecapa")), rows).select("media_hash", "entity_kind", "count")
+
+
+def q_row_hash(s, d):
+    return aligned(s, d).select("session_id", "turn_id", "start_ms", provenance.row_hash(["turn_id", "session_id", "start_ms"]).alias("hash"))
+
+
+def q_label_sources(s, d):
+    names = aligned(s, d).filter("cluster_id is not null and speaker is not null").groupBy("session_id", "cluster_id").agg(F.min("speaker").alias("name"))
+    return attribution.manual_sources(names.withColumn("source", F.when(F.length("name") % 2 == 0, F.lit("profile_match"))))
+
+
 def q_fingerprint(s, d):
     return provenance.entity_fingerprint(aligned(s, d).withColumnRenamed("turn_id", "id"))
 
@@ -360,7 +379,7 @@ QUERIES = {
     "coverage_check": q_coverage, "turn_headers": q_headers, "refine_reason": q_reasons, "envelope_join": q_envelopes, "callout_strip": q_callouts, "callout_strip_all": q_callouts_all, "transcript_cache_hit": q_transcript_hit,
     "diarization_cache_hit": q_diarization_hit, "embedding_cache_hit": q_embedding_hit, "entity_fingerprint": q_fingerprint, "prompt_hash": q_prompt_hash, "roster_parse": q_roster, "info_parse": q_info, "track_discovery": q_tracks,
     "auto_assign": q_auto_assign, "truncated_sessions": q_truncated, "elision_filter": q_elisions, "speaker_prompt": q_speaker_prompt, "reconstruction_reason": q_reconstruction, "track_cache_hit": q_track_hit,
-    "context_glossary": q_glossary, "glossary_names": q_glossary_names, "glossary_hash": q_glossary_hash, "glossary_reference": q_glossary_reference, "reconstruct": q_reconstruct, "pipeline_run": q_pipeline_run,
+    "embeddings_reuse": q_embeddings_reuse, "provenance_hash": q_row_hash, "label_source_backfill": q_label_sources, "context_glossary": q_glossary, "glossary_names": q_glossary_names, "glossary_hash": q_glossary_hash, "glossary_reference": q_glossary_reference, "reconstruct": q_reconstruct, "pipeline_run": q_pipeline_run,
     "multitrack": q_multitrack, "track_labels": q_track_labels, "pipeline_recluster": q_pipeline_recluster, "voice_assign": q_voice_assign, "mapping_tables": q_mapping_tables,
 }
 
@@ -438,7 +457,8 @@ SELECT campaign_id, coalesce(string_agg(name, ', ' ORDER BY p, ord, name) FILTER
     "turn_headers": r"WITH h AS (SELECT doc_id, regexp_extract_all(text, '(?m)^### \[.*$') AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(len(h) AS INTEGER) AS n_headers, coalesce(array_to_string(list_transform(h, lambda x: trim(replace(x, chr(13), ''))), '|'), '') AS headers FROM h",
     "refine_reason": r"WITH t AS (SELECT doc_id, text, regexp_matches(text, '(?m)^### \[') AS hd FROM documents WHERE kind = 'transcript' AND text IS NOT NULL), n AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda x: x <> '')) AS n FROM t) SELECT doc_id, CASE WHEN doc_id % 4 = 1 AND trim(text) <> '' THEN 'empty result' WHEN doc_id % 4 = 2 AND hd THEN 'headings differ' WHEN doc_id % 4 = 3 AND 200 > (CASE WHEN n = 0 THEN 0 ELSE greatest(5, n * 15 // 100) END) THEN 'word count differs' END AS reason FROM n",
     "envelope_join": f"""WITH {MD}, pc AS (SELECT doc_id, chunk_no AS piece_no, min(word_start) AS ws, max(word_end) AS we FROM wc GROUP BY ALL) SELECT pc.doc_id, piece_no, arg_min("start", list_reduce(list_transform(string_split("start", ':'), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 60 + b)) AS "start", arg_max("end", list_reduce(list_transform(string_split("end", ':'), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 60 + b)) AS "end" FROM pc JOIN md ON md.doc_id = pc.doc_id AND ws < word_end AND we > word_start GROUP BY ALL""",
-    "callout_strip": r"SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?m)^\s*>') AND NOT contains(text, chr(13))",
+    "callout_strip": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(coalesce(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, '^[\s\x{0b}]*\[!')), chr(10)), '')) AS digest FROM l""",
     "callout_strip_all": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, md5(coalesce(array_to_string(list_transform(list_filter(l, lambda x: NOT regexp_matches(x, '^[\s\x{0b}]*>[\s\x{0b}]*\[!')), lambda x: regexp_replace(x, '^[\s\x{0b}]*>[\s\x{0b}]?', '')), chr(10)), '')) AS digest,
   md5(coalesce(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, '^[\s\x{0b}]*\[!')), chr(10)), '')) AS wrapped_digest FROM l""",
@@ -454,6 +474,21 @@ SELECT doc_id, md5(coalesce(array_to_string(list_transform(list_filter(l, lambda
     "truncated_sessions": "SELECT session_id, bool_or(is_truncated) AS truncated FROM segments GROUP BY session_id",
     "elision_filter": f"""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM segments WHERE text IS NOT NULL), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM documents WHERE text IS NOT NULL),
 p AS (SELECT term, string_split(replace(term, '’', chr(39)), chr(39)) AS p FROM w) SELECT term FROM p WHERE NOT coalesce(len(p) = 2 AND p[1] IN ('c','d','j','l','m','n','s','t','qu','jusqu','lorsqu','puisqu') AND p[2] IN (SELECT term FROM s), false)""",
+    "embeddings_reuse": f"""WITH {DI}, {SE}, c AS (SELECT session_id AS media_hash, 'turn' AS entity_kind, count(*) AS n FROM di GROUP BY session_id UNION ALL SELECT session_id, 'segment', count(*) FROM se GROUP BY session_id)
+SELECT media_hash, entity_kind, n AS count FROM c WHERE n % 2 = 0 AND n % 3 > 0 AND n % 5 > 0""",
+    "provenance_hash": f"""WITH {AL} SELECT session_id, turn_id, start_ms, sha256('{{"session_id":"' || session_id || '","start_ms":' || start_ms || ',"turn_id":' || turn_id || '}}') AS hash FROM al""",
+    "label_source_backfill": f"WITH {AL}, n AS (SELECT session_id, cluster_id, min(speaker) AS name FROM al WHERE cluster_id IS NOT NULL AND speaker IS NOT NULL GROUP BY ALL) SELECT *, CASE WHEN length(name) % 2 = 0 THEN 'profile_match' WHEN NOT starts_with(name, 'SPEAKER_') THEN 'manual' END AS source FROM n",
+    "glossary_pack": """WITH RECURSIVE k AS (SELECT campaign_id, name AS term, -count(DISTINCT ord) AS rank FROM entities WHERE name IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY rank, term) AS i FROM k),
+f AS (SELECT DISTINCT campaign_id, CAST(0 AS BIGINT) AS i, CAST(2 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS picked FROM r
+  UNION ALL SELECT f.campaign_id, r.i, CASE WHEN f.n + length(term) + 2 + least(len(picked), 1) <= 1500 THEN f.n + length(term) + 2 + least(len(picked), 1) ELSE f.n END,
+    CASE WHEN f.n + length(term) + 2 + least(len(picked), 1) <= 1500 THEN list_append(picked, term) ELSE picked END FROM f JOIN r ON r.campaign_id IS NOT DISTINCT FROM f.campaign_id AND r.i = f.i + 1)
+SELECT campaign_id, array_to_string(arg_max(picked, i), '|') AS terms, arg_max(n, i) AS n_chars FROM f GROUP BY campaign_id""",
+    "speaker_prompt": r"""WITH e AS (SELECT DISTINCT campaign_id, ord, character_name AS name, 0 AS p FROM roster UNION SELECT campaign_id, ord, unnest(nicknames), 0 FROM roster
+  UNION SELECT campaign_id, ord + 1000000, name, CASE lower(kind) WHEN 'speaker' THEN 0 WHEN 'character' THEN 0 WHEN 'nickname' THEN 0 WHEN 'custom' THEN 1 WHEN 'wikilink' THEN 2 WHEN 'alias' THEN 3 WHEN 'heading' THEN 4 ELSE 5 END FROM entities x
+    WHERE NOT EXISTS (SELECT 1 FROM roster u WHERE u.campaign_id = x.campaign_id AND u.discord_username = x.name)),
+c AS (SELECT campaign_id, ord, trim(regexp_replace(name, '[\s\p{Z}]+', ' ', 'g')) AS name, p FROM e WHERE name IS NOT NULL),
+d AS (SELECT *, row_number() OVER (PARTITION BY campaign_id, lower(name) ORDER BY p, ord, name) AS k FROM c WHERE name <> ''), s AS (SELECT *, sum(len(string_split(name, ' '))) OVER (PARTITION BY campaign_id ORDER BY p, ord, name) AS total FROM d WHERE k = 1)
+SELECT campaign_id, coalesce(string_agg(name, ', ' ORDER BY p, ord, name) FILTER (total <= 60), '') AS prompt FROM s GROUP BY campaign_id""",
     "glossary_names": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(replace(text, chr(13) || chr(10), chr(10))), '<\|[^<>|]*\|>', '', 'g'), '!\[\[[^\]]*\]\]|!\[[^\]]*\]\([^)]*\)', '', 'g') AS t FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
 l AS (SELECT unnest(regexp_extract_all(regexp_replace(t, '(?ms)^---[ \t]*\n[A-Za-z_]+:.*?^---[ \t]*$', '', 'g'), '\[\[([^\]\n]+)\]\]', 1)) AS x FROM t),
 n AS (SELECT trim(regexp_replace(split_part(split_part(x, '|', 1), '#', 1), '[\s\p{Z}]+', ' ', 'g')) AS name, CASE WHEN contains(x, '|') THEN trim(regexp_replace(substring(x, instr(x, '|') + 1), '[\s\p{Z}]+', ' ', 'g')) END AS alias FROM l)

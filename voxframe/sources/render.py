@@ -23,3 +23,16 @@ def render_markdown(turns: DataFrame, notice: str = NOTICE) -> DataFrame:
     blocks = turn_blocks(turns).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "turn_id", "block"))).alias("b"), F.bool_or("uncertain").alias("u"))
     body = F.array_join(F.transform("b", lambda x: x["block"]), "\n")
     return blocks.select("session_id", F.concat(F.when(F.col("u"), F.lit(notice + "\n\n")).otherwise(F.lit("")), F.rtrim(F.regexp_replace(body, r"\n+$", "")), F.lit("\n")).alias("markdown"))
+
+
+#: Heading of a callout around what isn't said in the game (a fixed value).
+ASIDE = "> [!NOTE] Hors-jeu / Discussion"
+
+
+def piece_blocks(pieces: DataFrame, timestamps: bool = True) -> DataFrame:
+    """Add ``block`` to repaired or source pieces with ``speaker, start, end, text, out_of_game``: heading with the times if both are known and wanted, empty line, text, quoted below a callout if it is no part of the game."""
+    timed = F.col("start").isNotNull() & F.col("end").isNotNull() & F.lit(timestamps)
+    heading = F.concat(F.lit("### "), F.when(timed, F.concat(F.lit("["), "start", F.lit(" - "), "end", F.lit("] "))).otherwise(F.lit("")), F.coalesce("speaker", F.lit("")))
+    quoted = F.concat(F.lit(ASIDE + "\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))
+    text = F.when(F.coalesce("out_of_game", F.lit(False)), quoted).otherwise(F.col("text"))
+    return pieces.withColumn("block", F.concat(heading, F.lit("\n\n"), F.coalesce(text, F.lit("")), F.lit("\n\n")))

@@ -46,16 +46,22 @@ def debounce_stream(turns: DataFrame, threshold_ms: int = 2000, idle: str = "10
     return marked.groupBy("session_id").applyInPandasWithState(step, TURN, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def profile_version(batches: int) -> str:
+    """Name of the profiles after so many batches."""
+    return f"v{(batches + 1) % 2 + 1}"
+
+
 def enrol_stream(samples: DataFrame, path: str, checkpoint: str):
     """Enrols each micro-batch of ``speaker, sample_id, vector`` into the profiles stored under ``path``.
 
-    Batch n reads version n and writes version n + 1, so a repeated batch writes the same again.
+    Two versions take turns: batch n reads one and writes the other, so a repeated batch writes the same again, and no
+    older ones are kept. The present profiles are those of ``profile_version``.
     """
     spark = samples.sparkSession
 
     def merge(batch: DataFrame, n: int) -> None:
-        old = table(spark, path, f"v{n}") if n else spark.createDataFrame([], "speaker string, centroid array<double>, sample_count long, sample_ids array<string>")
-        enrol(batch, old).write.mode("overwrite").parquet(f"{path}/v{n + 1}.parquet")
+        old = table(spark, path, profile_version(n)) if n else spark.createDataFrame([], "speaker string, centroid array<double>, sample_count long, sample_ids array<string>")
+        enrol(batch, old).write.mode("overwrite").parquet(f"{path}/{profile_version(n + 1)}.parquet")
 
     return samples.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
 
