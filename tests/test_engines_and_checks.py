@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.operators import lore, refine
 from voxframe.sources import engines
+from voxframe.sources.render import piece_blocks
 
 
 def test_engine_rows(spark):
@@ -71,6 +72,16 @@ def test_notices_of_a_polished_chunk(spark):
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
 
 
+def test_callouts_of_turns(spark):
+    text = "Preamble\n\n### [00:00:01 - 00:00:02] A\n\n> [!NOTE] Hors-jeu / Discussion\n> one two\n> three\n\n### [00:00:02 - 00:00:03] B\n\n" + refine.MARKER + "\nfour > five\n"
+    turns = refine.parse_turns(spark.createDataFrame([(1, text), (2, "### [00:00:01 - 00:00:02] A\n\n> [!NOTE] x\n"), (3, None)], "doc_id int, text string"))
+    rows = turns.orderBy("turn_no").collect()
+    assert [(r.doc_id, r.body, r.out_of_game, r.word_start, r.word_end) for r in rows] == [(1, "one two three", True, 0, 3), (1, "four > five", False, 3, 6)]
+    blocks = [r.block for r in piece_blocks(turns.withColumnRenamed("body", "text")).orderBy("turn_no").collect()]
+    assert blocks == ["### [00:00:01 - 00:00:02] A\n\n> [!NOTE] Hors-jeu / Discussion\n> one two three\n\n", "### [00:00:02 - 00:00:03] B\n\nfour > five\n\n"]
+    assert piece_blocks(turns.withColumnRenamed("body", "text"), False).orderBy("turn_no").first().block.startswith("### A\n\n>")
+
+
 def test_reconstruction_covers_and_falls_back(spark):
     text = "".join(f"### [00:00:0{i} - 00:00:0{i + 1}] {who}\n\n{said}\n\n" for i, (who, said) in enumerate([("Alex", "one two three"), ("Sam", "four five six seven"), ("Alex", "eight nine ten")], 1))
     turns = refine.parse_turns(spark.createDataFrame([(k, text) for k in range(8)], "doc_id int, text string"))

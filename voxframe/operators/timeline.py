@@ -99,8 +99,8 @@ def align_words(words: DataFrame, turns: DataFrame, gap_ms: int = 200) -> DataFr
     found = touching.groupBy("session_id", "group_no", "turn_id", "cluster_id", "ts", "te").agg(F.sum("ov").alias("ov"))
     ranked = found.join(groups.select("session_id", "group_no", "middle2"), ["session_id", "group_no"])
     key = F.struct((-F.col("ov")).alias("o"), F.abs(F.col("ts") + F.col("te") - F.col("middle2")).alias("d"), "ts", "turn_id", "cluster_id")
-    best = ranked.groupBy("session_id", "group_no").agg(F.min(F.when(F.col("ov") > 0, key)).alias("k"), (F.count_distinct("cluster_id") > 1).alias("uncertain"))
-    matched = cut(groups.join(best, ["session_id", "group_no"], "left"))
+    best = cut(ranked.groupBy("session_id", "group_no").agg(F.min(F.when(F.col("ov") > 0, key)).alias("k"), (F.count_distinct("cluster_id") > 1).alias("uncertain")))
+    matched = groups.join(best, ["session_id", "group_no"], "left")
     points = matched.filter("k is null and point").select("session_id", "group_no", "middle2", F.floor(F.col("middle2") / (2 * BUCKET_MS)).alias("b"))
     holding = points.join(tb, ["session_id", "b"]).filter((F.col("ts") * 2 <= F.col("middle2")) & (F.col("middle2") <= F.col("te") * 2)).withColumn("ov", F.lit(0).cast("long"))
     held = cut(holding.groupBy("session_id", "group_no").agg(F.min(key).alias("h")))

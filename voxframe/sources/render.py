@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.timeexpr import format_timestamp
-from voxframe.operators.refine import NOTICE
+from voxframe.operators.refine import ASIDE, NOTICE
 
 
 def turn_blocks(turns: DataFrame) -> DataFrame:
@@ -25,10 +25,6 @@ def render_markdown(turns: DataFrame, notice: str = NOTICE) -> DataFrame:
     return blocks.select("session_id", F.concat(F.when(F.col("u"), F.lit(notice + "\n\n")).otherwise(F.lit("")), F.rtrim(F.regexp_replace(body, r"\n+$", "")), F.lit("\n")).alias("markdown"))
 
 
-#: Heading of a callout around what isn't said in the game (a fixed value).
-ASIDE = "> [!NOTE] Hors-jeu / Discussion"
-
-
 def piece_blocks(pieces: DataFrame, timestamps: bool = True) -> DataFrame:
     """Add ``block`` to repaired or source pieces with ``speaker, start, end, text, out_of_game``: heading with the times if both are known and wanted, empty line, text, quoted below a callout if it is no part of the game."""
     timed = F.col("start").isNotNull() & F.col("end").isNotNull() & F.lit(timestamps)
