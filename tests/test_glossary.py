@@ -7,7 +7,9 @@ import json
 import random
 import re
 
-from voxframe.operators import glossary
+import pytest
+
+from voxframe.operators import glossary, joins
 
 COMMON = "bonjour le monde arrive meets greets the world dragon il c est d une l aider qu".split()
 
@@ -46,8 +48,11 @@ def test_metadata_and_elisions(spark):
     assert built(spark, {"n.md": "[[Érindor]]\nÉRINDOR\nkey: Zorvax"}) == {"Érindor": (2, [], ["n.md"]), "key": (1, [], ["n.md"]), "Zorvax": (1, [], ["n.md"])}
 
 
-def test_longest_variants_first(spark):
-    """Against a plain search of each line."""
+@pytest.mark.parametrize(("hot", "few"), [(100_000, 20_000), (3, 0)])
+def test_longest_variants_first(spark, monkeypatch, hot, few):
+    """Against a plain search of each line, with first words broadcast and with all joins by shuffles and hot keys spread."""
+    monkeypatch.setattr(joins, "HOT_ROWS", hot)
+    monkeypatch.setattr(glossary, "BROADCAST_WORDS", few)
     rng = random.Random(4)
     names = ["ka", "ka ro", "ro zu", "zu", "mi-ka", "ro zu mi", "zu ka zu ka"]
     lines = ["".join(rng.choice(["ka", "ro", "zu", "mi", "po"]) + rng.choice([" ", " ", ", ", "-", ". "]) for _ in range(rng.randrange(1, 12))) for _ in range(60)]

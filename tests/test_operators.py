@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxframe.functions.dice import dice_notation
-from voxframe.operators import attribution, lore, refine, timeline, turns, vectors
+from voxframe.operators import attribution, joins, lore, refine, timeline, turns, vectors
 from voxframe.plans import registry
 from voxframe.sources.render import render_markdown
 
@@ -215,3 +215,12 @@ def test_cluster_samples_are_the_first(spark):
     df = spark.createDataFrame([("s", "a", 199 - i, i, 0, 1000, f"t{199 - i}") for i in range(200)] + [("s", None, 1, 500, 0, 5, "n")], "session_id string, cluster_id string, seq int, turn_id int, start_ms long, end_ms long, text string")
     got = {r.cluster_id: (r.n_turns, r.total_ms, list(r.samples)) for r in turns.cluster_stats(df).collect()}
     assert got == {"a": (200, 200_000, ["t0", "t1", "t2", "t3"]), None: (1, 5, ["n"])}
+
+
+@pytest.mark.parametrize("hot", [3, 100_000])
+def test_hot_keys_are_spread(spark, monkeypatch, hot):
+    monkeypatch.setattr(joins, "HOT_ROWS", hot)
+    rows = spark.createDataFrame([(1, i) for i in range(20)] + [(2, 20), (3, 21), (None, 22)], "k int, id int")
+    small = rows.filter("k < 3").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    assert sorted(map(tuple, joins.joined_spread(rows, small, ["k"], "id").collect())) == [(1, i, 20, 0) for i in range(20)] + [(2, 20, 1, 20)]
+    assert sorted(r.id for r in joins.joined_spread(rows, small, ["k"], "id", "left").filter("n is null").collect()) == [21, 22]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from voxframe.operators.joins import joined_spread
 from voxframe.operators.lore import ELIDED, clean_name, strip_control_tokens
 from voxframe.operators.refine import likeness
 from voxframe.session import cut
@@ -131,9 +132,15 @@ def _taken(lines: DataFrame, variants: DataFrame) -> DataFrame:
     firsts = sized.groupBy(F.get("p", 0).alias("word")).agg(F.collect_set(F.size("p")).alias("sizes"))
     few = firsts.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
     words = cut_lines.select("line", F.posexplode("pieces").alias("at", "word"), "pieces").filter(F.col("word").rlike(r"(?U)^\w"))
-    asked = words.join(F.broadcast(firsts) if few else firsts, "word").select("line", "at", F.explode("sizes").alias("size"), "pieces")
+    if few:
+        begun = words.join(F.broadcast(firsts), "word")
+    else:
+        begun = joined_spread(words, words.groupBy("word").agg(F.count("*").alias("n")).join(firsts, "word"), ["word"], "line")
+    asked = begun.select("line", "at", F.explode("sizes").alias("size"), "pieces")
     stretch = F.array_join(F.slice("pieces", F.col("at") + 1, F.col("size")), "")
-    found = asked.filter(F.col("at") + F.col("size") <= F.size("pieces")).select("line", "at", "size", stretch.alias("variant")).join(variants, "variant")
+    candidates = cut(asked.filter(F.col("at") + F.col("size") <= F.size("pieces")).select("line", "at", "size", stretch.alias("variant")))
+    counted = candidates.groupBy("variant").agg(F.count("*").alias("n")).join(variants, "variant")
+    found = joined_spread(candidates, counted, ["variant"], "line")
     order = F.array_sort(F.collect_list(F.struct((-F.length("variant")).alias("long"), "variant", "at", "size", "key")))
     lists = found.groupBy("line").agg(order.alias("found"))
     free = lambda state, x: ~F.exists(state, lambda y: (x["at"] < y["at"] + y["size"]) & (y["at"] < x["at"] + x["size"]))
@@ -175,13 +182,13 @@ def context_glossary(notes: DataFrame, lexicon: DataFrame, extra_terms: Sequence
     rest = F.array_join(F.transform(pieces, lambda p, i: F.when(covered(i), F.lit(" ")).otherwise(p)), "")
     taken = cut(taken.select("line", "path", "line_no", "n", F.coalesce(F.transform("taken", lambda y: y["key"]), F.array().cast("array<string>")).alias("keys"), F.regexp_extract_all(rest, F.lit(WORD), F.lit(0)).alias("words")))
     words = taken.select("line", "path", "line_no", "n", F.posexplode("words").alias("pos", "word")).filter("length(word) >= 2")
-    spelled = words.groupBy("word").agg(F.min(F.struct("path", "line_no", "pos")).alias("at")).withColumn("low", F.lower("word"))
+    spelled = words.groupBy("word").agg(F.min(F.struct("path", "line_no", "pos")).alias("at"), F.count("*").alias("n")).withColumn("low", F.lower("word"))
     unknown = spelled.join(lexicon.select(F.col("term").alias("low")), "low", "left_anti").filter(F.length("word") <= TERM_CHARS)
     if language == "fr":
         halves = F.split("low", "[’']")
         unknown = unknown.withColumn("term", F.when((F.size(halves) == 2) & F.get(halves, 0).isin(ELIDED), F.get(halves, 1))).join(lexicon.withColumn("__known", F.lit(True)), "term", "left").filter("__known is null").drop("term", "__known")
     unknown = cut(unknown.withColumn("key", normalized("word")))
-    hits = taken.select("line", "n", F.explode("keys").alias("key")).unionByName(words.join(unknown.select("word", "key"), "word").select("line", "n", "key"))
+    hits = taken.select("line", "n", F.explode("keys").alias("key")).unionByName(joined_spread(words.select("line", "word", F.col("n").alias("times")), unknown.select("word", "key", "n"), ["word"], "line").select("line", F.col("times").alias("n"), "key"))
     hits = cut(hits.groupBy("line", "key").agg(F.sum("n").alias("n")))
     counts = hits.groupBy("key").agg(F.sum("n").alias("frequency"))
     listed = hits.select("line", "key").join(sources, "line").groupBy("key").agg(F.array_sort(F.collect_set("source")).alias("sources"))
