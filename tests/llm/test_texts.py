@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxframe.llm import tokens, vectors
+from voxframe.llm import tokens
 from voxframe.llm.langid import WINDOW, ByteNetwork, decided, identify_languages, label_code, prose_paragraphs, window_bytes, windows_of
 from voxframe.llm.packing import fill, pack
 from voxframe.llm.tokens import TOKENIZER_DIR, TOKENIZER_FILE, decode_corpus, encode_corpus, token_counts
+from voxframe.operators import joins
 
 ODD = [None, "", " ", "\n\n \t x", "it's we'll  DON'T", "<|endoftext|> a", "é é œ 龍の塔 🎲👩‍🚀", "a b c　d\u0085e", "x" * 5000, "12 345,67 %-- ...", "ligne\r\nsuivante  ", "\x00\x1f", "ab " * 3000]
 
@@ -45,7 +46,7 @@ def test_rare_and_hot_words(spark, reference, monkeypatch):
     want = {i: reference(t) for i, t in rows} | {None: reference("un"), 900: reference(kept), 901: []}
     for one_in, hot in ((20_000, 100_000), (0, 100_000), (0, 3)):
         monkeypatch.setattr(tokens, "FREQUENT_ONE_IN", one_in)
-        monkeypatch.setattr(vectors, "HOT_ROWS", hot)
+        monkeypatch.setattr(joins, "HOT_ROWS", hot)
         got = encode_corpus(df, "doc_id", "text").collect()
         assert {r.doc_id: list(r.ids) for r in got} == want and len(got) == len(want)
         assert {r.doc_id: r.n_tokens for r in token_counts(df, "doc_id", "text").collect()} == {k: len(ids) for k, ids in want.items() if ids}

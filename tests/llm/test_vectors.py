@@ -4,11 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.llm import vectors
 from voxframe.llm.clusters import linked, similarity_clusters
 from voxframe.llm.components import components
 from voxframe.llm.neighbours import best_pairs, similar_vectors
-from voxframe.llm.vectors import joined_spread, pack, unpack
+from voxframe.llm.vectors import pack, unpack
+from voxframe.operators import joins
 
 SCHEMA = "ord int, v array<float>, id string, cell int"
 
@@ -146,13 +146,8 @@ def test_sides_are_compared_with_each_other():
 
 
 def test_hot_keys_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "HOT_ROWS", 5)
-    rows = spark.createDataFrame([(1, i) for i in range(20)] + [(2, 20), (3, 21), (None, 22)], "k int, id int")
-    small = rows.filter("k < 3").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    got = sorted(map(tuple, joined_spread(rows, small, ["k"], "id").select("k", "id", "n", "first").collect()))
-    assert got == [(1, i, 20, 0) for i in range(20)] + [(2, 20, 1, 20)]
-    assert joined_spread(rows, small, ["k"], "id", "left").filter("n is null").count() == 2
+    monkeypatch.setattr(joins, "HOT_ROWS", 5)
     v = voices()
     first = {r.id: (r.root, r.n) for r in similarity_clusters(table(spark, v, 8), "ord", "v", 0.9, 8)[0].collect()}
-    monkeypatch.setattr(vectors, "HOT_ROWS", 100_000)
+    monkeypatch.setattr(joins, "HOT_ROWS", 100_000)
     assert first == {r.id: (r.root, r.n) for r in similarity_clusters(table(spark, v, 8), "ord", "v", 0.9, 8)[0].collect()}

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm.components import components
-from voxframe.llm.vectors import exact_copies, grouped, joined_spread, packed_units, pair_tasks, unpack, vector_rows, without_copies
+from voxframe.llm.vectors import exact_copies, grouped, packed_units, pair_tasks, unpack, vector_rows, without_copies
+from voxframe.operators.joins import joined_spread
 from voxframe.session import cut
 
 #: Cells that each vector enters; rounds of seeding and of moving the centres.

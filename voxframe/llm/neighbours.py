@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.llm.vectors import exact_copies, grouped, joined_spread, packed_units, pair_tasks, unpack, vector_rows, without_copies
+from voxframe.llm.vectors import exact_copies, grouped, packed_units, pair_tasks, unpack, vector_rows, without_copies
+from voxframe.operators.joins import joined_spread
 
 TABLES, WIDTH, SEED = 2, 3.0, 17
 #: Rows of a bucket compared in one task; a larger bucket is cut into slices, and each pair of slices is a task.

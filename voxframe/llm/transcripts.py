@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from voxframe.llm.names import MASTER_NAMES, name_score, name_tokens, sounded
 from voxframe.llm.runs import collapse_runs, folded_label
-from voxframe.llm.vectors import grouped, joined_spread
+from voxframe.llm.vectors import grouped
+from voxframe.operators.joins import joined_spread
 from voxframe.session import cut
 
 #: A clock time, an offset like 12m05s (fixed patterns).
