@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), key)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dice_notation(text: Column | str) -> Column:
     """``deux dés six`` becomes ``2d6`` where dice are meant; null for a null text.
 
@@ -43,12 +50,9 @@ def dice_notation(text: Column | str) -> Column:
     right: one counts if its die is written with an accent, or after a word of rolling, or after dice taken before; a
     phrase that doesn't count still covers its words.
     """
-    text = phonetic_terms(F.col(text) if isinstance(text, str) else text)
     number = "|".join([*COUNTS, r"[1-9]\d*"])
     sides = "|".join(sorted([*SIDES, *DICE], key=len, reverse=True))
     rolling = rf"(?iU)(?:^|\W)(?:{'|'.join(ROLLING)}|\d*d\d+)(?:-\w+)?$"
-    pieces = F.regexp_extract_all(text, F.lit(r"(?U)\s*\S+"), F.lit(0))
-    tokens = F.transform(pieces, lambda p: F.regexp_replace(p, r"(?U)^\s+", ""))
 
     def phrase(t: Column, i: Column) -> Column:
         """The phrase of dice that begins at a token: its number of tokens, notation, what stands before and after it."""
@@ -83,7 +87,6 @@ def dice_notation(text: Column | str) -> Column:
             heard = heard | x
         return F.struct(p["at"].alias("at"), p["size"].alias("size"), p["text"].alias("text"), (p["sure"] | heard).alias("sure"), F.least(F.lit(REACH) - p["part"], reach).alias("reach"), p["open"].alias("open"))
 
-    found = F.transform(F.filter(F.transform(tokens, lambda t, i: phrase(tokens, i)), lambda p: p.isNotNull()), lambda p: context(tokens, p))
     # end: first token that no phrase covers; taken: end of the last phrase that counts, if no mark follows it
     start = F.struct(F.lit(0).alias("end"), F.lit(-99).alias("taken"), F.array().cast("array<struct<at:int,size:int,text:string>>").alias("kept"))
 
@@ -94,12 +97,24 @@ def dice_notation(text: Column | str) -> Column:
         following = F.struct(end.alias("end"), F.when(counts & p["open"], end).when(counts, -99).otherwise(state["taken"]).alias("taken"), kept.alias("kept"))
         return F.when(p["at"] >= state["end"], following).otherwise(state)
 
-    kept = F.aggregate(found, start, take)["kept"]
+    def kept(t: Column) -> Column:
+        """The phrases that count among the tokens."""
+        return _let(F.filter(F.transform(t, lambda _, i: phrase(t, i)), lambda p: p.isNotNull()), lambda found: F.aggregate(F.transform(found, lambda p: context(t, p)), start, take)["kept"])
+
+    def written(pieces: Column, phrases: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            over = F.get(F.filter(phrases, lambda k: (k["at"] <= i) & (i < k["at"] + k["size"])), 0)
+            return F.when(over.isNull(), piece).when(over["at"] == i, F.concat(F.regexp_extract(piece, r"(?U)^(\s*)", 1), over["text"])).otherwise(F.lit(""))
+
+        return F.array_join(F.transform(pieces, one), "")
 
-    def written(piece: Column, i: Column) -> Column:
-        over = F.get(F.filter(kept, lambda k: (k["at"] <= i) & (i < k["at"] + k["size"])), 0)
-        space = F.regexp_extract(piece, r"(?U)^(\s*)", 1)
-        return F.when(over.isNull(), piece).when(over["at"] == i, F.concat(space, over["text"])).otherwise(F.lit(""))
+    def rewritten(whole: Column) -> Column:
+        pieces = F.regexp_extract_all(whole, F.lit(r"(?U)\s*\S+"), F.lit(0))
+        tokens = lambda p: F.transform(p, lambda x: F.regexp_replace(x, r"(?U)^\s+", ""))
+        changed = _let(pieces, lambda p: _let(_let(tokens(p), kept), lambda phrases: written(p, phrases)))
+        return F.concat(changed, F.regexp_extract(whole, r"(?U)(\s*)$", 1))
 
-    tail = F.regexp_extract(text, r"(?U)(\s*)$", 1)
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(F.transform(pieces, written), ""), tail))
+    # most texts hold nothing that could be dice
+    maybe = rf"(?iU)(?:^|[\s'’])d[éèe]s?\s+(?:de\s+)?(?:{sides})\b"
+    heard = phonetic_terms(F.col(text) if isinstance(text, str) else text)
+    return _let(heard, lambda whole: F.when(whole.rlike(maybe), rewritten(whole)).otherwise(whole))
