@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from voxframe.operators.joins import joined_spread
 from voxframe.operators.lore import ELIDED, clean_name, strip_control_tokens
@@ -25,6 +27,8 @@ RULES = "1"
 REFERENCE_CHARS, LIKE_CHARS, LIKE_DIFFERENCE, LEAST_LIKENESS = 4000, 4, 2, 0.8
 #: Variants with at most so many first words are found by a broadcast of these; more of them by a shuffle.
 BROADCAST_WORDS = 20_000
+#: Words are looked up by so many first characters; like words of which the shorter has at most so many meet without the letters they don't share.
+HEAD_CHARS, REDUCED_CHARS = 8, 10
 
 
 @F.pandas_udf(StringType())
@@ -217,56 +221,143 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1)), lambda i: F.substring(text, i, F.lit(size))))
 
 
-def relevant_entries(entries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``chunk, key``: entries one of whose variants stands in the text of the chunk, or is like one of its words.
+def _reductions(length: int, other: int) -> int:
+    """Letters that a word of ``length`` and one of ``other`` letters have in common at least if they are alike."""
+    return -(-2 * (length + other) // 5)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _reduced(words: pd.Series) -> pd.Series:
+    """What is left of a word without the letters that it need not share with a like word; a word and a like one of at most ``REDUCED_CHARS`` letters (the shorter) have one of these in common."""
+
+    def keys(word: str) -> list[str]:
+        n = len(word)
+        kept = {_reductions(n, k) for k in range(max(LIKE_CHARS, n - LIKE_DIFFERENCE), n + LIKE_DIFFERENCE + 1) if min(n, k) <= REDUCED_CHARS}
+        return sorted({"".join(x) for m in kept if m <= n for x in combinations(word, m)})
+
+    return words.map(keys)
 
-    ``entries`` has ``key, term, aliases``, ``chunks`` has ``chunk, text``. Alike are a variant and a word of four
-    characters or more that differ by at most two in length and have a likeness of 0.8 or more; such words share two
-    neighbouring characters, so candidates come from an equi-join of these, made of distinct words.
+
+def _alike(words: DataFrame, variants: DataFrame) -> DataFrame:
+    """``word, variant``: distinct words and variants of four characters or more that differ by at most two in length and have a likeness of 0.8 or more.
+
+    Such pairs have a common subsequence of 0.4 of their joined length, so short ones meet by an equi-join of what is left of
+    them without the other letters. Long ones, which are rare as words, would have too many of these; they meet by two neighbouring characters.
     """
-    variants = entries.select("key", F.explode(F.concat(F.array("term"), "aliases")).alias("v")).select("key", normalized("v").alias("variant")).filter("variant <> ''").distinct()
-    texts = cut(chunks.filter("text is not null").select("chunk", normalized("text").alias("text")))
-    head = F.when(F.length("variant") >= 3, F.left("variant", F.lit(3))).otherwise(F.col("variant"))
-    grams = texts.select("chunk", F.explode(F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in (1, 2, 3)]))).alias("gram"))
-    begun = grams.join(variants.select("key", "variant", head.alias("gram")), "gram").select("chunk", "key", "variant")
-    inside = begun.join(texts, "chunk").filter(F.contains("text", "variant")).select("chunk", "key")
-    words = texts.select("chunk", F.explode(F.array_distinct(F.split("text", r"(?U)[\W_]+"))).alias("word")).filter(F.length("word") >= LIKE_CHARS)
-    long = variants.filter(F.length("variant") >= LIKE_CHARS)
-    pairs = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"), 2)).alias("gram")).join(long.select("variant").distinct().select("variant", F.explode(_grams(F.col("variant"), 2)).alias("gram")), "gram")
-    pairs = pairs.filter(F.abs(F.length("word") - F.length("variant")) <= LIKE_DIFFERENCE).groupBy("word", "variant").agg(F.count("*").alias("shared"))
-    # alike words have in common at least 0.4 of their joined length, in stretches parted by what only one of them has
-    common = F.ceil((F.length("word") + F.length("variant")) * LEAST_LIKENESS / 2)
+    words, variants = words.filter(F.length("word") >= LIKE_CHARS), variants.filter(F.length("variant") >= LIKE_CHARS)
+    apart = F.abs(F.length("word") - F.length("variant")) <= LIKE_DIFFERENCE
+    common = F.ceil((F.length("word") + F.length("variant")) * 2 / 5)
+    short = F.lit(REDUCED_CHARS + LIKE_DIFFERENCE)
+    left = words.filter(F.length("word") <= short).select("word", F.explode(_reduced("word")).alias("part"))
+    right = variants.filter(F.length("variant") <= short).select("variant", F.explode(_reduced("variant")).alias("part"))
+    reduced = left.join(right, "part").filter(apart & (F.length("part") == common)).select("word", "variant").distinct()
+    long_words, long_variants = words.filter(F.length("word") > REDUCED_CHARS), variants.filter(F.length("variant") > REDUCED_CHARS)
+    pairs = long_words.select("word", F.explode(_grams(F.col("word"), 2)).alias("gram")).join(long_variants.select("variant", F.explode(_grams(F.col("variant"), 2)).alias("gram")), "gram")
+    pairs = pairs.filter(apart).groupBy("word", "variant").agg(F.count("*").alias("shared"))
+    # what is in common stands in stretches parted by what only one of them has
     gaps = F.greatest(F.length("word"), F.length("variant")) - common
     likely = pairs.filter(F.col("shared") >= F.least(F.lit(1), common - gaps - 1)).select("word", "variant")
-    alike = likely.filter(likeness("word", "variant") >= LEAST_LIKENESS)
-    near = words.join(alike, "word").join(long, "variant").select("chunk", "key")
+    return reduced.unionByName(likely).filter(likeness("word", "variant") >= LEAST_LIKENESS)
+
+
+def _word_matches(words: DataFrame, variants: DataFrame) -> DataFrame:
+    """``word, key, variant``: distinct words by which entries may be relevant; ``variant`` is null where the word alone makes the entry relevant, else what the text has to hold too.
+
+    ``variants`` has ``key, variant``. A variant of one word stands in a text if it stands in a word of it. Of another the
+    longest word is looked up, which is a whole word of the text, but for the side where the variant ends.
+    """
+    tokens = F.regexp_extract_all("variant", F.lit(r"(?U)[^\W_]+"), F.lit(0))
+    sized = variants.select("key", "variant", F.array_min(F.transform(tokens, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))["x"].alias("token")).filter("token is not null")
+    at = F.expr("instr(variant, token)")
+    sized = sized.select("key", "variant", "token", (at > 1).alias("before"), (at + F.length("token") <= F.length("variant")).alias("after"), F.left("token", F.lit(HEAD_CHARS)).alias("head"))
+    heads = words.select("word", F.explode(F.array_distinct(F.concat(*[_grams(F.col("word"), n) for n in range(1, HEAD_CHARS + 1)]))).alias("head"))
+    fits = F.contains("word", "token") & (~F.col("before") | F.startswith("word", "token")) & (~F.col("after") | F.endswith("word", "token"))
+    inside = heads.join(sized, "head").filter(fits).select("word", "key", F.when(F.col("before") | F.col("after"), F.col("variant")).alias("variant"))
+    near = _alike(words, variants.select("variant").distinct()).join(variants, "variant").select("word", "key", F.lit(None).cast("string").alias("variant"))
     return inside.unionByName(near).distinct()
 
 
+def relevant_entries(entries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunk, keys``: entries one of whose variants stands in the text of the chunk, or is like one of its words; a chunk may have several rows.
+
+    ``entries`` has ``key, term, aliases``, ``chunks`` has ``chunk, text``; ``keys`` has the type of ``key``. Alike are a variant and a word of four
+    characters or more that differ by at most two in length and have a likeness of 0.8 or more. Variants are compared
+    with the distinct words of all texts, not with the texts, and a text is read only for a variant of several words of which it has
+    the longest. Words of many chunks are spread.
+    """
+    variants = cut(entries.select("key", F.explode(F.concat(F.array("term"), "aliases")).alias("v")).select("key", normalized("v").alias("variant")).filter("variant <> ''").distinct())
+    texts = cut(chunks.filter("text is not null").select("chunk", normalized("text").alias("text")))
+    words = texts.select("chunk", F.explode(F.array_distinct(F.split("text", r"(?U)[\W_]+"))).alias("word")).filter("word <> ''")
+    counted = cut(words.groupBy("word").agg(F.count("*").alias("n")))
+    matches = _word_matches(counted.select("word"), variants)
+    lists = matches.groupBy("word").agg(F.collect_set(F.when(F.col("variant").isNull(), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("variant").isNotNull(), F.struct("key", "variant"))).alias("asked"))
+    found = joined_spread(words, cut(lists.join(counted, "word")), ["word"], "chunk")
+    asked = found.filter(F.size("asked") > 0).select("chunk", F.explode("asked").alias("x")).select("chunk", "x.key", "x.variant")
+    # variants without a word are looked up by their first mark
+    marks = texts.select("chunk", F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"(?U)[^\W_]+", ""), ""))).alias("mark")).filter("mark <> ''")
+    bare = variants.filter(~F.col("variant").rlike(r"(?U)[^\W_]")).select("key", "variant", F.left("variant", F.lit(1)).alias("mark"))
+    asked = asked.unionByName(marks.join(bare, "mark").select("chunk", "key", "variant"))
+    held = asked.join(texts, "chunk").filter(F.contains("text", "variant")).select("chunk", F.array("key").alias("keys"))
+    return found.filter(F.size("keys") > 0).select("chunk", "keys").unionByName(held)
+
+
+def _packing(common: Sequence[int], limit: int, least: int) -> Callable[[pd.Series], pd.Series]:
+    """Entries of each list, then of ``common``, that are taken in turn as long as they fit; an entry is its rank times ``limit`` plus its size."""
+    sizes = np.array([x % limit for x in common], np.int64)
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def packed(lists: pd.Series) -> pd.Series:
+        def pack(own: Sequence[int] | None) -> list[int]:
+            # each entry takes its length and a comma or the closing bracket
+            room, taken = limit - 1, []
+            for x in np.unique(own).tolist() if own is not None else []:
+                if x % limit < room:
+                    taken.append(x)
+                    room -= x % limit + 1
+                if room <= least:
+                    return taken
+            once, at = set(taken), 0
+            while room > least and at < len(sizes):
+                fits = np.flatnonzero(sizes[at : at + 500] < room)
+                if not len(fits):
+                    at += 500
+                    continue
+                at += int(fits[0]) + 1
+                if (x := common[at - 1]) not in once:
+                    taken.append(x)
+                    room -= x % limit + 1
+            return taken
+
+        return lists.map(pack)
+
+    return packed
+
+
 def reference_lists(entries: DataFrame, chunks: DataFrame, limit: int = REFERENCE_CHARS) -> DataFrame:
     """``chunk, terms, reference``: for each chunk a compact JSON list of at most ``limit`` characters of whole entries.
 
     Relevant entries come first, then by falling frequency, key and term; one that doesn't fit is skipped. Entries that
     aren't relevant are the same for all chunks: of each size only the first that could fill the list alone are kept, so
-    this list is bounded by ``limit``, whatever the glossary. Chunks with a null text have no row.
+    this list, which the driver gets as numbers, is bounded by ``limit``, whatever the glossary. Chunks with a null text have no row.
+
+    Entries travel as numbers that rise with their rank and hold their size; what they say is joined to those taken.
     """
-    order = F.struct((-F.col("frequency")).alias("f"), "key", "term")
-    coded = cut(entries.select("key", "term", order.alias("rank"), F.to_json(F.struct("term", "aliases", "frequency")).alias("json")).withColumn("size", F.length("json")).filter(F.col("size") <= limit - 2))
-    by_size = Window.partitionBy("size").orderBy("rank")
-    common = coded.withColumn("__n", F.row_number().over(by_size)).filter(F.col("__n") <= F.floor(F.lit(limit) / (F.col("size") + 1)) + 1)
-    item = F.struct("rank", "term", "json", "size")
-    top = common.agg(F.array_sort(F.collect_list(item)).alias("__top"))
-    own = relevant_entries(entries, chunks).join(coded, "key").withColumn("__n", F.row_number().over(Window.partitionBy("chunk", "size").orderBy("rank")))
-    own = own.filter(F.col("__n") <= F.floor(F.lit(limit) / (F.col("size") + 1)) + 1).groupBy("chunk").agg(F.array_sort(F.collect_list(item)).alias("__own"))
-    # one row of all top entries for every chunk
-    rows = chunks.filter("text is not null").select("chunk").distinct().join(own, "chunk", "left").withColumn("__one", F.lit(1)).join(F.broadcast(top.withColumn("__one", F.lit(1))), "__one", "left")
-    empty = F.array().cast("array<struct<rank:struct<f:bigint,key:string,term:string>,term:string,json:string,size:int>>")
-    mine = F.coalesce("__own", empty)
-    ranks = F.transform(mine, lambda x: x["rank"])
-    every = F.concat(mine, F.filter(F.coalesce("__top", empty), lambda x: ~F.array_contains(ranks, x["rank"])))
-    start = F.struct(F.lit(1).alias("size"), F.array().cast("array<struct<term:string,json:string>>").alias("kept"))
-    # each entry takes its length and a comma or the closing bracket
-    fits = lambda a, x: a["size"] + x["size"] + 1 <= limit
-    step = lambda a, x: F.when(fits(a, x), F.struct((a["size"] + x["size"] + 1).alias("size"), F.concat(a["kept"], F.array(F.struct(x["term"].alias("term"), x["json"].alias("json")))).alias("kept"))).otherwise(a)
-    kept = F.aggregate(every, start, step)["kept"]
-    return rows.select("chunk", kept.alias("k")).select("chunk", F.transform("k", lambda x: x["term"]).alias("terms"), F.concat(F.lit("["), F.array_join(F.transform("k", lambda x: x["json"]), ","), F.lit("]")).alias("reference"))
+    coded = entries.select("key", "term", "aliases", F.to_json(F.struct("term", "aliases", "frequency")).alias("json"), "frequency").withColumn("size", F.length("json")).filter(F.col("size") <= limit - 2)
+    # the numbers rise from partition to partition of the sorted entries
+    coded = cut(coded.orderBy(F.col("frequency").desc(), "key", "term").withColumn("code", F.monotonically_increasing_id() * limit + F.col("size")))
+    most = F.floor(F.lit(limit) / (F.col("size") + 1)) + 1
+    top = coded.select("size", "code", F.row_number().over(Window.partitionBy("size").orderBy("code")).alias("n")).filter(F.col("n") <= most)
+    common = sorted(r.code for r in top.select("code").collect())
+    packed = _packing(common, limit, min((x % limit for x in common), default=limit))
+    # all entries of a key are relevant if one of them is
+    keyed = coded.select(F.collect_list("code").over(Window.partitionBy("key")).alias("key"), "term", "aliases")
+    own = relevant_entries(keyed, chunks).select("chunk", F.flatten("keys").alias("codes"))
+    own = own.groupBy("chunk").agg(F.flatten(F.collect_list("codes")).alias("codes"))
+    every = chunks.filter("text is not null").select("chunk").distinct().join(own, "chunk", "left")
+    picked = cut(every.select("chunk", packed("codes").alias("codes")))
+    rows = picked.select("chunk", F.posexplode("codes").alias("at", "code"))
+    said = rows.groupBy("code").agg(F.count("*").alias("n")).join(coded.select("code", "term", "json"), "code")
+    lists = joined_spread(rows, said, ["code"], "chunk").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "term", "json"))).alias("k"))
+    none = F.array().cast("array<struct<at:int,term:string,json:string>>")
+    kept = picked.select("chunk").join(lists, "chunk", "left").select("chunk", F.coalesce("k", none).alias("k"))
+    return kept.select("chunk", F.transform("k", lambda x: x["term"]).alias("terms"), F.concat(F.lit("["), F.array_join(F.transform("k", lambda x: x["json"]), ","), F.lit("]")).alias("reference"))
