@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
-from voxframe.llm import queries
+from voxframe.llm import queries, runs
 from voxframe.llm.nearest_time import nearest_in_time, trie_neighbours
 from voxframe.llm.runs import collapse_runs, folded_label, label_distance, segment
 
@@ -159,3 +159,15 @@ def test_batches_of_any_size(spark):
         assert runs() == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_equal_labels_come_from_the_program(monkeypatch):
+    """The program decides every boundary within a stretch without a pause, also where labels have to be equal."""
+    seen = []
+    program = runs._optimal
+    monkeypatch.setattr(runs, "_optimal", lambda *a: seen.append(a[2]) or program(*a))
+    labels = np.array(list("aabaababxyyxx"), object)
+    s = np.arange(len(labels)) * 10
+    s[9:] += 5000
+    assert segment(s, s + 5, labels, np.zeros(len(labels)), 2000).tolist() == [0, 0, 1, 2, 2, 3, 4, 5, 6, 7, 7, 8, 8]
+    assert ["".join(x) for x in seen] == ["aabaababx", "yyxx"]

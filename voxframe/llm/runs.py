@@ -49,11 +49,9 @@ def label_distance(a: str, b: str) -> float:
     return row[-1] / max(len(a), len(b))
 
 
-def certain_breaks(starts: np.ndarray, ends: np.ndarray, labels: np.ndarray, groups: np.ndarray, max_gap: int, alike: float) -> np.ndarray:
-    """Which events begin a run in every optimal segmentation: the first of a group, one that starts more than ``max_gap`` after all ends before it, and if only equal labels are alike, one with another label than the event before."""
+def certain_breaks(starts: np.ndarray, ends: np.ndarray, groups: np.ndarray, max_gap: int) -> np.ndarray:
+    """Which events begin a run in every optimal segmentation, whatever their labels: the first of a group, and one that starts more than ``max_gap`` after all ends before it."""
     change = np.r_[True, groups[1:] != groups[:-1]]
-    if not alike:
-        change |= np.r_[True, labels[1:] != labels[:-1]]
     block = np.cumsum(change)
     # the running maximum starts anew in each block: blocks are lifted above one another
     lift = block * (np.int64(ends.max(initial=0)) - np.int64(ends.min(initial=0)) + 1)
@@ -67,12 +65,17 @@ def _optimal(starts: list[int], ends: list[int], labels: list[str], max_gap: int
     A candidate is a start of the run at hand: its first event, the cost before it, the cost of late starts, the latest end, how
     often each label stands in the run, and what each label would cost as the run's own.
     """
-    pair = lambda a, b: min((1 + penalty), label_distance(a, b) / alike * penalty) if label_distance(a, b) <= alike else 1 + penalty
+    if alike:
+        far = 1 + penalty
+        pair = lambda a, b: min(far, label_distance(a, b) / alike * penalty) if label_distance(a, b) <= alike else far
+    else:  # a run never goes on after another label: an event within a run costs more than the two boundaries that it saves
+        far = 1 + 2 * penalty
+        pair = lambda a, b: 0.0 if a == b else far
     best, origin = [0.0], []
     candidates: list[list] = []
     for i, (start, end, label) in enumerate(zip(starts, ends, labels, strict=True)):
         for c in candidates:
-            c[2] += (1 + penalty) * (start - c[3] > max_gap)
+            c[2] += far * (start - c[3] > max_gap)
             c[3] = max(c[3], end)
             if label not in c[5]:
                 c[5][label] = sum(n * pair(x, label) for x, n in c[4].items())
@@ -99,17 +102,16 @@ def segment(starts: np.ndarray, ends: np.ndarray, labels: np.ndarray, groups: np
     The cost of a segmentation is ``penalty`` for each run plus the dissimilarity within the runs, pruned dynamic programming
     finds the cheapest one. An event costs as much of a boundary as the distance of its label from its run's own label (the
     one that costs least) has of ``alike``; beyond ``alike``, and if it starts more than ``max_gap`` after the latest end so
-    far, it costs more than a boundary. Where a boundary is certain the events part into stretches; only stretches of several
-    labels need the program. With ``alike`` 0 these are none, and the runs are those of equal labels.
+    far, it costs more than a boundary. With ``alike`` 0 an event with another label costs more than the two boundaries that it
+    would save, so the cheapest runs are those of equal labels. Pauses part the events into stretches, for each of which the program runs.
     """
     if not len(starts):
         return np.zeros(0, np.int64)
-    first = certain_breaks(starts, ends, labels, groups, max_gap, alike)
-    if alike:
-        at = np.r_[np.flatnonzero(first), len(starts)]
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if b - a > 1 and (labels[a:b] != labels[a]).any():
-                first[a + np.array(_optimal(starts[a:b].tolist(), ends[a:b].tolist(), labels[a:b].tolist(), max_gap, alike, penalty))] = True
+    first = certain_breaks(starts, ends, groups, max_gap)
+    at = np.r_[np.flatnonzero(first), len(starts)]
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a > 1:
+            first[a + np.array(_optimal(starts[a:b].tolist(), ends[a:b].tolist(), labels[a:b].tolist(), max_gap, alike, penalty))] = True
     return np.cumsum(first) - 1
 
 
@@ -135,7 +137,7 @@ def _collapse(sums: list[str], max_gap: int, alike: float) -> Callable[[Iterator
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(rows):
                 continue
-            breaks = np.flatnonzero(certain_breaks(rows["__s"].to_numpy(), rows["__e"].to_numpy(), rows["__label"].to_numpy(object), pd.factorize(rows["__group"])[0], max_gap, alike))
+            breaks = np.flatnonzero(certain_breaks(rows["__s"].to_numpy(), rows["__e"].to_numpy(), pd.factorize(rows["__group"])[0], max_gap))
             if breaks[-1]:
                 yield runs(rows.iloc[: breaks[-1]])
             held = rows.iloc[breaks[-1] :].reset_index(drop=True)
